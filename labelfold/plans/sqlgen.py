@@ -62,7 +62,7 @@ ROLES = {
         "SELECT o_orderkey AS id, o_custkey AS from_account_id, "
         "(o_custkey + 1) % (SELECT count(*) FROM customer) AS to_account_id, "
         "CAST(o_totalprice AS DECIMAL(15,2)) AS amount, "
-        "CAST(round(o_totalprice * 0.01, 2) AS DECIMAL(15,2)) AS fee "
+        "CAST(round(CAST(o_totalprice AS DECIMAL(15,2)) * CAST(0.01 AS DECIMAL(3,2)), 2) AS DECIMAL(15,2)) AS fee "
         "FROM orders WHERE o_orderstatus = 'P'"),
     "feedback": (
         "SELECT event_id, user_id, event_id AS transaction_id, ts AS created_at, "

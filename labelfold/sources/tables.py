@@ -97,7 +97,8 @@ def transfers(spark, sf_dir) -> DataFrame:
                     F.col("o_custkey").alias("from_account_id"),
                     ((F.col("o_custkey") + 1) % n_customers).alias("to_account_id"),
                     F.col("o_totalprice").cast("decimal(15,2)").alias("amount"),
-                    F.round(F.col("o_totalprice") * 0.01, 2).cast("decimal(15,2)").alias("fee")))
+                    F.round(F.col("o_totalprice").cast("decimal(15,2)") * F.lit(0.01).cast("decimal(3,2)"), 2)
+                    .cast("decimal(15,2)").alias("fee")))
 
 
 RECEIPT_STATUS = {"F": "completed", "O": "pending", "P": "processing"}

@@ -33,27 +33,38 @@ def hash_bucket(h: Column, hex_digits: int = HASH_BUCKET_HEX) -> Column:
 
 def bucketed_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column],
                   bucket: Column, rank_col: str = "_rank",
-                  size_col: str | None = "_n") -> DataFrame:
+                  size_col: str | None = "_n",
+                  running: dict[str, Column] | None = None) -> DataFrame:
     """Add ``rank_col`` = 1-based row number within ``by`` ordered by ``order``.
 
     ``bucket`` must be monotone in ``order`` (rows of a lower bucket always
     sort first).  ``size_col`` (optional) receives the group size.
+    ``running`` maps output names to numeric columns whose running sum (up to
+    and including the row, in the same order) is added the same way.
     """
     by = list(by)
+    running = running or {}
     b = "_bucket"
     x = df.withColumn(b, bucket)
-    counts = x.groupBy(*by, b).agg(F.count(F.lit(1)).alias("_c"))
+    for name, c in running.items():
+        x = x.withColumn(f"_v_{name}", c)
+    counts = x.groupBy(*by, b).agg(F.count(F.lit(1)).alias("_c"),
+                                   *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in running])
     w_run = (Window.partitionBy(*by).orderBy(b)
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(w_run), F.lit(0)))
+    for n in running:
+        offsets = offsets.withColumn(f"_o_{n}", F.coalesce(F.sum(f"_s_{n}").over(w_run), F.lit(0)))
     if size_col:
         offsets = offsets.withColumn(size_col, F.sum("_c").over(Window.partitionBy(*by)))
-    offsets = offsets.drop("_c")
+    offsets = offsets.drop("_c", *[f"_s_{n}" for n in running])
     w_in = Window.partitionBy(*by, b).orderBy(*order)
     out = (x.join(offsets, by + [b])
-           .withColumn(rank_col, F.col("_off") + F.row_number().over(w_in))
-           .drop("_off", b))
-    return out
+           .withColumn(rank_col, F.col("_off") + F.row_number().over(w_in)))
+    w_cum = w_in.rowsBetween(Window.unboundedPreceding, 0)
+    for n in running:
+        out = out.withColumn(n, F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(w_cum))
+    return out.drop("_off", b, *[f"_o_{n}" for n in running], *[f"_v_{n}" for n in running])
 
 
 def hash_rank(df: DataFrame, key: str, by: Sequence[str] = (), seed: int = 42,

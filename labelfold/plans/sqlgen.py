@@ -85,7 +85,11 @@ ROLES = {
 
 def with_roles(names: Sequence[str], body: str, extra: Sequence[tuple[str, str]] = ()) -> str:
     ctes = [f"{n} AS ({ROLES[n]})" for n in names] + [f"{n} AS ({q})" for n, q in extra]
-    return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
+    if not ctes:
+        return body
+    if body.lstrip().upper().startswith("WITH "):  # merge the body's own CTE list
+        return "WITH " + ",\n".join(ctes) + ",\n" + body.lstrip()[5:]
+    return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
 def part_by(by: Sequence[str]) -> str:

@@ -1 +1,318 @@
-"""Queries (filled in below)."""
+"""Queries: features, prototype models, scoring, personalised and fallback models, flagship job."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import classify as C
+from ..operators import features as FE
+from ..operators import metrics, split
+from ..sources import tables
+from ..sources.columns import map_columns
+from ..operators import quality
+from . import sqlgen as S
+from .registry import r6, register
+
+T = C.TEMPERATURE
+MIN_USER_TRAIN_DOCS = 40      # users with fewer training documents get no own model
+MIN_ACTIVE_DOCS = 8           # a user's category is active with at least this many train docs
+
+
+# ============================ dense vectors (embeddings) ==================================
+
+def _vectors_split(spark, d):
+    v = tables.vectors(spark, d)
+    return split.split_random(v, "vec_id", label="label", test_size=0.2, val_size=0.0)
+
+
+def _dense_ranked(spark, d):
+    s = _vectors_split(spark, d)
+    model = C.dense_prototypes(s.filter(F.col("split") == "train"), "embedding", "label")
+    test = s.filter(F.col("split") == "test")
+    scores = C.score_dense(test, model, "vec_id", "embedding", "label")
+    return test.select("vec_id", F.col("label").alias("y_true")), scores
+
+
+def _dense_sql(body: str, extra=()) -> str:
+    ctes = [("src", "SELECT vec_id, embedding, label FROM embeddings")]
+    ctes += S.split_ctes("vec_id", "label", [], 0.2, 0.0, 42, False)
+    ctes += [
+        ("tr", "SELECT vec_id, label, embedding FROM assigned WHERE split = 'train'"),
+        ("te", "SELECT vec_id, label, embedding FROM assigned WHERE split = 'test'"),
+        ("tri", "SELECT label, i, CAST(embedding[i] AS DOUBLE) AS x FROM "
+                "(SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS i FROM tr)"),
+        ("cen", "SELECT label, i, avg(x) AS c FROM tri GROUP BY label, i"),
+        ("tei", "SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM "
+                "(SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM te)"),
+        ("dt", "SELECT vec_id, label, sum(x * c) AS d FROM tei JOIN cen USING (i) GROUP BY vec_id, label"),
+        ("qn", "SELECT vec_id, sqrt(sum(x * x)) AS qn FROM tei GROUP BY vec_id"),
+        ("cn", "SELECT label, sqrt(sum(c * c)) AS cn FROM cen GROUP BY label"),
+        ("sc", "SELECT vec_id, label, CASE WHEN qn * cn = 0 THEN 0.0 ELSE d / (qn * cn) END AS score "
+               "FROM dt JOIN qn USING (vec_id) JOIN cn USING (label)"),
+        ("rks", "SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, label) AS rn, "
+               f"exp((score - max(score) OVER (PARTITION BY vec_id)) / {T!r}) AS e FROM sc"),
+        ("pr", "SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS probability FROM rks"),
+    ]
+    return S.with_roles([], body, ctes + list(extra))
+
+
+@register("prototype_predict", _dense_sql(
+    "SELECT te.vec_id, te.label, pr.label AS predicted, round(pr.score, 6) AS score "
+    "FROM te JOIN pr ON pr.vec_id = te.vec_id AND pr.rn = 1"))
+def prototype_predict(spark, d):
+    """Nearest-prototype classifier on stored vectors (CLS-5)."""
+    truth, scores = _dense_ranked(spark, d)
+    r = C.rank_scores(scores, "vec_id", "label")
+    return r6(truth.join(r, "vec_id").select("vec_id", F.col("y_true").alias("label"),
+                                             "predicted", "score"))
+
+
+@register("predict", _dense_sql(
+    "SELECT vec_id, label AS predicted, round(probability, 6) AS confidence FROM pr WHERE rn = 1"))
+def predict(spark, d):
+    """Predicted label + confidence = max probability (CLS-8, CLS-10, SORT-3)."""
+    _, scores = _dense_ranked(spark, d)
+    return r6(C.rank_scores(scores, "vec_id", "label").select("vec_id", "predicted", "confidence"))
+
+
+@register("predict_proba", _dense_sql(
+    "SELECT vec_id, label, round(probability, 6) AS probability FROM pr"))
+def predict_proba(spark, d):
+    """Softmax of the cosine scores over all labels (CLS-9, MATH-3)."""
+    _, scores = _dense_ranked(spark, d)
+    return r6(C.probabilities(scores, "vec_id", "label"))
+
+
+@register("topk_accuracy", _dense_sql(
+    "SELECT count(*) AS n, round(avg(CASE WHEN hit3 THEN 1.0 ELSE 0.0 END), 6) AS top3_accuracy, "
+    "round(avg(CASE WHEN hit1 THEN 1.0 ELSE 0.0 END), 6) AS top1_accuracy FROM ("
+    "SELECT te.vec_id, bool_or(pr.label = te.label AND pr.rn <= 3) AS hit3, "
+    "bool_or(pr.label = te.label AND pr.rn = 1) AS hit1 FROM te JOIN pr USING (vec_id) GROUP BY te.vec_id)"))
+def topk_accuracy(spark, d):
+    """Top-3 (and top-1) accuracy of the prototype scores (AGG-19, SORT-4)."""
+    truth, scores = _dense_ranked(spark, d)
+    r = C.rank_scores(scores, "vec_id", "label").join(truth, "vec_id")
+    return r6(metrics.topk_accuracy(r, k=3, y_true="y_true"))
+
+
+FEW_SHOTS = (5, 10, 20)
+MIN_CATEGORY_EXAMPLES = 50
+
+
+def _few_shot_sql() -> str:
+    parts = []
+    for n in FEW_SHOTS:
+        parts.append(
+            f"SELECT {n} AS n_shots, count(*) AS n_test, round(avg(CASE WHEN p.label = t.label THEN 1.0 "
+            f"ELSE 0.0 END), 6) AS accuracy FROM (SELECT * FROM rk WHERE rn > {n}) t JOIN ("
+            f"SELECT vec_id, label FROM (SELECT s.vec_id, s.label, row_number() OVER (PARTITION BY s.vec_id "
+            f"ORDER BY round(s.score, 9) DESC, s.label) AS r FROM (SELECT q.vec_id, c.label, "
+            f"CASE WHEN q.qn * c.cn = 0 THEN 0.0 ELSE sum(q.x * c.c) / (q.qn * c.cn) END AS score "
+            f"FROM (SELECT ti.*, sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS qn FROM ti "
+            f"WHERE vec_id IN (SELECT vec_id FROM rk WHERE rn > {n})) q JOIN "
+            f"(SELECT label, i, c, sqrt(sum(c * c) OVER (PARTITION BY label)) AS cn FROM "
+            f"(SELECT label, i, avg(x) AS c FROM ti WHERE vec_id IN (SELECT vec_id FROM rk WHERE rn <= {n}) "
+            f"GROUP BY label, i)) c USING (i) GROUP BY q.vec_id, c.label, q.qn, c.cn) s) WHERE r = 1) p "
+            f"USING (vec_id)")
+    return (
+        "WITH el AS (SELECT * FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY label "
+        f"HAVING count(*) >= {MIN_CATEGORY_EXAMPLES})), "
+        "rk AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM el), "
+        "ti AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM "
+        "(SELECT vec_id, label, embedding, unnest(generate_series(1, len(embedding))) AS i FROM el)) "
+        + " UNION ALL ".join(parts))
+
+
+@register("few_shot", _few_shot_sql())
+def few_shot(spark, d):
+    """Accuracy with the first n examples per category as training set (AGG-22, WIN-4, SET-5)."""
+    v = tables.vectors(spark, d)
+    big = (v.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+           .filter(F.col("n") >= MIN_CATEGORY_EXAMPLES).select("label"))
+    v = v.join(big, "label", "left_semi")
+    out = None
+    for n in FEW_SHOTS:
+        train = split.first_n(v, n, ["label"], ["vec_id"])
+        test = v.join(train.select("vec_id"), "vec_id", "left_anti")
+        model = C.dense_prototypes(train, "embedding", "label")
+        r = C.rank_scores(C.score_dense(test, model, "vec_id", "embedding", "label"), "vec_id", "label")
+        acc = (test.select("vec_id", F.col("label").alias("y_true")).join(r, "vec_id")
+               .agg(F.lit(n).alias("n_shots"), F.count(F.lit(1)).alias("n_test"),
+                    F.avg((F.col("predicted") == F.col("y_true")).cast("double")).alias("accuracy")))
+        out = acc if out is None else out.unionByName(acc)
+    return r6(out)
+
+
+# ============================ sparse text (documents) ======================================
+
+def _docs(spark, d, by_user: bool):
+    docs = tables.read(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    p = map_columns(docs, {"product_title": "text", "category": "lang"}, keep=("doc_id", "source"))
+    p = quality.preprocess(p).withColumnRenamed("category", "label")
+    return p.withColumnRenamed("source", "user_id") if by_user else p.drop("source")
+
+
+def sparse_model(docs, by, key="doc_id"):
+    """TF-IDF (IDF on train) → normalised vectors → prototypes; returns (vectors, model)."""
+    tf = FE.term_counts(docs, key, "product_title", by, clean=False)
+    train = docs.filter(F.col("split") == "train").select(*by, key, "label")
+    idf = FE.idf_table(tf.join(train.select(*by, key), list(by) + [key], "left_semi"),
+                       train, key, by)
+    vec = FE.tfidf_vectors(tf, idf, key, by)
+    model = C.sparse_prototypes(vec, train, key, "label", by)
+    return vec, model
+
+
+def sparse_predict(docs, by, key="doc_id"):
+    vec, model = sparse_model(docs, by, key)
+    test = docs.filter(F.col("split") == "test").select(*by, key)
+    scores = C.score_sparse(vec.join(test, list(by) + [key], "left_semi"), model, key, "label", by)
+    return scores, model
+
+
+def _sparse_sql(p: str, by: list[str], sd: str) -> list[tuple[str, str]]:
+    """CTEs `<p>pred(by…, doc_id, predicted, score)` over a CTE `sd(by…, doc_id, label, split, title)`."""
+    b = S.cols(by)
+    k = by + ["doc_id"]
+    mjoin = f"JOIN {p}m {S.using(by)}" if by else f", {p}m"
+    return [
+        (f"{p}tf", f"SELECT {b}doc_id, term, count(*) AS tf FROM (SELECT {b}doc_id, "
+                   f"unnest({S.tokens('title')}) AS term FROM {sd}) GROUP BY ALL"),
+        (f"{p}trd", f"SELECT {b}doc_id, label FROM {sd} WHERE split = 'train'"),
+        (f"{p}m", f"SELECT {b}count(*) AS m FROM {p}trd" + (" GROUP BY ALL" if by else "")),
+        (f"{p}dfq", f"SELECT {b}term, count(*) AS df FROM {p}tf JOIN {p}trd {S.using(k)} GROUP BY ALL"),
+        (f"{p}idf", f"SELECT {b}term, ln((m + 1.0) / (df + 1.0)) AS idf FROM {p}dfq {mjoin}"),
+        (f"{p}w0", f"SELECT {b}doc_id, term, tf * idf AS w FROM {p}tf JOIN {p}idf {S.using(by + ['term'])} "
+                   f"WHERE tf * idf > 0"),
+        (f"{p}vec", f"SELECT {b}doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY {', '.join(k)})) AS w "
+                    f"FROM {p}w0"),
+        (f"{p}ps", f"SELECT {b}label, term, sum(w) AS s FROM {p}vec JOIN {p}trd {S.using(k)} GROUP BY ALL"),
+        (f"{p}proto", f"SELECT {b}label, term, s / sqrt(sum(s * s) OVER (PARTITION BY {S.cols(by + ['label'], False)})) "
+                      f"AS weight FROM {p}ps"),
+        (f"{p}sc", f"SELECT {b}doc_id, label, sum(w * weight) AS score FROM {p}vec "
+                   f"JOIN (SELECT {b}doc_id FROM {sd} WHERE split = 'test') {S.using(k)} "
+                   f"JOIN {p}proto {S.using(by + ['term'])} GROUP BY ALL"),
+        (f"{p}pred", f"SELECT {b}doc_id, label AS predicted, score FROM (SELECT *, row_number() OVER "
+                     f"(PARTITION BY {', '.join(k)} ORDER BY round(score, 9) DESC, label) AS rn FROM {p}sc) "
+                     f"WHERE rn = 1"),
+    ]
+
+
+def _sd_sql(by_user: bool, split_kind: str) -> list[tuple[str, str]]:
+    """Cleaned documents with a split column as CTE `sd`."""
+    uid = "source AS user_id, " if by_user else ""
+    src = (f"SELECT doc_id, {uid}{S.clean('text')} AS product_title, {S.strip('lang')} AS category "
+           f"FROM documents WHERE length({S.clean('text')}) > 0")
+    by = ["user_id"] if by_user else []
+    if split_kind == "stratified":
+        sp = S.split_ctes("doc_id", "category", by, 0.2, 0.1, 42, True)
+    else:
+        sp = S.split_ctes("doc_id", "category", by, 0.2, 0.0, 42, False)
+    return ([("src", src)] + sp +
+            [("sd", f"SELECT doc_id, {'user_id, ' if by_user else ''}category AS label, split, "
+                    f"product_title AS title FROM assigned")])
+
+
+def _flagship_docs(spark, d):
+    p = _docs(spark, d, by_user=False)
+    return split.split_stratified(p, "doc_id", label="label", test_size=0.2, val_size=0.1)
+
+
+@register("flagship", S.with_roles([], (
+    "SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, "
+    "CAST(support AS BIGINT) AS support FROM pc "
+    "UNION ALL SELECT 'accuracy', NULL, NULL, round(correct / n, 6), CAST(s_sup AS BIGINT) FROM tot, av "
+    "UNION ALL SELECT 'macro avg', round(macro_precision, 6), round(macro_recall, 6), round(macro_f1, 6), "
+    "CAST(s_sup AS BIGINT) FROM av "
+    "UNION ALL SELECT 'weighted avg', round(w_precision, 6), round(w_recall, 6), round(w_f1, 6), "
+    "CAST(s_sup AS BIGINT) FROM av"),
+    _sd_sql(False, "stratified") + _sparse_sql("g_", [], "sd") + [
+        ("src2", "SELECT sd.label AS y_true, g_pred.predicted AS y_pred FROM sd LEFT JOIN g_pred "
+                 "USING (doc_id) WHERE sd.split = 'test'")]
+    + [(n, q.replace("FROM src", "FROM src2")) for n, q in S.per_class_ctes([])]))
+def flagship(spark, d):
+    """The training job end to end (CLS-12/13): load → validate → clean → stratified split →
+    TF-IDF prototypes → score the test part → classification report."""
+    docs = _flagship_docs(spark, d)
+    scores, model = sparse_predict(docs, [])
+    pred = C.rank_scores(scores, "doc_id", "label", k_labels=C.label_counts(model))
+    test = docs.filter(F.col("split") == "test").select("doc_id", F.col("label").alias("y_true"))
+    scored = test.join(pred.select("doc_id", F.col("predicted").alias("y_pred")), "doc_id", "left")
+    return r6(metrics.classification_report(scored))
+
+
+@register("tfidf_terms", (
+    f"WITH t AS (SELECT doc_id, unnest({S.tokens(S.clean('text'))}) AS term FROM documents "
+    f"WHERE length({S.clean('text')}) > 0), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), "
+    f"m AS (SELECT count(*) AS m FROM documents WHERE length({S.clean('text')}) > 0) "
+    "SELECT term, count(*) AS df, sum(tf) AS tf_total, round(ln((m + 1.0) / (count(*) + 1.0)), 6) AS idf "
+    "FROM tf, m GROUP BY term, m"))
+def tfidf_terms(spark, d):
+    """Document frequency, total term count and IDF per term over whole texts (EMB-3)."""
+    docs = _docs(spark, d, by_user=False)
+    tf = FE.term_counts(docs, "doc_id", "product_title", clean=False)
+    idf = FE.idf_table(tf, docs.select("doc_id"), "doc_id")
+    tot = tf.groupBy("term").agg(F.sum("tf").alias("tf_total"))
+    return r6(idf.join(tot, "term").select("term", "df", "tf_total", "idf"))
+
+
+def _user_docs(spark, d):
+    p = _docs(spark, d, by_user=True)
+    return split.split_random(p, "doc_id", label="label", by=["user_id"], test_size=0.2, val_size=0.0)
+
+
+@register("score_model_table", S.with_roles([], (
+    "SELECT doc_id, user_id, predicted, round(score, 6) AS score FROM u_pred"),
+    _sd_sql(True, "random") + _sparse_sql("u_", ["user_id"], "sd")))
+def score_model_table(spark, d):
+    """Per-user prototype model table scored through the model join (CLS-7, §7.2)."""
+    docs = _user_docs(spark, d)
+    scores, model = sparse_predict(docs, ["user_id"])
+    r = C.rank_scores(scores, "doc_id", "label", by=["user_id"],
+                      k_labels=C.label_counts(model, by=["user_id"]))
+    return r6(r.select("doc_id", "user_id", "predicted", "score"))
+
+
+_COLD_SQL = S.with_roles([], (
+    "SELECT t.doc_id, coalesce(u.predicted, g.predicted) AS predicted, "
+    "CASE WHEN u.predicted IS NOT NULL THEN 'user_model' ELSE 'fallback' END AS source "
+    "FROM (SELECT doc_id FROM sd WHERE split = 'test') t LEFT JOIN g_pred g USING (doc_id) "
+    "LEFT JOIN (SELECT * FROM u_pred WHERE user_id IN (SELECT user_id FROM sd WHERE split = 'train' "
+    f"GROUP BY user_id HAVING count(*) >= {MIN_USER_TRAIN_DOCS})) u USING (doc_id) "
+    "WHERE coalesce(u.predicted, g.predicted) IS NOT NULL"),
+    _sd_sql(True, "random") + _sparse_sql("u_", ["user_id"], "sd")
+    + [("sdg", "SELECT doc_id, label, split, title FROM sd")] + _sparse_sql("g_", [], "sdg"))
+
+
+@register("cold_start", _COLD_SQL)
+def cold_start(spark, d):
+    """User model when the user has enough training data, else the global model (JOIN-9)."""
+    docs = _user_docs(spark, d)
+    enough = (docs.filter(F.col("split") == "train").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+              .filter(F.col("n") >= MIN_USER_TRAIN_DOCS).select("user_id"))
+    u_docs = docs.join(enough, "user_id", "left_semi")
+    u_scores, u_model = sparse_predict(u_docs, ["user_id"])
+    u = C.rank_scores(u_scores, "doc_id", "label", by=["user_id"],
+                      k_labels=C.label_counts(u_model, by=["user_id"]))
+    g_scores, g_model = sparse_predict(docs.drop("user_id"), [])
+    g = C.rank_scores(g_scores, "doc_id", "label", k_labels=C.label_counts(g_model))
+    test = docs.filter(F.col("split") == "test").select("doc_id")
+    out = C.with_fallback(test, u, g, "doc_id")
+    return out.filter(F.col("predicted").isNotNull()).select("doc_id", "predicted", "source")
+
+
+@register("active_categories", S.with_roles([], (
+    "SELECT doc_id, user_id, label AS predicted FROM (SELECT sc.*, row_number() OVER (PARTITION BY "
+    "user_id, doc_id ORDER BY round(score, 9) DESC, label) AS rn FROM u_sc sc WHERE (user_id, label) IN "
+    f"(SELECT user_id, label FROM sd WHERE split = 'train' GROUP BY ALL HAVING count(*) >= {MIN_ACTIVE_DOCS})) "
+    "WHERE rn = 1"),
+    _sd_sql(True, "random") + _sparse_sql("u_", ["user_id"], "sd")))
+def active_categories(spark, d):
+    """Arg-max restricted to each user's own active categories (JOIN-11)."""
+    docs = _user_docs(spark, d)
+    scores, _ = sparse_predict(docs, ["user_id"])
+    active = (docs.filter(F.col("split") == "train").groupBy("user_id", "label")
+              .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_ACTIVE_DOCS))
+    s = C.restrict_labels(scores, active, "label", ["user_id"])
+    r = C.rank_scores(s, "doc_id", "label", by=["user_id"])
+    return r.select("doc_id", "user_id", "predicted")

@@ -37,7 +37,7 @@ def na(x: str) -> str:
 
 def tokens(x: str) -> str:
     """Word tokens of a cleaned text (list), empty strings removed."""
-    return f"list_filter(regexp_split_to_array({x}, '[^\\p{{L}}\\p{{N}}_]+'), t -> t <> '')"
+    return f"list_filter(regexp_split_to_array({x}, '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')"
 
 
 ROLES = {

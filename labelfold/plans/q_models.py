@@ -11,6 +11,7 @@ from ..sources import tables
 from ..sources.columns import map_columns
 from ..operators import quality
 from . import sqlgen as S
+from ..session import materialize
 from .registry import r6, register
 
 T = C.TEMPERATURE
@@ -22,7 +23,7 @@ MIN_ACTIVE_DOCS = 8           # a user's category is active with at least this m
 
 def _vectors_split(spark, d):
     v = tables.vectors(spark, d)
-    return split.split_random(v, "vec_id", label="label", test_size=0.2, val_size=0.0)
+    return materialize(split.split_random(v, "vec_id", label="label", test_size=0.2, val_size=0.0))
 
 
 def _dense_ranked(spark, d):
@@ -215,7 +216,7 @@ def _sd_sql(by_user: bool, split_kind: str) -> list[tuple[str, str]]:
 
 def _flagship_docs(spark, d):
     p = _docs(spark, d, by_user=False)
-    return split.split_stratified(p, "doc_id", label="label", test_size=0.2, val_size=0.1)
+    return materialize(split.split_stratified(p, "doc_id", label="label", test_size=0.2, val_size=0.1))
 
 
 @register("flagship", S.with_roles([], (
@@ -258,7 +259,8 @@ def tfidf_terms(spark, d):
 
 def _user_docs(spark, d):
     p = _docs(spark, d, by_user=True)
-    return split.split_random(p, "doc_id", label="label", by=["user_id"], test_size=0.2, val_size=0.0)
+    return materialize(split.split_random(p, "doc_id", label="label", by=["user_id"],
+                                          test_size=0.2, val_size=0.0))
 
 
 @register("score_model_table", S.with_roles([], (

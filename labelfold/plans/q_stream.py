@@ -1 +1,84 @@
-"""Queries (filled in below)."""
+"""Queries: Structured Streaming jobs replayed with ``availableNow`` (STRM-1..7).
+
+Each returns the sink's content read back as a DataFrame, to be compared with
+the batch SQL over the same table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import classify as C
+from ..streaming import feedback_stream as FS
+from . import q_models
+from . import sqlgen as S
+from .registry import r6, register
+
+WFMT = "yyyy-MM-dd HH:mm:ss"
+
+register("stream_feedback", S.with_roles(["feedback"], (
+    "SELECT event_id, user_id, CASE WHEN feedback_type = 'correction' THEN correct_category_id "
+    "ELSE predicted_category_id END AS label, CASE WHEN feedback_type = 'correction' THEN 'user_feedback' "
+    "ELSE 'auto_confirmed' END AS source FROM feedback "
+    "WHERE feedback_type IN ('confirmation', 'correction') AND is_used_for_training")))(
+    lambda spark, d: FS.run_append(FS.ingest_training_rows(FS.table_stream(spark, d, "events")),
+                                   "stream_feedback"))
+
+
+@register("stream_acceptance", S.with_roles(["feedback"], (
+    "SELECT strftime(date_trunc('day', created_at), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, "
+    "round(avg(CASE WHEN feedback_type IS NULL OR feedback_type = 'confirmation' THEN 1.0 ELSE 0.0 END), 6) "
+    "AS acceptance_rate, round(avg(CASE WHEN feedback_type = 'correction' THEN 1.0 ELSE 0.0 END), 6) "
+    "AS correction_rate FROM feedback GROUP BY ALL")))
+def stream_acceptance(spark, d):
+    out = FS.run_complete(FS.live_acceptance(FS.table_stream(spark, d, "events")), "stream_acceptance")
+    return r6(out.select(F.date_format("w.start", WFMT).alias("window_start"), "n",
+                         "acceptance_rate", "correction_rate"))
+
+
+@register("stream_latency_counts", (
+    "WITH e AS (SELECT ts, value, event_type = 'error' AS is_error, "
+    "time_bucket(INTERVAL 15 MINUTES, ts) AS b FROM events), "
+    "x AS (SELECT *, b - k * INTERVAL 15 MINUTES AS ws FROM e, range(0, 4) r(k)) "
+    f"SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, "
+    f"strftime(ws + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, count(*) AS n, "
+    "sum(CASE WHEN is_error THEN 1 ELSE 0 END) AS n_errors, round(avg(value), 6) AS avg_latency_ms "
+    "FROM x GROUP BY ws"))
+def stream_latency_counts(spark, d):
+    out = FS.run_complete(FS.live_latency(FS.table_stream(spark, d, "events")), "stream_latency")
+    return r6(out.select(F.date_format("w.start", WFMT).alias("window_start"),
+                         F.date_format("w.end", WFMT).alias("window_end"), "n", "n_errors",
+                         "avg_latency_ms"))
+
+
+@register("retrain_triggers", S.with_roles(["feedback"], (
+    "SELECT user_id, count(*) AS n_examples, count(*) // 10 AS fires FROM feedback "
+    "WHERE feedback_type IN ('confirmation', 'correction') AND is_used_for_training GROUP BY user_id")))
+def retrain_triggers(spark, d):
+    rows = FS.ingest_training_rows(FS.table_stream(spark, d, "events"))
+    out = FS.run_update_latest(FS.retrain_trigger_stream(rows, every=10), "retrain_triggers", "user_id")
+    return out.select("user_id", "n_examples", "fires")
+
+
+@register("prototype_incremental", (
+    "WITH t AS (SELECT label, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT label, embedding, "
+    "unnest(generate_series(1, len(embedding))) AS i FROM embeddings)) "
+    "SELECT label, CAST(count(*) AS BIGINT) AS n, i, round(avg(x), 6) AS c FROM t GROUP BY label, i"))
+def prototype_incremental(spark, d):
+    st = FS.incremental_prototypes(FS.table_stream(spark, d, "embeddings"), "prototype_incremental")
+    return r6(st.select("label", F.col("n").cast("bigint").alias("n"),
+                        F.posexplode("centroid").alias("i", "c"))
+              .withColumn("i", F.col("i") + 1))
+
+
+@register("stream_score", q_models._dense_sql(
+    "SELECT vec_id, label AS predicted, round(probability, 6) AS confidence FROM pr WHERE rn = 1"))
+def stream_score(spark, d):
+    """Stream–static scoring against the trained global prototype table (STRM-6)."""
+    s = q_models._vectors_split(spark, d)
+    model = C.dense_prototypes(s.filter(F.col("split") == "train"), "embedding", "label")
+    test_ids = s.filter(F.col("split") == "test").select("vec_id")
+    stream = FS.table_stream(spark, d, "embeddings").join(test_ids, "vec_id")
+    scored = FS.score_packed(stream.select("vec_id", "embedding"), FS.pack_model(model), "embedding")
+    out = FS.run_append(scored.select("vec_id", "predicted", "confidence"), "stream_score")
+    return r6(out)

@@ -55,3 +55,13 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Cut lineage by a reliable checkpoint into the shared checkpoint folder.
+
+    Used where one expensive frame (a split, cleaned whole texts) feeds several
+    branches of a job; survives executor loss, unlike a local checkpoint.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -215,8 +215,9 @@ def _sd_sql(by_user: bool, split_kind: str) -> list[tuple[str, str]]:
 
 
 def _flagship_docs(spark, d):
-    p = _docs(spark, d, by_user=False)
-    return materialize(split.split_stratified(p, "doc_id", label="label", test_size=0.2, val_size=0.1))
+    p = materialize(_docs(spark, d, by_user=False), "clean_docs")
+    return materialize(split.split_stratified(p, "doc_id", label="label", test_size=0.2, val_size=0.1),
+                       "split_docs")
 
 
 @register("flagship", S.with_roles([], (
@@ -258,9 +259,9 @@ def tfidf_terms(spark, d):
 
 
 def _user_docs(spark, d):
-    p = _docs(spark, d, by_user=True)
+    p = materialize(_docs(spark, d, by_user=True), "clean_docs")
     return materialize(split.split_random(p, "doc_id", label="label", by=["user_id"],
-                                          test_size=0.2, val_size=0.0))
+                                          test_size=0.2, val_size=0.0), "split_docs")
 
 
 @register("score_model_table", S.with_roles([], (

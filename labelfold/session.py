@@ -57,11 +57,15 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def materialize(df):
-    """Cut lineage by a reliable checkpoint into the shared checkpoint folder.
+def materialize(df, name: str = "table"):
+    """Cut lineage by writing a parquet table into the shared checkpoint folder.
 
     Used where one expensive frame (a split, cleaned whole texts) feeds several
-    branches of a job; survives executor loss, unlike a local checkpoint.
+    branches of a job.  The table is columnar, so later branches read only the
+    columns they need, and it survives executor loss (unlike a local checkpoint).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    spark = df.sparkSession
+    path = checkpoint_path(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -18,14 +18,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_text, tokens
+from ..functions.text import NOT_WORD_RUN, clean_text
 
 
 def term_counts(df: DataFrame, key: str, text: str, by: Sequence[str] = (),
                 clean: bool = True) -> DataFrame:
     """(by…, key, term, tf): token counts per document (whole texts)."""
     t = clean_text(text) if clean else F.col(text)
-    return (df.select(*by, key, F.explode(tokens(t)).alias("term"))
+    # explode the raw split and drop empty pieces with a plain predicate (codegen),
+    # rather than a per-row higher-order filter
+    return (df.select(*by, key, F.explode(F.split(t, NOT_WORD_RUN)).alias("term"))
+            .filter(F.col("term") != "")
             .groupBy(*by, key, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 

@@ -159,7 +159,8 @@ def sparse_model(docs, by, key="doc_id"):
     train = docs.filter(F.col("split") == "train").select(*by, key, "label")
     idf = FE.idf_table(tf.join(train.select(*by, key), list(by) + [key], "left_semi"),
                        train, key, by)
-    vec = FE.tfidf_vectors(tf, idf, key, by)
+    # the vectors feed both the model and the scoring branch: tokenise whole texts once
+    vec = materialize(FE.tfidf_vectors(tf, idf, key, by), "tfidf_vectors")
     model = C.sparse_prototypes(vec, train, key, "label", by)
     return vec, model
 
@@ -251,7 +252,7 @@ def flagship(spark, d):
     "FROM tf, m GROUP BY term, m"))
 def tfidf_terms(spark, d):
     """Document frequency, total term count and IDF per term over whole texts (EMB-3)."""
-    docs = _docs(spark, d, by_user=False)
+    docs = materialize(_docs(spark, d, by_user=False).select("doc_id", "product_title"), "clean_docs")
     tf = FE.term_counts(docs, "doc_id", "product_title", clean=False)
     idf = FE.idf_table(tf, docs.select("doc_id"), "doc_id")
     tot = tf.groupBy("term").agg(F.sum("tf").alias("tf_total"))

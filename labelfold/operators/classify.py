@@ -95,9 +95,14 @@ def score_dense(df: DataFrame, model: DataFrame, key: str, features: str, label:
 
     ``metric='cosine'`` for prototypes, ``'linear'`` (x·coef + intercept) for LR tables.
     """
-    x, keys = _keyed(df.select(*by, key, F.col(features).cast("array<double>").alias("_x")), by)
-    m, _ = _keyed(model.select(*by, label, "coef", "intercept"), by)
-    j = x.join(m, keys)
+    x = df.select(*by, key, F.col(features).cast("array<double>").alias("_x"))
+    if by:
+        j = x.join(model.select(*by, label, "coef", "intercept"), list(by))
+    else:
+        # global model: k labels × d dims packed into one scalar subquery (bounded)
+        packed = model.agg(F.collect_list(F.struct(F.col(label).alias("_l"), "coef", "intercept"))).scalar()
+        j = (x.select("*", F.explode(packed).alias("_m"))
+             .select(key, "_x", F.col("_m._l").alias(label), "_m.coef", "_m.intercept"))
     s = cosine(F.col("_x"), F.col("coef")) if metric == "cosine" else dot(F.col("_x"), F.col("coef")) + F.col("intercept")
     return j.select(*by, key, label, s.alias("score"))
 
@@ -118,9 +123,12 @@ def rank_scores(scores: DataFrame, key: str, label: str = "label", by: Sequence[
         (-F.round("score", score_digits)).alias("neg"), F.col(label).alias("label"),
         F.col("score").alias("score")))).alias("_arr"))
     if isinstance(k_labels, DataFrame):
-        g = g.join(k_labels, by) if by else g.withColumn("_one", F.lit(1)).join(
-            k_labels.withColumn("_one", F.lit(1)), "_one").drop("_one")
-        kcol = F.col("k")
+        if by:
+            g = g.join(k_labels, by)
+            kcol = F.col("k")
+        else:
+            g = g.withColumn("k", k_labels.select("k").scalar())
+            kcol = F.col("k")
     else:
         kcol = F.size("_arr") if k_labels is None else F.lit(k_labels)
     best = F.element_at("_arr", 1)

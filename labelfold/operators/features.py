@@ -43,8 +43,7 @@ def idf_table(tf: DataFrame, docs: DataFrame, key: str, by: Sequence[str] = ())
         m = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("m"))
         x = dfreq.join(m, by)
     else:
-        m = docs.agg(F.count(F.lit(1)).alias("m")).withColumn("_one", F.lit(1))
-        x = dfreq.withColumn("_one", F.lit(1)).join(m, "_one").drop("_one")
+        x = dfreq.withColumn("m", docs.agg(F.count(F.lit(1))).scalar())
     return x.withColumn("idf", F.log((F.col("m") + 1).cast("double") / (F.col("df") + 1)))
 
 

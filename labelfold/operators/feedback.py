@@ -116,7 +116,8 @@ def latency_slo(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                              F.avg(F.col("is_error").cast("double")).alias("error_rate"))
     if by:
         return e.join(q, by)
-    return e.withColumn("_one", F.lit(1)).join(q.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    from .metrics import _join_one
+    return _join_one(e, q)
 
 
 def time_to_first(created: DataFrame, predictions: DataFrame, user: str = "user_id") -> DataFrame:

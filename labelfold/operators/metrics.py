@@ -118,9 +118,13 @@ def confidence_stats(scored: DataFrame, by: Sequence[str] = (), threshold: float
 
 
 def _join_one(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join two one-row frames through a constant key (no cross join)."""
-    return (a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one", "left")
-            .drop("_one"))
+    """Attach the columns of a one-row frame ``b`` to ``a``.
+
+    ``b`` is packed into one struct and read as an uncorrelated scalar
+    subquery (computed once), so the plan has no join at all.
+    """
+    packed = b.select(F.struct(*[F.col(f"`{c}`") for c in b.columns]).alias("_b")).scalar()
+    return a.select("*", packed.alias("_b")).select(*[F.col(f"`{c}`") for c in a.columns], "_b.*")
 
 
 def evaluate_with_confidence(scored: DataFrame, by: Sequence[str] = (), threshold: float = 0.5,

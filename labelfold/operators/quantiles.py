@@ -53,8 +53,12 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
     ranks = (targets.select(*by, "q", F.col("lo").alias("k"))
              .unionByName(targets.select(*by, "q", F.col("hi").alias("k"))).distinct())
     # bucket of each wanted rank (count table is bounded: groups × buckets)
-    rk = ranks.join(counts, by).filter((F.col("k") > F.col("_off"))
-                                       & (F.col("k") <= F.col("_off") + F.col("_c")))
+    if drop_g:  # one group: the wanted ranks are a tiny scalar list, no join needed
+        packed = ranks.agg(F.collect_list(F.struct("q", "k"))).scalar()
+        rk = counts.select("*", F.explode(packed).alias("_r")).select(*counts.columns, "_r.q", "_r.k")
+    else:
+        rk = ranks.join(counts, by)
+    rk = rk.filter((F.col("k") > F.col("_off")) & (F.col("k") <= F.col("_off") + F.col("_c")))
     rk = rk.select(*by, "q", "k", "_b", (F.col("k") - F.col("_off")).alias("_kin"))
     need = rk.select(*by, "_b").distinct()
     # exact order statistic inside the located buckets only

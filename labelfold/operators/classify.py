@@ -140,6 +140,15 @@ def rank_scores(scores: DataFrame, key: str, label: str = "label", by: Sequence[
                     F.transform(F.slice("_arr", 1, top), lambda s: s["label"]).alias("top_labels"))
 
 
+def zero_shot(df: DataFrame, label_vectors: DataFrame, key: str, features: str,
+              vector: str = "embedding", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+    """Cold-start fallback: arg-max cosine between an item's vector and the vectors of
+    its group's category names, embedded with the same encoder (CLS-6, EMB-2)."""
+    model = label_vectors.select(*by, label, F.col(vector).cast("array<double>").alias("coef"),
+                                 F.lit(0.0).alias("intercept"))
+    return rank_scores(score_dense(df, model, key, features, label, by), key, label, by)
+
+
 def probabilities(scores: DataFrame, key: str, label: str = "label", by: Sequence[str] = (),
                   temperature: float = TEMPERATURE) -> DataFrame:
     """Softmax over each row's label scores: (by…, key, label, probability) (CLS-9)."""

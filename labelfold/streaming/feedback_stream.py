@@ -192,9 +192,9 @@ def incremental_prototypes(stream: DataFrame, name: str, features: str = "embedd
 
     spark = stream.sparkSession
     data, ck = _paths(spark, name)
-    versions: list[str] = []
 
     def merge(batch: DataFrame, epoch: int) -> None:
+        versions = [v for v in _versions(spark, data) if not v.endswith(f"v{epoch:012d}")]
         part = (batch.select(label, array_to_vector(F.col(features).cast("array<double>")).alias("v"))
                 .groupBy(label).agg(Summarizer.sum(F.col("v")).alias("s"), F.count(F.lit(1)).alias("n")))
         if versions:
@@ -203,13 +203,73 @@ def incremental_prototypes(stream: DataFrame, name: str, features: str = "embedd
                 Summarizer.sum(F.col("s")).alias("s"), F.sum("n").alias("n"))
         out = f"{data}/v{epoch:012d}"
         part.select(label, vector_to_array("s").alias("s"), "n").write.mode("overwrite").parquet(out)
-        versions.append(out)
 
     q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", ck)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    state = spark.read.parquet(versions[-1])
+    state = spark.read.parquet(_versions(spark, data)[-1])
     return state.select(label, "n", F.transform("s", lambda x: x / F.col("n")).alias("centroid"))
 
 
 __all__ = ["table_stream", "run_append", "run_complete", "run_update_latest", "Callable"]
+
+
+# --- STRM-5: retrain due users inside foreachBatch --------------------------------------------
+
+def retrain_due_users(stream: DataFrame, training_path: str, models_path: str, every: int = 10,
+                      features: str = "embedding", label: str = "label", user: str = "user_id"):
+    """Micro-batch retraining loop (STRM-5), full refit of due users only.
+
+    Per batch: append the rows to the training table (SNK-3); add the batch
+    count to each user's pending count (state written as a new version per
+    epoch); users whose pending count reached ``every`` get their prototype
+    model refit from all of their training rows and appended to the model
+    table with ``model_version = epoch``; their pending count resets to 0.
+    Returns the started query (``availableNow`` trigger).
+    """
+    from ..operators.classify import dense_prototypes
+    from ..sources.sinks import user_bucket
+
+    spark = stream.sparkSession
+    state_root, ck = _paths(spark, "retrain_pending")
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        # every write is keyed by the epoch and replaces that epoch's partition, so a
+        # retried micro-batch (lost executor, restarted driver) rewrites instead of duplicating
+        dyn = {"partitionOverwriteMode": "dynamic"}
+        (batch.withColumn("epoch", F.lit(epoch)).withColumn("user_bucket", user_bucket(user))
+         .write.mode("overwrite").options(**dyn).partitionBy("epoch", "user_bucket").parquet(training_path))
+        counts = batch.groupBy(user).agg(F.count(F.lit(1)).alias("n"))
+        prev_versions = [v for v in _versions(spark, state_root) if not v.endswith(f"v{epoch:012d}")]
+        if prev_versions:
+            prev = spark.read.parquet(prev_versions[-1])
+            counts = prev.unionByName(counts).groupBy(user).agg(F.sum("n").alias("n"))
+        due = counts.filter(F.col("n") >= every).select(user)
+        rows = spark.read.parquet(training_path).filter(F.col("epoch") <= epoch).join(due, user, "left_semi")
+        model = (dense_prototypes(rows, features, label, by=[user])
+                 .withColumn("model_version", F.lit(epoch)))
+        model.write.mode("overwrite").options(**dyn).partitionBy("model_version").parquet(models_path)
+        pending = counts.withColumn("n", F.when(F.col("n") >= every, F.lit(0)).otherwise(F.col("n")))
+        pending.write.mode("overwrite").parquet(f"{state_root}/v{epoch:012d}")
+
+    return (stream.writeStream.foreachBatch(step).option("checkpointLocation", ck)
+            .trigger(availableNow=True).start())
+
+
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """Existing state versions under ``root`` (sorted), found through the Hadoop file system."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = sorted(str(s.getPath().toString()) for s in fs.listStatus(path)
+                   if s.isDirectory() and s.getPath().getName().startswith("v"))
+    return names
+
+
+def active_models(spark: SparkSession, models_path: str, user: str = "user_id") -> DataFrame:
+    """Latest model version per user from the append-only model table (WIN-6)."""
+    m = spark.read.parquet(models_path)
+    latest = m.groupBy(user).agg(F.max("model_version").alias("model_version"))
+    return m.join(latest, [user, "model_version"])

@@ -12,14 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.isspace() set is Java's (?U)\s plus the four
-# information separators U+001C..U+001F.
-WS_CLASS = r"\s\x1c-\x1f"
-WS_RUN = rf"(?U)[{WS_CLASS}]+"
-LEADING_WS = rf"(?U)\A[{WS_CLASS}]+"
-TRAILING_WS = rf"(?U)[{WS_CLASS}]+\z"
-# Python re: [^\w\s]  (\w = letters, digits, underscore in Unicode)
-NOT_WORD_OR_SPACE = rf"(?U)[^\p{{L}}\p{{N}}_{WS_CLASS}]"
+# The characters for which Python's str.isspace() is true, as an
+# explicit class (no Unicode-property lookups per character).
+WS_CLASS = (r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+            r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+WS_RUN = rf"[{WS_CLASS}]+"
+LEADING_WS = rf"\A[{WS_CLASS}]+"
+TRAILING_WS = rf"[{WS_CLASS}]+\z"
+# Python re: [^\w\s]  (\w = Unicode letters, digits, underscore)
+NOT_WORD_OR_SPACE = rf"[^\p{{L}}\p{{N}}_{WS_CLASS}]"
 # token separator for the TF-IDF featuriser: anything that is not \w
 NOT_WORD_RUN = r"[^\p{L}\p{N}_]+"
 

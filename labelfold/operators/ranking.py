@@ -76,6 +76,40 @@ def hash_rank(df: DataFrame, key: str, by: Sequence[str] = (), seed: int = 42,
                          rank_col=rank_col, size_col=size_col)
 
 
+def hash_rank_pair(df: DataFrame, key: str, by: Sequence[str], sub: str, seed: int = 42
+                   ) -> tuple[DataFrame, DataFrame]:
+    """Ranks by md5(seed|key) within ``by`` (``_r_g``, size ``_n_g``) and within
+    ``by + [sub]`` (``_r_c``, size ``_c``) from one shared hash bucket.
+
+    Returns ``(ranked rows, counts)`` where ``counts`` is the single
+    ``(by…, sub, bucket) → _cnt`` aggregate every offset is derived from (one
+    pass over the data; bounded by groups × sub-groups × buckets).  Both windows
+    partition on ``(by…, bucket)`` first, so the second reuses the first one's
+    shuffle: one exchange of the rows instead of two.
+    """
+    by = list(by)
+    b = "_bucket"
+    x = (df.withColumn("_h", seeded_hash(key, seed))
+         .withColumn(b, hash_bucket(F.col("_h"))))
+    counts = x.groupBy(*by, sub, b).agg(F.count(F.lit(1)).alias("_cnt"))
+    cg = counts.groupBy(*by, b).agg(F.sum("_cnt").alias("_cnt"))
+    wg = Window.partitionBy(*by) if by else Window.partitionBy()
+    og = (cg.withColumn("_off_g", F.coalesce(F.sum("_cnt").over(
+        wg.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+          .withColumn("_n_g", F.sum("_cnt").over(wg)).drop("_cnt"))
+    wc = Window.partitionBy(*by, sub)
+    oc = (counts.withColumn("_off_c", F.coalesce(F.sum("_cnt").over(
+        wc.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+          .withColumn("_c", F.sum("_cnt").over(wc)).drop("_cnt"))
+    order = [F.col("_h"), F.col(key)]
+    y = x.join(og, by + [b]).join(oc, by + [sub, b])
+    y = y.withColumn("_r_g", F.col("_off_g") + F.row_number().over(
+        Window.partitionBy(*by, b).orderBy(*order)))
+    y = y.withColumn("_r_c", F.col("_off_c") + F.row_number().over(
+        Window.partitionBy(*by, b, sub).orderBy(*order)))
+    return y.drop("_off_g", "_off_c"), counts
+
+
 def time_rank(df: DataFrame, ts: str, key: str, by: Sequence[str] = (),
               rank_col: str = "_rank", size_col: str | None = "_n") -> DataFrame:
     """Rank rows within ``by`` by (ts, key); buckets are calendar days."""

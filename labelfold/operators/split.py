@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import hash_rank, time_rank
+from .ranking import hash_rank_pair, time_rank
 
 
 def largest_remainder(counts: DataFrame, by: Sequence[str], label: str, count_col: str,
@@ -76,11 +76,10 @@ def _assign(df: DataFrame, key: str, label: str, by: list[str], test_size: float
             val_size: float, seed: int, stratify: bool) -> DataFrame:
     val_adj = val_size / (1.0 - test_size)
     # ranks: within class (r_c, size c) and within group (r_g, size n)
-    x = hash_rank(df, key, by + [label], seed, rank_col="_r_c", size_col="_c")
-    x = hash_rank(x.drop("_h"), key, by, seed, rank_col="_r_g", size_col="_n_g")
+    x, bucket_counts = hash_rank_pair(df, key, by, label, seed)
 
-    # first cut: test
-    counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("c"))
+    # first cut: test (class counts come from the same bucket-count aggregate)
+    counts = bucket_counts.groupBy(*by, label).agg(F.sum("_cnt").alias("c"))
     g = Window.partitionBy(*by) if by else Window.partitionBy()
     p1 = (counts.withColumn("n", F.sum("c").over(g))
           .withColumn("k", F.count(F.lit(1)).over(g))
@@ -120,7 +119,7 @@ def _assign(df: DataFrame, key: str, label: str, by: list[str], test_size: float
         F.col("strat2"), r_temp_class <= F.col("vq")).otherwise(r_temp_group <= F.col("n_val"))
     split = (F.when(F.col("_is_test"), "test").when(is_val, "val").otherwise("train"))
     return x.withColumn("split", split).drop(
-        "_h", "_r_c", "_c", "_r_g", "_n_g", "n_test", "strat1", "tq", "_is_test",
+        "_h", "_bucket", "_r_c", "_c", "_r_g", "_n_g", "n_test", "strat1", "tq", "_is_test",
         "n_val", "strat2", "vq", "tc", "c2")
 
 

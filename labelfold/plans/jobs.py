@@ -40,12 +40,12 @@ def prepare_training_frame(df: DataFrame, label: str = "category") -> tuple[Data
     return x.withColumn("label_id", F.col("label_id").cast("double")), idx, float(total)
 
 
-def text_pipeline(classifier) -> Pipeline:
+def text_pipeline(classifier, num_features: int = HASH_FEATURES) -> Pipeline:
     """Tokenise cleaned titles → hashed term counts → IDF → classifier."""
     return Pipeline(stages=[
         RegexTokenizer(inputCol="product_title", outputCol="tokens", pattern=NOT_WORD_RUN,
                        toLowercase=False, minTokenLength=1),
-        HashingTF(inputCol="tokens", outputCol="tf", numFeatures=HASH_FEATURES),
+        HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
         IDF(inputCol="tf", outputCol="features"),
         classifier,
     ])
@@ -102,11 +102,12 @@ def load(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame, dict
     return PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/labels"), meta
 
 
-def cross_validate(train: DataFrame, reg_grid=(0.0, 0.01, 0.1), folds: int = 3, seed: int = 42):
+def cross_validate(train: DataFrame, reg_grid=(0.0, 0.01, 0.1), folds: int = 3, seed: int = 42,
+                   params: dict | None = None, num_features: int = HASH_FEATURES):
     """k-fold CV over regParam for text LR (CLS-15)."""
     x, _, _ = prepare_training_frame(train)
-    lr = C.make_classifier("lr", total_weight=1.0)
-    pipe = text_pipeline(lr)
+    lr = C.make_classifier("lr", total_weight=1.0, params=params)
+    pipe = text_pipeline(lr, num_features)
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_grid)).build()
     ev = MulticlassClassificationEvaluator(labelCol="label_id", metricName="f1")
     return CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,

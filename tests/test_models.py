@@ -83,3 +83,12 @@ def test_rank_scores_softmax_and_ties(spark):
     assert r[1]["confidence"] == pytest.approx(e[0] / e.sum())
     e2 = np.exp(np.array([0.2, 0.0, 0.0]) / C.TEMPERATURE)
     assert r[2]["confidence"] == pytest.approx(e2[0] / e2.sum())
+
+
+def test_cross_validation_picks_a_reg_param(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(
+        F.lower("text").alias("product_title"), F.col("lang").alias("category"))
+    cv = jobs.cross_validate(docs, reg_grid=(0.0, 0.1), folds=2, params={"max_iter": 10},
+                             num_features=1 << 12)
+    assert len(cv.avgMetrics) == 2 and all(0.0 <= m <= 1.0 for m in cv.avgMetrics)
+    assert cv.bestModel.stages[-1].getRegParam() in (0.0, 0.1)

@@ -70,9 +70,23 @@ def clean_text(c: Column | str, lowercase: bool = True,
     return F.trim(collapse_whitespace(x))
 
 
+def has_content(c: Column | str, punctuation: bool = False) -> Column:
+    """True when ``clean_text`` of the value is non-empty, decided on the raw text.
+
+    Cleaning never adds characters, so the cleaned text is empty exactly when the
+    raw text has no non-whitespace character (no word character when punctuation
+    is removed).  ``rlike`` stops at the first such character, and the filter no
+    longer repeats the whole-text cleaning that Catalyst would otherwise inline
+    into it when it pushes the filter below the projection.
+    """
+    x = F.coalesce(as_col(c).cast("string"), F.lit(""))
+    return x.rlike(r"[\p{L}\p{N}_]") if punctuation else x.rlike(rf"[^{WS_CLASS}]")
+
+
 def is_blank(c: Column | str) -> Column:
-    """True when the string is empty after a Python strip (DQ-1e)."""
-    return F.length(py_strip(c)) == 0
+    """True when the string is empty after a Python strip (DQ-1e); NULL is not blank."""
+    c = as_col(c)
+    return F.when(c.isNotNull(), ~has_content(c)).otherwise(F.lit(False))
 
 
 def null_na_tokens(c: Column | str, tokens=NA_TOKENS) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_text, py_strip
+from ..functions.text import clean_text, has_content, is_blank, py_strip
 
 REQUIRED = ("product_title", "category")
 
@@ -27,16 +27,17 @@ def preprocess(df: DataFrame, title: str = "product_title", category: str = "cat
     """Clean titles, strip categories, drop rows whose cleaned title is empty (PF-2)."""
     if title not in df.columns:
         raise ValueError(f"column {title!r} is required for preprocessing")
-    out = df.withColumn(title, clean_text(title, lowercase, punctuation))
+    out = df.filter(has_content(title, punctuation)).withColumn(
+        title, clean_text(title, lowercase, punctuation))
     if category in df.columns:
         out = out.withColumn(category, py_strip(F.col(category)))
-    return out.filter(F.length(title) > 0)
+    return out
 
 
 def preprocess_removed(df: DataFrame, title: str = "product_title", by: Sequence[str] = (),
                        lowercase: bool = True, punctuation: bool = False) -> DataFrame:
     """Rows before/after cleaning and the number removed, in one aggregate (PF-3)."""
-    kept = F.length(clean_text(title, lowercase, punctuation)) > 0
+    kept = has_content(title, punctuation)
     return (df.groupBy(*by)
             .agg(F.count(F.lit(1)).alias("n_before"),
                  F.count_if(kept).alias("n_after"))
@@ -70,8 +71,8 @@ def validate_profile(df: DataFrame, by: Sequence[str] = (), title: str = "produc
         (_numeric_like(category) if types[category] == "string" else F.count(c)).alias("category_numeric"),
         F.count(t).alias("title_values"),
         F.count(c).alias("category_values"),
-        F.count_if(F.length(py_strip(t)) == 0).alias("blank_titles"),
-        F.count_if(F.length(py_strip(c)) == 0).alias("blank_categories"),
+        F.count_if(is_blank(t)).alias("blank_titles"),
+        F.count_if(is_blank(c)).alias("blank_categories"),
         F.countDistinct(c).alias("n_categories"),
     )
     title_bad_type = F.lit(not title_is_string) | (

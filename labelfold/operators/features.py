@@ -33,12 +33,12 @@ def term_counts(df: DataFrame, key: str, text: str, by: Sequence[str] = (),
 
 
 def idf_table(tf: DataFrame, docs: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by…, term, df, idf) with Spark ML's smoothing ``ln((m + 1) / (df + 1))``.
+    """(by…, term, df, tf_total, idf) with Spark ML's smoothing ``ln((m + 1) / (df + 1))``.
 
     ``docs`` holds the fitting documents (one row per key); ``m`` is their count per group.
     """
     by = list(by)
-    dfreq = tf.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
+    dfreq = tf.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf_total"))
     if by:
         m = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("m"))
         x = dfreq.join(m, by)

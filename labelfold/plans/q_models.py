@@ -155,7 +155,8 @@ def _docs(spark, d, by_user: bool):
 
 def sparse_model(docs, by, key="doc_id"):
     """TF-IDF (IDF on train) → normalised vectors → prototypes; returns (vectors, model)."""
-    tf = FE.term_counts(docs, key, "product_title", by, clean=False)
+    # whole texts are tokenised once: the counts feed both the IDF and the vectors
+    tf = materialize(FE.term_counts(docs, key, "product_title", by, clean=False), "term_counts")
     train = docs.filter(F.col("split") == "train").select(*by, key, "label")
     idf = FE.idf_table(tf.join(train.select(*by, key), list(by) + [key], "left_semi"),
                        train, key, by)
@@ -255,8 +256,7 @@ def tfidf_terms(spark, d):
     docs = materialize(_docs(spark, d, by_user=False).select("doc_id", "product_title"), "clean_docs")
     tf = FE.term_counts(docs, "doc_id", "product_title", clean=False)
     idf = FE.idf_table(tf, docs.select("doc_id"), "doc_id")
-    tot = tf.groupBy("term").agg(F.sum("tf").alias("tf_total"))
-    return r6(idf.join(tot, "term").select("term", "df", "tf_total", "idf"))
+    return r6(idf.select("term", "df", "tf_total", "idf"))
 
 
 def _user_docs(spark, d):

@@ -9,7 +9,7 @@ from ..operators import features as FE
 from ..operators import metrics, split
 from ..sources import tables
 from ..sources.columns import map_columns
-from ..operators import quality
+from ..functions.text import has_content, py_strip
 from . import sqlgen as S
 from ..session import materialize
 from .registry import r6, register
@@ -146,30 +146,48 @@ def few_shot(spark, d):
 
 # ============================ sparse text (documents) ======================================
 
-def _docs(spark, d, by_user: bool):
+def _raw_docs(spark, d):
+    """documents mapped to (doc_id, source, product_title, category); empty titles dropped
+    with the cheap raw-text check (cleaning never makes a title non-empty)."""
     docs = tables.read(spark, d, "documents").select("doc_id", "text", "lang", "source")
     p = map_columns(docs, {"product_title": "text", "category": "lang"}, keep=("doc_id", "source"))
-    p = quality.preprocess(p).withColumnRenamed("category", "label")
-    return p.withColumnRenamed("source", "user_id") if by_user else p.drop("source")
+    return p.filter(has_content("product_title"))
 
 
-def sparse_model(docs, by, key="doc_id"):
+def _labelled(spark, d, by_user: bool):
+    """Narrow (doc_id, [user_id], label): all the split needs — no text is carried.
+
+    Written once, so the split's several branches read three narrow columns
+    instead of re-reading whole texts for the emptiness check.
+    """
+    p = _raw_docs(spark, d).select("doc_id", F.col("source").alias("user_id"),
+                                   py_strip("category").alias("label"))
+    return materialize(p if by_user else p.drop("user_id"), "labelled_docs")
+
+
+def _term_counts(spark, d, by_user: bool):
+    """Whole texts cleaned and tokenised once, straight into narrow (…, doc_id, term, tf)."""
+    p = _raw_docs(spark, d).withColumnRenamed("source", "user_id")
+    by = ["user_id"] if by_user else []
+    return materialize(FE.term_counts(p, "doc_id", "product_title", by, clean=True), "term_counts")
+
+
+def sparse_model(split_tbl, tf, by, key="doc_id"):
     """TF-IDF (IDF on train) → normalised vectors → prototypes; returns (vectors, model)."""
-    # whole texts are tokenised once: the counts feed both the IDF and the vectors
-    tf = materialize(FE.term_counts(docs, key, "product_title", by, clean=False), "term_counts")
-    train = docs.filter(F.col("split") == "train").select(*by, key, "label")
-    idf = FE.idf_table(tf.join(train.select(*by, key), list(by) + [key], "left_semi"),
-                       train, key, by)
-    # the vectors feed both the model and the scoring branch: tokenise whole texts once
+    by = list(by)
+    train = split_tbl.filter(F.col("split") == "train").select(*by, key, "label")
+    idf = FE.idf_table(tf.join(train.select(*by, key), by + [key], "left_semi"), train, key, by)
+    # the vectors feed both the model and the scoring branch
     vec = materialize(FE.tfidf_vectors(tf, idf, key, by), "tfidf_vectors")
     model = C.sparse_prototypes(vec, train, key, "label", by)
     return vec, model
 
 
-def sparse_predict(docs, by, key="doc_id"):
-    vec, model = sparse_model(docs, by, key)
-    test = docs.filter(F.col("split") == "test").select(*by, key)
-    scores = C.score_sparse(vec.join(test, list(by) + [key], "left_semi"), model, key, "label", by)
+def sparse_predict(split_tbl, tf, by, key="doc_id"):
+    by = list(by)
+    vec, model = sparse_model(split_tbl, tf, by, key)
+    test = split_tbl.filter(F.col("split") == "test").select(*by, key)
+    scores = C.score_sparse(vec.join(test, by + [key], "left_semi"), model, key, "label", by)
     return scores, model
 
 
@@ -216,10 +234,9 @@ def _sd_sql(by_user: bool, split_kind: str) -> list[tuple[str, str]]:
                     f"product_title AS title FROM assigned")])
 
 
-def _flagship_docs(spark, d):
-    p = materialize(_docs(spark, d, by_user=False), "clean_docs")
-    return materialize(split.split_stratified(p, "doc_id", label="label", test_size=0.2, val_size=0.1),
-                       "split_docs")
+def _flagship_split(spark, d):
+    return materialize(split.split_stratified(_labelled(spark, d, False), "doc_id", label="label",
+                                              test_size=0.2, val_size=0.1), "split_docs")
 
 
 @register("flagship", S.with_roles([], (
@@ -237,8 +254,8 @@ def _flagship_docs(spark, d):
 def flagship(spark, d):
     """The training job end to end (CLS-12/13): load → validate → clean → stratified split →
     TF-IDF prototypes → score the test part → classification report."""
-    docs = _flagship_docs(spark, d)
-    scores, model = sparse_predict(docs, [])
+    docs = _flagship_split(spark, d)
+    scores, model = sparse_predict(docs, _term_counts(spark, d, False), [])
     pred = C.rank_scores(scores, "doc_id", "label", k_labels=C.label_counts(model))
     test = docs.filter(F.col("split") == "test").select("doc_id", F.col("label").alias("y_true"))
     scored = test.join(pred.select("doc_id", F.col("predicted").alias("y_pred")), "doc_id", "left")
@@ -253,16 +270,14 @@ def flagship(spark, d):
     "FROM tf, m GROUP BY term, m"))
 def tfidf_terms(spark, d):
     """Document frequency, total term count and IDF per term over whole texts (EMB-3)."""
-    docs = materialize(_docs(spark, d, by_user=False).select("doc_id", "product_title"), "clean_docs")
-    tf = FE.term_counts(docs, "doc_id", "product_title", clean=False)
-    idf = FE.idf_table(tf, docs.select("doc_id"), "doc_id")
+    tf = _term_counts(spark, d, False)
+    idf = FE.idf_table(tf, _labelled(spark, d, False).select("doc_id"), "doc_id")
     return r6(idf.select("term", "df", "tf_total", "idf"))
 
 
-def _user_docs(spark, d):
-    p = materialize(_docs(spark, d, by_user=True), "clean_docs")
-    return materialize(split.split_random(p, "doc_id", label="label", by=["user_id"],
-                                          test_size=0.2, val_size=0.0), "split_docs")
+def _user_split(spark, d):
+    return materialize(split.split_random(_labelled(spark, d, True), "doc_id", label="label",
+                                          by=["user_id"], test_size=0.2, val_size=0.0), "split_docs")
 
 
 @register("score_model_table", S.with_roles([], (
@@ -270,8 +285,8 @@ def _user_docs(spark, d):
     _sd_sql(True, "random") + _sparse_sql("u_", ["user_id"], "sd")))
 def score_model_table(spark, d):
     """Per-user prototype model table scored through the model join (CLS-7, §7.2)."""
-    docs = _user_docs(spark, d)
-    scores, model = sparse_predict(docs, ["user_id"])
+    docs = _user_split(spark, d)
+    scores, model = sparse_predict(docs, _term_counts(spark, d, True), ["user_id"])
     r = C.rank_scores(scores, "doc_id", "label", by=["user_id"],
                       k_labels=C.label_counts(model, by=["user_id"]))
     return r6(r.select("doc_id", "user_id", "predicted", "score"))
@@ -291,14 +306,15 @@ _COLD_SQL = S.with_roles([], (
 @register("cold_start", _COLD_SQL)
 def cold_start(spark, d):
     """User model when the user has enough training data, else the global model (JOIN-9)."""
-    docs = _user_docs(spark, d)
+    docs = _user_split(spark, d)
+    tf = _term_counts(spark, d, True)
     enough = (docs.filter(F.col("split") == "train").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
               .filter(F.col("n") >= MIN_USER_TRAIN_DOCS).select("user_id"))
-    u_docs = docs.join(enough, "user_id", "left_semi")
-    u_scores, u_model = sparse_predict(u_docs, ["user_id"])
+    u_scores, u_model = sparse_predict(docs.join(enough, "user_id", "left_semi"),
+                                       tf.join(enough, "user_id", "left_semi"), ["user_id"])
     u = C.rank_scores(u_scores, "doc_id", "label", by=["user_id"],
                       k_labels=C.label_counts(u_model, by=["user_id"]))
-    g_scores, g_model = sparse_predict(docs.drop("user_id"), [])
+    g_scores, g_model = sparse_predict(docs.drop("user_id"), tf.drop("user_id"), [])
     g = C.rank_scores(g_scores, "doc_id", "label", k_labels=C.label_counts(g_model))
     test = docs.filter(F.col("split") == "test").select("doc_id")
     out = C.with_fallback(test, u, g, "doc_id")
@@ -313,8 +329,8 @@ def cold_start(spark, d):
     _sd_sql(True, "random") + _sparse_sql("u_", ["user_id"], "sd")))
 def active_categories(spark, d):
     """Arg-max restricted to each user's own active categories (JOIN-11)."""
-    docs = _user_docs(spark, d)
-    scores, _ = sparse_predict(docs, ["user_id"])
+    docs = _user_split(spark, d)
+    scores, _ = sparse_predict(docs, _term_counts(spark, d, True), ["user_id"])
     active = (docs.filter(F.col("split") == "train").groupBy("user_id", "label")
               .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_ACTIVE_DOCS))
     s = C.restrict_labels(scores, active, "label", ["user_id"])

@@ -157,15 +157,16 @@ def run_update_latest(stream: DataFrame, name: str, key: str) -> DataFrame:
 
 # --- STRM-6: streaming scoring ---------------------------------------------------------------
 
-def pack_model(model: DataFrame, label: str = "label") -> DataFrame:
-    """One row holding every (label, coef) of a global model: bounded by k labels × d dims."""
-    return model.agg(F.collect_list(F.struct(F.col(label).alias("label"), "coef")).alias("_models"))
+def pack_model(model: DataFrame, label: str = "label") -> F.Column:
+    """Every (label, coef) of a global model as one scalar value (bounded by k labels × d dims),
+    evaluated once as an uncorrelated scalar subquery."""
+    return model.agg(F.collect_list(F.struct(F.col(label).alias("label"), "coef"))).scalar()
 
 
-def score_packed(df: DataFrame, packed: DataFrame, features: str,
+def score_packed(df: DataFrame, packed: F.Column, features: str,
                  temperature: float = TEMPERATURE) -> DataFrame:
-    """Score each row against all labels inside the row: no shuffle, works on streams."""
-    x = df.withColumn("_one", F.lit(1)).join(F.broadcast(packed.withColumn("_one", F.lit(1))), "_one")
+    """Score each row against all labels inside the row: no shuffle, no join, works on streams."""
+    x = df.withColumn("_models", packed)
     sc = F.transform("_models", lambda m: F.struct(
         (-F.round(cosine(F.col(features).cast("array<double>"), m["coef"]), 9)).alias("neg"),
         m["label"].alias("label"),

@@ -28,7 +28,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LABELFOLD_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.ansi.enabled", "false")
+        .config("spark.sql.ansi.enabled", os.environ.get("LABELFOLD_ANSI", "true"))
         .config("spark.ui.showConsoleProgress", "false")
     )
     spark = builder.getOrCreate()

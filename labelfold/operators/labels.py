@@ -75,3 +75,20 @@ def label_names(index: DataFrame, id_col: str = "label_id", label: str = "catego
                 by: Sequence[str] = ()) -> DataFrame:
     """id → label lookup table for predictions (JOIN-2)."""
     return index.select(*by, F.col(id_col), F.col(label))
+
+
+def label_map_json(index: DataFrame, id_col: str = "label_id", label: str = "category",
+                   by: Sequence[str] = ()) -> DataFrame:
+    """id → label dictionary per group as a JSON object string (MAP-1, JSON-1).
+
+    JSON object keys are strings; ``parse_label_map`` restores integer keys.
+    """
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("k"), F.col(label).alias("v"))))
+    m = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"].cast("string"), p["v"])))
+    return index.groupBy(*by).agg(F.to_json(m).alias("id_to_label"))
+
+
+def parse_label_map(df: DataFrame, col: str = "id_to_label") -> DataFrame:
+    """JSON id → label object back to MAP<INT, STRING> (keys restored to int)."""
+    parsed = F.from_json(F.col(col), "map<string,string>")
+    return df.withColumn(col, F.transform_keys(parsed, lambda k, v: k.cast("int")))

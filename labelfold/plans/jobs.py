@@ -89,6 +89,8 @@ def predict(model: PipelineModel, idx: DataFrame, df: DataFrame, features: str =
 
 def save(model: PipelineModel, idx: DataFrame, path: str, meta: dict) -> None:
     """Model directory: Spark ML pipeline + label table + metadata (SNK-1/2)."""
+    if model is None:
+        raise ValueError("no trained model to save")
     model.write().overwrite().save(f"{path}/pipeline")
     idx.write.mode("overwrite").parquet(f"{path}/labels")
     spark = idx.sparkSession

@@ -69,3 +69,11 @@ def test_bucketed_rank_equals_row_number_with_hot_group(spark):
     assert j.filter(F.abs(F.col("cum") - F.col("c2")) > 1e-9).count() == 0
     h = hash_rank(df, "id", ["g"])
     assert h.groupBy("g").agg((F.max("_rank") == F.count("*")).alias("ok")).filter("NOT ok").count() == 0
+
+
+def test_label_map_round_trip(spark):
+    df = spark.createDataFrame([(i, l) for i, l in enumerate("ABAC")], "id long, category string")
+    js = labels.label_map_json(labels.label_index(df))
+    assert js.first()[0] == '{"0":"A","1":"B","2":"C"}'
+    back = labels.parse_label_map(js).first()[0]
+    assert back == {0: "A", 1: "B", 2: "C"}

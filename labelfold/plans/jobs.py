@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import NOT_WORD_RUN
 from ..operators import classify as C
 from ..operators import labels, metrics, quality, split
-from ..session import materialize
+from ..session import materialize, spread
 from ..sources.columns import map_columns
 from ..sources.csv_source import load_dataset
 
@@ -128,7 +128,7 @@ def train(spark: SparkSession, config: dict, frame: DataFrame | None = None) ->
         frame = map_columns(frame, data.get("column_mapping"), keep=tuple(data.get("keep", ())))
     quality.validate(frame)
     pre = config.get("preprocessing", {})
-    clean = quality.preprocess(frame, lowercase=pre.get("lowercase", True),
+    clean = quality.preprocess(spread(frame), lowercase=pre.get("lowercase", True),
                                punctuation=pre.get("remove_punctuation", False))
     key = data.get("key")
     if key is None:

@@ -8,6 +8,7 @@ from ..functions.text import clean_text, null_na_tokens
 from ..operators import labels, metrics, quality, split
 from ..sources import tables
 from ..sources.columns import map_columns
+from ..session import spread
 from . import sqlgen as S
 from .registry import r6, register
 
@@ -41,13 +42,13 @@ def custom_mapping(spark, d):
 register("preprocess", S.with_roles(["products"], (
     f"SELECT doc_id, {S.clean('product_title')} AS product_title, {S.strip('category')} AS category "
     f"FROM products WHERE length({S.clean('product_title')}) > 0")))(
-    lambda spark, d: quality.preprocess(tables.products(spark, d)))
+    lambda spark, d: quality.preprocess(spread(tables.products(spark, d), "doc_id")))
 
 register("preprocess_punct", S.with_roles(["products"], (
     f"SELECT doc_id, {S.clean('product_title', True, True)} AS product_title, "
     f"{S.strip('category')} AS category FROM products "
     f"WHERE length({S.clean('product_title', True, True)}) > 0")))(
-    lambda spark, d: quality.preprocess(tables.products(spark, d), punctuation=True))
+    lambda spark, d: quality.preprocess(spread(tables.products(spark, d), "doc_id"), punctuation=True))
 
 register("preprocess_removed", S.with_roles(["products"], (
     f"SELECT category, count(*) AS n_before, "

@@ -11,7 +11,7 @@ from ..sources import tables
 from ..sources.columns import map_columns
 from ..functions.text import has_content, py_strip
 from . import sqlgen as S
-from ..session import materialize
+from ..session import materialize, spread
 from .registry import r6, register
 
 T = C.TEMPERATURE
@@ -167,7 +167,7 @@ def _labelled(spark, d, by_user: bool):
 
 def _term_counts(spark, d, by_user: bool):
     """Whole texts cleaned and tokenised once, straight into narrow (…, doc_id, term, tf)."""
-    p = _raw_docs(spark, d).withColumnRenamed("source", "user_id")
+    p = spread(_raw_docs(spark, d).withColumnRenamed("source", "user_id"), "doc_id")
     by = ["user_id"] if by_user else []
     return materialize(FE.term_counts(p, "doc_id", "product_title", by, clean=True), "term_counts")
 

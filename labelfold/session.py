@@ -69,3 +69,17 @@ def materialize(df, name: str = "table"):
     path = checkpoint_path(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df, *keys: str):
+    """Hash-spread rows over the cluster when the input has fewer partitions than cores.
+
+    A scan of few, large row groups gives one task per row group; CPU-heavy
+    per-row work (whole-text cleaning and tokenising) would then run on a few
+    cores.  At cluster scale the scan already has far more splits than cores
+    and this is a no-op.  The partition count is read from the plan (no job).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys) if keys else df.repartition(cores)

@@ -166,9 +166,6 @@ def stores_batch(spark, sf_dir) -> DataFrame:
 
 # --- feedback / monitoring roles (events) -----------------------------------------
 
-FEEDBACK_TYPE = {"purchase": "confirmation", "error": "correction", "view": "rejection"}
-
-
 def _k() -> F.Column:
     return F.get_json_object("props", "$.k").cast("int")
 

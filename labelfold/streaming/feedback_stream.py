@@ -14,7 +14,7 @@ latency uses 1 h windows sliding by 15 min.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -212,8 +212,6 @@ def incremental_prototypes(stream: DataFrame, name: str, features: str = "embedd
     return state.select(label, "n", F.transform("s", lambda x: x / F.col("n")).alias("centroid"))
 
 
-__all__ = ["table_stream", "run_append", "run_complete", "run_update_latest", "Callable"]
-
 
 # --- STRM-5: retrain due users inside foreachBatch --------------------------------------------
 

@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from labelfold.operators import classify as C
 from labelfold.operators import features as FE

@@ -1,5 +1,4 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 from labelfold.streaming import feedback_stream as FS
 

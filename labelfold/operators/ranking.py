@@ -111,8 +111,23 @@ def hash_rank_pair(df: DataFrame, key: str, by: Sequence[str], sub: str, seed: i
 
 
 def time_rank(df: DataFrame, ts: str, key: str, by: Sequence[str] = (),
-              rank_col: str = "_rank", size_col: str | None = "_n") -> DataFrame:
-    """Rank rows within ``by`` by (ts, key); buckets are calendar days."""
-    day = F.datediff(F.to_date(F.col(ts)), F.lit("1970-01-01"))
-    return bucketed_rank(df, by, [F.col(ts), F.col(key)], day,
+              rank_col: str = "_rank", size_col: str | None = "_n",
+              key_width: int = 1 << 20) -> DataFrame:
+    """Rank rows within ``by`` by (ts, key).
+
+    Buckets must be monotone in (ts, key): a DATE order key buckets by
+    (day, key // key_width) for numeric keys, so one hot day of one user is
+    still cut into many buckets; a TIMESTAMP order key buckets by minute.
+    """
+    from pyspark.sql import types as T
+    t = df.schema[ts].dataType
+    if isinstance(t, T.DateType):
+        day = F.datediff(F.col(ts), F.lit("1970-01-01"))
+        if isinstance(df.schema[key].dataType, (T.IntegerType, T.LongType, T.ShortType)):
+            bucket = F.struct(day.alias("d"), F.floor(F.col(key) / key_width).alias("k"))
+        else:
+            bucket = day
+    else:
+        bucket = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(60_000_000))
+    return bucketed_rank(df, by, [F.col(ts), F.col(key)], bucket,
                          rank_col=rank_col, size_col=size_col)

@@ -77,3 +77,19 @@ def test_label_map_round_trip(spark):
     assert js.first()[0] == '{"0":"A","1":"B","2":"C"}'
     back = labels.parse_label_map(js).first()[0]
     assert back == {0: "A", 1: "B", 2: "C"}
+
+
+def test_time_rank_hot_day_matches_row_number(spark):
+    import datetime as dt
+    from labelfold.operators.ranking import time_rank
+    random.seed(5)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i * 7919 % 5_000_000, "hot" if i % 4 else "u%d" % (i % 7),
+             base + dt.timedelta(seconds=random.randint(0, 3 * 86400)))
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, user string, ts timestamp") \
+        .withColumn("d", F.to_date("ts"))
+    for col in ("d", "ts"):
+        r = time_rank(df, col, "id", ["user"], key_width=1 << 16)
+        ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("user").orderBy(col, "id")))
+        assert r.join(ref.select("id", "rn"), "id").filter(F.col("_rank") != F.col("rn")).count() == 0

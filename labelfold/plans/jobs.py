@@ -151,3 +151,34 @@ def train(spark: SparkSession, config: dict, frame: DataFrame | None = None) ->
     return {"model": model, "labels": idx, "split": parts,
             "evaluation": metrics.evaluate(s, by=["split"]),
             "report": metrics.classification_report(s.filter("split = 'test'"))}
+
+
+def fit_mlp_early_stopping(train: DataFrame, key: str, features: str = "vector",
+                           iter_grid=(25, 50, 100, 200, 500), params: dict | None = None,
+                           validation_fraction: float = 0.1, seed: int = 42,
+                           label: str = "category"):
+    """MLP with early stopping approximated by a ``maxIter`` grid scored on a hold-out (CLS-3).
+
+    The hold-out is the seeded-hash ``validation_fraction`` of the train part
+    (same split machinery as the data split); each grid point is refitted on
+    the rest and the best hold-out accuracy wins (ties → fewer iterations).
+    Returns (model, label index, {max_iter: hold-out accuracy}).
+    """
+    parts = split.split_random(train, key, label=label, test_size=validation_fraction,
+                               val_size=0.0, seed=seed)
+    parts = materialize(parts, "mlp_holdout")
+    fit_part = parts.filter(F.col("split") == "train").drop("split")
+    hold = parts.filter(F.col("split") == "test").drop("split")
+    scores = {}
+    best = None
+    for it in sorted(iter_grid):
+        p = dict(params or {}, max_iter=it)
+        model, idx = fit(fit_part, "mlp", p, features=features, label=label)
+        acc = (predict(model, idx, hold, features=features, label=label)
+               .agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0])
+        scores[it] = acc
+        if best is None or acc > best[0]:
+            best = (acc, it)
+    p = dict(params or {}, max_iter=best[1])
+    model, idx = fit(train, "mlp", p, features=features, label=label)
+    return model, idx, scores

@@ -92,3 +92,11 @@ def test_cross_validation_picks_a_reg_param(spark):
                              num_features=1 << 12)
     assert len(cv.avgMetrics) == 2 and all(0.0 <= m <= 1.0 for m in cv.avgMetrics)
     assert cv.bestModel.stages[-1].getRegParam() in (0.0, 0.1)
+
+
+def test_mlp_early_stopping_grid(spark):
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet").withColumn("category", F.col("label").cast("string"))
+    model, idx, scores = jobs.fit_mlp_early_stopping(emb, "vec_id", iter_grid=(5, 20),
+                                                     params={"hidden_layer_sizes": (8,)})
+    assert set(scores) == {5, 20} and all(0.0 <= v <= 1.0 for v in scores.values())
+    assert jobs.predict(model, idx, emb, features="vector").filter("predicted IS NULL").count() == 0

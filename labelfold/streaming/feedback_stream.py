@@ -60,8 +60,8 @@ def run_complete(stream: DataFrame, name: str) -> DataFrame:
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", ck)
          .outputMode("complete").trigger(availableNow=True).start())
     q.awaitTermination()
-    latest = spark.read.parquet(data).agg(F.max("epoch")).first()[0]
-    return spark.read.parquet(f"{data}/epoch={latest:012d}")
+    # the newest epoch folder holds the complete result (found by listing, not scanning)
+    return spark.read.parquet(_versions(spark, data, prefix="epoch=")[-1])
 
 
 # --- STRM-1: feedback ingest ----------------------------------------------------------------
@@ -255,7 +255,7 @@ def retrain_due_users(stream: DataFrame, training_path: str, models_path: str, e
             .trigger(availableNow=True).start())
 
 
-def _versions(spark: SparkSession, root: str) -> list[str]:
+def _versions(spark: SparkSession, root: str, prefix: str = "v") -> list[str]:
     """Existing state versions under ``root`` (sorted), found through the Hadoop file system."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
@@ -263,7 +263,7 @@ def _versions(spark: SparkSession, root: str) -> list[str]:
     if not fs.exists(path):
         return []
     names = sorted(str(s.getPath().toString()) for s in fs.listStatus(path)
-                   if s.isDirectory() and s.getPath().getName().startswith("v"))
+                   if s.isDirectory() and s.getPath().getName().startswith(prefix))
     return names
 
 

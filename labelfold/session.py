@@ -79,7 +79,10 @@ def spread(df, *keys: str):
     cores.  At cluster scale the scan already has far more splits than cores
     and this is a no-op.  The partition count is read from the plan (no job).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the plan as is
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)

@@ -40,3 +40,13 @@ def test_zero_shot_with_toy_encoder(spark):
                                                  "id long, text string"), "text", factory, 3)
     got = {r["id"]: r["predicted"] for r in C.zero_shot(items, cats, "id", "embedding").collect()}
     assert got == {1: "phone", 2: "laptop"}
+
+
+def test_prediction_log_partitioned_by_day(spark, tmp_path):
+    path = str(tmp_path / "predictions")
+    t = dt.datetime(2024, 3, 1, 12, 0)
+    rows = [(1, "a", 0.9, t), (2, "b", 0.4, t + dt.timedelta(days=1))]
+    sinks.append_predictions(spark.createDataFrame(
+        rows, "transaction_id long, predicted string, confidence double, scored_at timestamp"), path)
+    back = spark.read.parquet(path)
+    assert back.count() == 2 and back.select("day").distinct().count() == 2

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify as C
 from ..operators import features as FE
+from ..operators import neighbors as NB
 from ..operators import metrics, split
 from ..sources import tables
 from ..sources.columns import map_columns
@@ -336,3 +337,25 @@ def active_categories(spark, d):
     s = C.restrict_labels(scores, active, "label", ["user_id"])
     r = C.rank_scores(s, "doc_id", "label", by=["user_id"])
     return r.select("doc_id", "user_id", "predicted")
+
+
+# ============================ similar items (exact) ==========================================
+
+@register("knn_exact", _dense_sql(
+    "SELECT query_id, item_id, rank, round(cosine, 6) AS cosine FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, item_id) AS rank FROM ("
+    "SELECT q.vec_id AS query_id, t.vec_id AS item_id, "
+    "CASE WHEN qn.n * tn.n = 0 THEN 0.0 ELSE sum(q.x * t.x) / (qn.n * tn.n) END AS cosine "
+    "FROM tei q JOIN tri2 t USING (i) JOIN qn2 qn ON qn.vec_id = q.vec_id JOIN tn ON tn.vec_id = t.vec_id "
+    "GROUP BY q.vec_id, t.vec_id, qn.n, tn.n)) WHERE rank <= 5",
+    extra=[("tri2", "SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM "
+                    "(SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM tr)"),
+           ("tn", "SELECT vec_id, sqrt(sum(x * x)) AS n FROM tri2 GROUP BY vec_id"),
+           ("qn2", "SELECT vec_id, sqrt(sum(x * x)) AS n FROM tei GROUP BY vec_id")]))
+def knn_exact(spark, d):
+    """Top-5 most similar training vectors of every test vector, exact (JOIN-10, SORT-5)."""
+    s = _vectors_split(spark, d)
+    q = s.filter(F.col("split") == "test").select("vec_id", "embedding")
+    c = s.filter(F.col("split") == "train").select("vec_id", "embedding")
+    out = NB.nearest_exact(q, c, "vec_id", "embedding", k=5)
+    return r6(out.select("query_id", "item_id", "rank", "cosine"))

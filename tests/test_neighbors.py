@@ -25,3 +25,40 @@ def test_lsh_neighbours_recall_against_brute_force(spark):
         hits += len(set(order) & found.get(qi, set()))
         total += 5
     assert hits / total >= 0.5
+
+
+def _brute(qs, cs, k):
+    out = {}
+    for qid, qv in qs:
+        qv = np.asarray(qv, float) / np.linalg.norm(qv)
+        sims = sorted(((round(float(qv @ (np.asarray(v, float) / np.linalg.norm(v))), 9), cid)
+                       for cid, v in cs), key=lambda t: (-t[0], t[1]))
+        out[qid] = [cid for _, cid in sims[:k]]
+    return out
+
+
+def test_exact_neighbours_match_brute_force(spark):
+    from labelfold.operators.neighbors import nearest_exact
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    q = emb.filter("vec_id % 5 = 0")
+    c = emb.filter("vec_id % 5 != 0")
+    got = {}
+    for r in nearest_exact(q, c, "vec_id", "embedding", k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"]))
+    ref = _brute([(r[0], r[1]) for r in q.collect()], [(r[0], r[1]) for r in c.collect()], 5)
+    assert {k: [i for _, i in sorted(v)] for k, v in got.items()} == ref
+
+
+def test_exact_neighbours_prune_on_clustered_data(spark):
+    from labelfold.operators.neighbors import nearest_exact
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(8, 16)) * 10
+    rows = [(i, [float(x) for x in centers[i % 8] + rng.normal(size=16) * 0.1]) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    q, c = df.filter("id < 40"), df.filter("id >= 40")
+    res = nearest_exact(q, c, "id", "v", k=3, n_clusters=8)
+    got = {}
+    for r in res.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"]))
+    ref = _brute([(r[0], r[1]) for r in q.collect()], [(r[0], r[1]) for r in c.collect()], 3)
+    assert {k: [i for _, i in sorted(v)] for k, v in got.items()} == ref

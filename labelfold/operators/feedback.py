@@ -91,6 +91,25 @@ def acceptance(fb: DataFrame, by: Sequence[str] = ("user_id",)) -> DataFrame:
         F.avg(F.when(accepted, F.col("prediction_confidence"))).alias("avg_confidence_accepted"))
 
 
+def acceptance_from_transactions(tx: DataFrame, by: Sequence[str] = ("user_id",),
+                                 label: str = "category", predicted: str = "predicted",
+                                 all_transactions: bool = False) -> DataFrame:
+    """UAR and correction rate on the ledger itself (AGG-15).
+
+    A prediction is accepted when the final category equals it, changed when it
+    differs.  The denominator is the transactions that carry a prediction;
+    ``all_transactions=True`` divides by every transaction (the literal formula).
+    """
+    has_pred = F.col(predicted).isNotNull()
+    accepted = has_pred & F.coalesce(F.col(predicted) == F.col(label), F.lit(False))
+    changed = has_pred & ~accepted
+    denom = F.count(F.lit(1)) if all_transactions else F.count_if(has_pred)
+    return tx.groupBy(*by).agg(
+        denom.alias("n"),
+        (F.count_if(accepted) / denom).alias("acceptance_rate"),
+        (F.count_if(changed) / denom).alias("correction_rate"))
+
+
 def feedback_accuracy(tx: DataFrame, by: Sequence[str] = ("user_id",), label: str = "category",
                       predicted: str = "predicted") -> DataFrame:
     """predicted == category over rows with a category; NULL prediction is wrong (AGG-16)."""

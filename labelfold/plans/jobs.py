@@ -18,7 +18,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import NOT_WORD_RUN
+from ..functions.text import NOT_WORD_RUN, clean_text
 from ..operators import classify as C
 from ..operators import labels, metrics, quality, split
 from ..session import materialize, spread
@@ -72,10 +72,17 @@ def fit(train: DataFrame, classifier_type: str = "lr", params: dict | None = Non
 
 
 def predict(model: PipelineModel, idx: DataFrame, df: DataFrame, features: str = "text",
-            vector_col: str = "embedding", label: str = "category") -> DataFrame:
-    """One transform: predicted label, probabilities and confidence (CLS-8..10)."""
+            vector_col: str = "embedding", label: str = "category", clean: bool = True,
+            lowercase: bool = True, punctuation: bool = False) -> DataFrame:
+    """One transform: predicted label, probabilities and confidence (CLS-8..10).
+
+    Text is cleaned exactly as for training (``clean=False`` reproduces the
+    reference, which scores raw titles).
+    """
     if features == "vector":
         df = df.withColumn("features", array_to_vector(F.col(vector_col).cast("array<double>")))
+    elif clean:
+        df = df.withColumn("product_title", clean_text("product_title", lowercase, punctuation))
     out = model.transform(df)
     if "probability" in out.columns:
         out = out.withColumn("proba", vector_to_array("probability")).withColumn(

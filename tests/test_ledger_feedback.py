@@ -61,3 +61,12 @@ def test_retrain_due_reasons(spark):
     assert out[1] == (12, "feedback_threshold", True)
     assert out[2] == (0, None, False)          # trained 11 h ago, nothing new
     assert out[3] == (1, "periodic", True)     # never trained
+
+
+def test_acceptance_denominators(spark):
+    tx = spark.createDataFrame([(1, "a", "a"), (1, "a", "b"), (1, "b", None), (1, "b", "b")],
+                               "user_id long, category string, predicted string")
+    d = fbk.acceptance_from_transactions(tx).first()
+    assert (d["n"], d["acceptance_rate"], d["correction_rate"]) == (3, 2 / 3, 1 / 3)
+    lit = fbk.acceptance_from_transactions(tx, all_transactions=True).first()
+    assert (lit["n"], lit["acceptance_rate"], lit["correction_rate"]) == (4, 0.5, 0.25)

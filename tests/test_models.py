@@ -100,3 +100,14 @@ def test_mlp_early_stopping_grid(spark):
                                                      params={"hidden_layer_sizes": (8,)})
     assert set(scores) == {5, 20} and all(0.0 <= v <= 1.0 for v in scores.values())
     assert jobs.predict(model, idx, emb, features="vector").filter("predicted IS NULL").count() == 0
+
+
+def test_predict_cleans_like_training(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select(
+        F.col("text").alias("product_title"), F.col("lang").alias("category"), "doc_id")
+    from labelfold.operators import quality
+    model, idx = jobs.fit(quality.preprocess(docs), "lr", {"max_iter": 5})
+    noisy = docs.withColumn("product_title", F.concat(F.lit("   "), F.upper("product_title"), F.lit("  ")))
+    a = jobs.predict(model, idx, docs).select("doc_id", "predicted")
+    b = jobs.predict(model, idx, noisy).select("doc_id", "predicted")
+    assert a.exceptAll(b).count() == 0   # cleaning removes the case/space noise before scoring

@@ -56,3 +56,12 @@ def test_dedupe_within_watermark_and_triggers(spark, tmp_path):
                                 "t_trig", "user_id")
     got = {r["user_id"]: (r["n_examples"], r["fires"]) for r in trig.collect()}
     assert got == {0: (20, 2), 1: (20, 2)}
+
+
+def test_live_windows_append_mode_emits_closed_windows(spark):
+    d = "/root/testdata/sf0.001"
+    closed = FS.run_append(FS.live_acceptance(FS.table_stream(spark, d, "events")), "t_live_append")
+    full = FS.run_complete(FS.live_acceptance(FS.table_stream(spark, d, "events")), "t_live_complete")
+    n_closed, n_full = closed.count(), full.count()
+    assert 0 < n_closed < n_full                      # the still-open last window is not emitted
+    assert closed.join(full, "w").filter(closed["n"] != full["n"]).count() == 0

@@ -61,7 +61,9 @@ def nearest_exact(queries: DataFrame, corpus: DataFrame, key: str, features: str
     c = _unit(corpus, key, features)
     if n_clusters is None:
         n_clusters = max(1, int(c.count() ** 0.5 // 2))
-    km = KMeans(k=n_clusters, seed=seed, featuresCol="features", predictionCol="cl").fit(c)
+    # cluster quality only affects how much is pruned, never the answer: a short fit suffices
+    km = KMeans(k=n_clusters, seed=seed, featuresCol="features", predictionCol="cl",
+                maxIter=10, initSteps=2).fit(c)
     cc = km.transform(c).select(F.col("id").alias("item_id"), "cl", vector_to_array("features").alias("v"))
     centers = c.sparkSession.createDataFrame(
         [(i, [float(x) for x in ctr]) for i, ctr in enumerate(km.clusterCenters())], "cl int, center array<double>")

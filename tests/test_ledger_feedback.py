@@ -70,3 +70,16 @@ def test_acceptance_denominators(spark):
     assert (d["n"], d["acceptance_rate"], d["correction_rate"]) == (3, 2 / 3, 1 / 3)
     lit = fbk.acceptance_from_transactions(tx, all_transactions=True).first()
     assert (lit["n"], lit["acceptance_rate"], lit["correction_rate"]) == (4, 0.5, 0.25)
+
+
+def test_plan_shapes_topk_and_validation(spark):
+    from labelfold.operators import quality
+    df = spark.range(1000).select((F.col("id") % 7).alias("g"), F.col("id").alias("v"))
+    top = ledger.latest_per_group(df, ["g"], [F.col("v").desc()], k=3)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert top.count() == 21
+    prof = quality.validate_profile(spark.createDataFrame([("a", "x"), ("b", "y")],
+                                                          "product_title string, category string"))
+    p2 = prof._jdf.queryExecution().executedPlan().toString()
+    assert p2.count("HashAggregate") + p2.count("ObjectHashAggregate") + p2.count("SortAggregate") <= 4

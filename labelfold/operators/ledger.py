@@ -78,28 +78,23 @@ def transaction_tags(transactions: DataFrame, bridge: DataFrame) -> DataFrame:
                     F.array_join("tags", ",").alias("tags")))
 
 
-def tree_paths(nodes: DataFrame, max_depth: int = 64, checkpoint_every: int = 4) -> DataFrame:
+def tree_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     """Expand an (id, parent_id) hierarchy: (id, root_id, depth, path) (JOIN-7).
 
-    Level-by-level self-join from the roots.  The loop stops when a level is
-    empty; ``max_depth`` guards against cycles (nodes on a cycle are never
-    reached from a root).  Lineage is cut into the shared checkpoint folder.
+    One recursive CTE (Spark plans it as a ``UnionLoop``): each step joins the
+    previous level with its children, the loop ends on an empty level, and
+    ``max_depth`` guards against cycles (nodes on a cycle are never reached
+    from a root).  No driver-side loop.
     """
-    edges = nodes.select("id", "parent_id").filter(F.col("parent_id").isNotNull())
-    level = nodes.filter(F.col("parent_id").isNull()).select(
-        "id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.col("id").alias("path"))
-    out = level
-    for depth in range(1, max_depth + 1):
-        level = (edges.join(level.select(F.col("id").alias("parent_id"), "root_id",
-                                         F.col("path").alias("ppath")), "parent_id")
-                 .select("id", "root_id", F.lit(depth).alias("depth"),
-                         F.concat_ws("/", "ppath", "id").alias("path")))
-        if depth % checkpoint_every == 0:
-            level = level.checkpoint()
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    query = f"""
+        WITH RECURSIVE p(id, root_id, depth, path) AS (
+          SELECT id, id, 0, id FROM {{nodes}} WHERE parent_id IS NULL
+          UNION ALL
+          SELECT n.id, p.root_id, p.depth + 1, concat_ws('/', p.path, n.id)
+          FROM {{nodes}} n JOIN p ON n.parent_id = p.id
+          WHERE p.depth < {int(max_depth)})
+        SELECT id, root_id, depth, path FROM p"""
+    return nodes.sparkSession.sql(query, nodes=nodes.select("id", "parent_id"))
 
 
 def store_upsert(known: DataFrame, batch: DataFrame) -> DataFrame:

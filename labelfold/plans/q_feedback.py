@@ -67,7 +67,7 @@ register("acceptance_rate", S.with_roles(["feedback"], (
     f"SELECT user_id, count(*) AS n, round(avg(CASE WHEN {_ACCEPT} THEN 1.0 ELSE 0.0 END), 6) "
     "AS acceptance_rate, round(avg(CASE WHEN feedback_type = 'correction' THEN 1.0 ELSE 0.0 END), 6) "
     "AS correction_rate, round(avg(CASE WHEN feedback_type = 'rejection' THEN 1.0 ELSE 0.0 END), 6) "
-    f"AS rejection_rate, round(avg(CASE WHEN {_ACCEPT} THEN prediction_confidence END), 6) "
+    f"AS rejection_rate, round(CAST(avg(CASE WHEN {_ACCEPT} THEN prediction_confidence END) AS DECIMAL(18,8)), 6) "
     "AS avg_confidence_accepted FROM feedback GROUP BY user_id")))(
     lambda spark, d: r6(fbk.acceptance(tables.feedback(spark, d))))
 

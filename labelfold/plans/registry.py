@@ -32,7 +32,9 @@ def r6(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every floating/decimal column to ``digits`` places as DOUBLE."""
     out = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+        if isinstance(f.dataType, T.DecimalType):  # exact: round half-up in decimal, then to double
+            out.append(F.round(F.col(f"`{f.name}`"), digits).cast("double").alias(f.name))
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             out.append(F.round(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))

@@ -68,7 +68,7 @@ ROLES = {
         "SELECT event_id, user_id, event_id AS transaction_id, ts AS created_at, "
         "CASE event_type WHEN 'purchase' THEN 'confirmation' WHEN 'error' THEN 'correction' "
         "WHEN 'view' THEN 'rejection' END AS feedback_type, "
-        "CAST(json_extract_string(props, '$.k') AS INTEGER) / 100.0 AS prediction_confidence, "
+        "CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) / 100.0 AS DECIMAL(5,4)) AS prediction_confidence, "
         "CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 AS predicted_category_id, "
         "CASE WHEN event_type = 'error' THEN (CAST(json_extract_string(props, '$.k') AS INTEGER) + 1) % 5 "
         "ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 END AS correct_category_id, "

@@ -189,7 +189,8 @@ def feedback(spark, sf_dir) -> DataFrame:
         F.col("event_id").alias("transaction_id"),
         F.col("ts").cast("timestamp").alias("created_at"),
         ftype.alias("feedback_type"),
-        (k.cast("double") / 100.0).alias("prediction_confidence"),
+        # decimal(5,4) as declared for feedback_events: sums stay exact in every engine
+        (k.cast("double") / 100.0).cast("decimal(5,4)").alias("prediction_confidence"),
         predicted.alias("predicted_category_id"),
         correct.alias("correct_category_id"),
         (k >= 5).alias("is_used_for_training"))

@@ -92,22 +92,24 @@ def acceptance(fb: DataFrame, by: Sequence[str] = ("user_id",)) -> DataFrame:
 
 
 def acceptance_from_transactions(tx: DataFrame, by: Sequence[str] = ("user_id",),
-                                 label: str = "category", predicted: str = "predicted",
-                                 all_transactions: bool = False) -> DataFrame:
-    """UAR and correction rate on the ledger itself (AGG-15).
+                                 label: str = "category", predicted: str = "predicted") -> DataFrame:
+    """UAR and correction rate on the ledger itself, both denominators in one pass (AGG-15).
 
     A prediction is accepted when the final category equals it, changed when it
-    differs.  The denominator is the transactions that carry a prediction;
-    ``all_transactions=True`` divides by every transaction (the literal formula).
+    differs.  ``acceptance_rate`` / ``correction_rate`` divide by the
+    transactions that carry a prediction; the ``*_all`` columns divide by every
+    transaction (the literal formula).
     """
     has_pred = F.col(predicted).isNotNull()
     accepted = has_pred & F.coalesce(F.col(predicted) == F.col(label), F.lit(False))
     changed = has_pred & ~accepted
-    denom = F.count(F.lit(1)) if all_transactions else F.count_if(has_pred)
-    return tx.groupBy(*by).agg(
-        denom.alias("n"),
-        (F.count_if(accepted) / denom).alias("acceptance_rate"),
-        (F.count_if(changed) / denom).alias("correction_rate"))
+    g = tx.groupBy(*by).agg(F.count_if(has_pred).alias("n_predicted"), F.count(F.lit(1)).alias("n_all"),
+                            F.count_if(accepted).alias("_acc"), F.count_if(changed).alias("_chg"))
+    return g.select(*by, "n_predicted", "n_all",
+                    (F.col("_acc") / F.col("n_predicted")).alias("acceptance_rate"),
+                    (F.col("_chg") / F.col("n_predicted")).alias("correction_rate"),
+                    (F.col("_acc") / F.col("n_all")).alias("acceptance_rate_all"),
+                    (F.col("_chg") / F.col("n_all")).alias("correction_rate_all"))
 
 
 def feedback_accuracy(tx: DataFrame, by: Sequence[str] = ("user_id",), label: str = "category",

@@ -236,3 +236,17 @@ register("split_temporal", S.with_roles(["transactions"], (
     "ORDER BY transaction_date, id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM transactions)")))(
     lambda spark, d: split.split_temporal(tables.transactions(spark, d), "id", "transaction_date")
     .select("id", "split"))
+
+
+@register("acceptance_ledger", S.with_roles(["transactions"], (
+    "SELECT user_id, count(*) FILTER (WHERE predicted IS NOT NULL) AS n_predicted, count(*) AS n_all, "
+    "round(count(*) FILTER (WHERE predicted = category) / count(*) FILTER (WHERE predicted IS NOT NULL), 6) "
+    "AS acceptance_rate, round(count(*) FILTER (WHERE predicted <> category) / "
+    "count(*) FILTER (WHERE predicted IS NOT NULL), 6) AS correction_rate, "
+    "round(count(*) FILTER (WHERE predicted = category) / count(*), 6) AS acceptance_rate_all "
+    "FROM transactions GROUP BY user_id")))
+def acceptance_ledger(spark, d):
+    """UAR / correction rate over transactions with a prediction, and the literal
+    all-transactions UAR (AGG-15)."""
+    return r6(fbk.acceptance_from_transactions(tables.transactions(spark, d)).select(
+        "user_id", "n_predicted", "n_all", "acceptance_rate", "correction_rate", "acceptance_rate_all"))

@@ -67,9 +67,8 @@ def test_acceptance_denominators(spark):
     tx = spark.createDataFrame([(1, "a", "a"), (1, "a", "b"), (1, "b", None), (1, "b", "b")],
                                "user_id long, category string, predicted string")
     d = fbk.acceptance_from_transactions(tx).first()
-    assert (d["n"], d["acceptance_rate"], d["correction_rate"]) == (3, 2 / 3, 1 / 3)
-    lit = fbk.acceptance_from_transactions(tx, all_transactions=True).first()
-    assert (lit["n"], lit["acceptance_rate"], lit["correction_rate"]) == (4, 0.5, 0.25)
+    assert (d["n_predicted"], d["acceptance_rate"], d["correction_rate"]) == (3, 2 / 3, 1 / 3)
+    assert (d["n_all"], d["acceptance_rate_all"], d["correction_rate_all"]) == (4, 0.5, 0.25)
 
 
 def test_plan_shapes_topk_and_validation(spark):

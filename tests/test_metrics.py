@@ -64,3 +64,15 @@ def test_exact_percentiles_vs_numpy(spark):
         vals = np.array([v for k, v in rows if k == g])
         for name, q in (("p50", 50), ("p95", 95), ("p99", 99)):
             assert got[g][name] == pytest.approx(np.percentile(vals, q), rel=1e-12, abs=1e-9)
+
+
+def test_confusion_matrix_wide_and_strict_encoding(spark):
+    from labelfold.operators import labels
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "a")], "y_true string, y_pred string")
+    wide = {r["y_true"]: r.asDict() for r in metrics.confusion_matrix_wide(df).collect()}
+    assert wide["a"]["a"] == 1 and wide["a"]["b"] == 1 and wide["c"]["a"] == 1 and wide["c"]["c"] == 0
+    idx = labels.label_index(spark.createDataFrame([("a",), ("b",)], "category string"))
+    unknown = spark.createDataFrame([("a",), ("z",)], "category string")
+    assert labels.encode_labels(unknown, idx).filter("label_id IS NULL").count() == 1
+    with pytest.raises(KeyError):
+        labels.encode_labels(unknown, idx, strict=True)

@@ -85,3 +85,14 @@ def test_preprocess_drops_blank(spark):
     assert out == [("a", "x"), ("b", "z")]
     r = preprocess_removed(df).first()
     assert (r["n_before"], r["n_after"], r["n_removed"]) == (3, 2, 1)
+
+
+def test_csv_alternative_names_and_mapping(spark, tmp_path):
+    d = write(tmp_path, "alt.csv", "title,category_name\niPhone 15,Electronics\nMacBook,Computers\n"
+              "Galaxy,Electronics\nDell XPS,Computers\n")
+    auto = load_dataset(spark, d, "alt.csv")
+    assert auto.columns == ["product_title", "category"] and auto.count() == 4
+    mapped = load_dataset(spark, d, "alt.csv", {"product_title": "title", "category": "category_name"})
+    assert sorted(r["category"] for r in mapped.collect()) == ["Computers", "Computers", "Electronics", "Electronics"]
+    with pytest.raises(ValueError):
+        load_dataset(spark, d, "alt.csv", {"product_title": "nope"})

@@ -76,3 +76,16 @@ def test_confusion_matrix_wide_and_strict_encoding(spark):
     assert labels.encode_labels(unknown, idx).filter("label_id IS NULL").count() == 1
     with pytest.raises(KeyError):
         labels.encode_labels(unknown, idx, strict=True)
+
+
+def test_exact_percentiles_edge_cases(spark):
+    rows = [("one", 5.0), ("same", 2.5), ("same", 2.5), ("same", 2.5), ("neg", -10.0), ("neg", -0.5),
+            ("neg", 0.0), ("neg", 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in exact_percentiles(df, "v", {"p50": .5, "p90": .9}, ["g"]).collect()}
+    for g in ("one", "same", "neg"):
+        vals = np.array([v for k, v in rows if k == g])
+        assert got[g]["p50"] == pytest.approx(np.percentile(vals, 50))
+        assert got[g]["p90"] == pytest.approx(np.percentile(vals, 90))
+    glob = exact_percentiles(df, "v", {"p50": .5}).first()
+    assert glob["p50"] == pytest.approx(np.percentile([v for _, v in rows], 50))

@@ -62,8 +62,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _hash_bytes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words in ``data``; no word spans a position of ``cuts`` (sorted)."""
+def _hash_bytes(data: np.ndarray, cuts: np.ndarray, head: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words in ``data``; no word spans a position of ``cuts`` (sorted).
+
+    With ``head``, the hashes are of the words' first ``head`` bytes.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -78,7 +81,8 @@ def _hash_bytes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     power, inverse = _powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[data]] * power[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts]), starts, ends
+    stops = np.minimum(starts + head, ends) if head else ends
+    return mix((total[stops] - total[starts]) * inverse[starts] + np.uint64(head)), starts, ends
 
 
 def _text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,12 +95,13 @@ def _text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def word_chunks(column: pa.Array, normalise: np.ndarray | None = None):
+def word_chunks(column: pa.Array, normalise: np.ndarray | None = None, head: int = 0):
     """Yield ``(first_row, word_counts, hashes)`` for runs of rows of a text column.
 
     ``word_counts[i]`` is the number of words of row ``first_row + i``; hashes
     are in text order.  ``normalise`` maps each byte before hashing (to split at
-    punctuation, map it to a space).  A text longer than a chunk is hashed in
+    punctuation, map it to a space); ``head`` hashes only the first bytes of each
+    word.  A text longer than a chunk is hashed in
     pieces cut at white space.
     """
     offsets, data = _text_buffers(column)
@@ -108,7 +113,7 @@ def word_chunks(column: pa.Array, normalise: np.ndarray | None = None):
         if hi - lo <= 2 * CHUNK_BYTES:
             part = data[lo:hi] if normalise is None else normalise[data[lo:hi]]
             cuts = offsets[row:stop + 1] - lo
-            hashes, starts, _ = _hash_bytes(part, cuts[1:-1])
+            hashes, starts, _ = _hash_bytes(part, cuts[1:-1], head)
             counts = np.diff(np.searchsorted(starts, cuts))
         else:  # one long text
             pieces = []
@@ -117,7 +122,7 @@ def word_chunks(column: pa.Array, normalise: np.ndarray | None = None):
                 while end < hi and not _SPACE[data[end]]:  # to the end of the word
                     end += 1
                 part = data[lo:end] if normalise is None else normalise[data[lo:end]]
-                pieces.append(_hash_bytes(part, np.zeros(0, np.int64))[0])
+                pieces.append(_hash_bytes(part, np.zeros(0, np.int64), head)[0])
                 lo = end
             hashes = np.concatenate(pieces)
             counts = np.array([len(hashes)])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import secret_scan, url_filter
+from . import html_text, secret_scan, toxicity, url_filter
 
 QUERIES = {
+    "op4_html_text": html_text.query,
+    "op8_toxicity": toxicity.query,
     "op9_url_filter": url_filter.query,
     "op10_secret_scan": secret_scan.query,
 }

@@ -1,9 +1,10 @@
 """Mixing sources to target weights by temperature (operator 5).
 
 Source shares p (by tokens) are raised to an exponent and normalised to weights
-w.  The exponent is the largest in [0, 1] whose entropy reaches ``entropy`` (in
-nats), or the smallest whose weights read no source more than ``max_repeat``
-times; with both, the repetition limit wins.  It is found by repeated division
+w.  The exponent is the largest in [0, 1] whose entropy reaches the target
+``entropy`` (in nats; by default ``LEVEL`` of the way from the entropy of the
+shares to that of equal weights), but none that reads a source more than
+``max_repeat`` times: then the smallest that keeps this limit.  It is found by repeated division
 of the interval into 64 parts: one aggregate over the table of sources each, so
 no list of sources reaches the driver.
 
@@ -31,6 +32,7 @@ from .common import table, written
 
 COARSE = FINE = 256
 MAX_REPEAT = 4.0
+LEVEL = 0.5
 PARTS = 64
 ROUNDS = 6
 #: Sources that one broadcast may hold; beyond, the plan joins by shuffle.
@@ -45,7 +47,7 @@ def token_table(docs: DataFrame, seed: int = 7) -> DataFrame:
                                F.pmod(F.shiftright(place, 16), F.lit(FINE)).cast("int").alias("fine")), "mix-tokens")
 
 
-def solve_exponent(sources: DataFrame, total: int, budget: float, entropy: float | None, max_repeat: float | None) -> float:
+def solve_exponent(sources: DataFrame, total: int, budget: float, entropy: float, max_repeat: float | None) -> float:
     """The exponent for ``sources(tokens)``; see the module's text."""
     def divide(goal) -> float:
         """Largest exponent found with ``goal`` true, which holds below some point."""
@@ -64,19 +66,24 @@ def solve_exponent(sources: DataFrame, total: int, budget: float, entropy: float
                 break
         return lo
 
-    exponent = 1.0
-    if entropy is not None:
-        exponent = divide(lambda a, z, s, m: math.log(z) - a * s / z >= entropy)
+    exponent = divide(lambda a, z, s, m: math.log(z) - a * s / z >= entropy)
     if max_repeat is not None:
         # the largest exponent that still breaks the limit; just above it the limit holds
         over = lambda a, z, s, m: budget / total * m / z > max_repeat * (1 + 1e-12)
         least = divide(over)
         if least > 0 or _breaks_at_zero(sources, total, budget, max_repeat):
             least = min(1.0, least + 2.0 / PARTS ** ROUNDS)
-        exponent = max(exponent if entropy is not None else 0.0, least)
+        exponent = max(exponent, least)
     return exponent
 
 
+def target_entropy(sources: DataFrame, total: int, level: float = LEVEL) -> float:
+    """``level`` of the way from the entropy of the sources' shares to the entropy of equal weights."""
+    p = F.col("tokens") / F.lit(float(total))
+    r = sources.where("tokens > 0").agg(F.sum(-p * F.log(p)).alias("h"), F.count("*").alias("n")).first()
+    return r["h"] + level * (math.log(r["n"]) - r["h"])
+
+
 def _breaks_at_zero(sources: DataFrame, total: int, budget: float, max_repeat: float) -> bool:
     r = sources.where("tokens > 0").agg(F.count("*").alias("n"), F.min("tokens").alias("low")).first()
     return bool(r["n"]) and budget / r["n"] / r["low"] > max_repeat
@@ -93,6 +100,8 @@ def mix(docs: DataFrame, budget: float | None = None, entropy: float | None = No
     sources = written(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "mix-sources")
     total, n_sources = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     budget = float(total if budget is None else budget)
+    if total and entropy is None:
+        entropy = target_entropy(sources, total)
     exponent = solve_exponent(sources, total, budget, entropy, max_repeat) if total else 1.0
     power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(max(1, total))), F.lit(exponent))).otherwise(0.0)
     z = sources.agg(F.sum(power)).first()[0] or 1.0
@@ -154,7 +163,7 @@ def mix(docs: DataFrame, budget: float | None = None, entropy: float | None = No
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """``op5_mixing``: all documents mixed to a budget of all tokens, no source read more than ``MAX_REPEAT`` times."""
+    """``op5_mixing``: all documents mixed to a budget of all tokens, half-way to equal weights, no source read more than ``MAX_REPEAT`` times."""
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "source", "n_tokens", "copy", "block", F.col("position.coarse_turn").alias("turn"),
                       F.col("position.fine_turn").alias("fine_turn"), "weight", "exponent")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import html_text, secret_scan, toxicity, url_filter
+from . import decontaminate, html_text, mixing, quality, secret_scan, toxicity, url_filter
 
 QUERIES = {
+    "op3_quality": quality.query,
     "op4_html_text": html_text.query,
+    "op5_mixing": mixing.query,
+    "op6_decontaminate": decontaminate.query,
     "op8_toxicity": toxicity.query,
     "op9_url_filter": url_filter.query,
     "op10_secret_scan": secret_scan.query,

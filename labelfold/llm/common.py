@@ -45,6 +45,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids that one broadcast may hold (16 MB of longs); beyond, the rows are found by a shuffled join.
+BROADCAST_IDS = 2_000_000
+
+
+def rows_of(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``ids(key)``; null matches null.  ``ids`` is counted before it is broadcast."""
+    ids = ids.select(F.col(key).alias("wanted_id")).distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, F.col(key).eqNullSafe(F.col("wanted_id")), "left_semi")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

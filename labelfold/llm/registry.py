@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, mixing, quality, secret_scan, toxicity, url_filter
+from . import decontaminate, html_text, mixing, ngram_join, quality, secret_scan, toxicity, url_filter
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.query,
     "op3_quality": quality.query,
     "op4_html_text": html_text.query,
     "op5_mixing": mixing.query,

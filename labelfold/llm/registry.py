@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, mixing, ngram_join, quality, secret_scan, toxicity, url_filter
+from . import decontaminate, html_text, mixing, ngram_join, quality, secret_scan, toxicity, url_filter, vector_dedup
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
+    "op2_vector_dedup": vector_dedup.query,
     "op3_quality": quality.query,
     "op4_html_text": html_text.query,
     "op5_mixing": mixing.query,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_url_filter": url_filter.query,
     "op10_secret_scan": secret_scan.query,
 }
-SQL = {"op9_url_filter": url_filter.oracle_sql()}
+SQL = {"op2_vector_dedup": vector_dedup.ORACLE_SQL, "op9_url_filter": url_filter.oracle_sql()}

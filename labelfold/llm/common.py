@@ -13,7 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelfold.session import checkpoint_path
@@ -38,6 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(doc_id: Column, folds: int) -> Column:
+    """crc32 of the id as text (null: empty), modulo ``folds``."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared checkpoint folder and read it back (cuts lineage, survives lost executors)."""
     path = checkpoint_path(df.sparkSession, f"llm/{name}-{uuid.uuid4().hex[:12]}")

@@ -244,6 +244,16 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int) -> DataFr
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
+def keep_one(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """``docs`` with one row of each component: the first by id of the set that names it; rows without shingles stay.
+
+    Rows that go are found as ``(doc_id, node)``; each task drops them beside the text, and where a kept id comes
+    several times, with equal rows, one row of it stays.
+    """
+    join = Join(docs, size, num, den)
+    return join.first_rows(docs, join.run())
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """``op1_ngram_join``: components of Jaccard 0.9 on 3-word shingles."""
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90, 100)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, mixing, ngram_join, quality, secret_scan, toxicity, url_filter, vector_dedup
+from . import decontaminate, html_text, language_model, mixing, ngram_join, quality, secret_scan, toxicity, url_filter, vector_dedup
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_html_text": html_text.query,
     "op5_mixing": mixing.query,
     "op6_decontaminate": decontaminate.query,
+    "op7_language_model": language_model.query,
     "op8_toxicity": toxicity.query,
     "op9_url_filter": url_filter.query,
     "op10_secret_scan": secret_scan.query,

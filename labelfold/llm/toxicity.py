@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, word_chunks
+from .common import fold, table, word_chunks
 
 MAX_EXAMPLES = 1500
 BLOCK = 64
@@ -41,11 +41,6 @@ THRESHOLD = 0.7
 EVIDENCE = 3
 
 
-def fold(doc_id: Column, folds: int) -> Column:
-    """crc32 of the id as text, modulo ``folds``."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
-
-
 #: The term that stands for all words outside the vocabulary.
 OTHER = np.uint64(1)
 

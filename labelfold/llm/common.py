@@ -54,12 +54,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_IDS = 2_000_000
 
 
-def rows_of(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in ``ids(key)``; null matches null.  ``ids`` is counted before it is broadcast."""
+def rows_of(df: DataFrame, ids: DataFrame, key: str, without: bool = False) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``ids(key)``, or isn't; null matches null.  ``ids`` is counted before it is broadcast."""
     ids = ids.select(F.col(key).alias("wanted_id")).distinct()
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return df.join(ids, F.col(key).eqNullSafe(F.col("wanted_id")), "left_semi")
+    return df.join(ids, df[key].eqNullSafe(ids["wanted_id"]), "left_anti" if without else "left_semi")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -232,26 +232,53 @@ class Join:
         return written(components(nodes, first.unionByName(second)), "join-result")
 
 
+    def rows(self) -> DataFrame:
+        """``(doc_id, node, n, comp, component_id)`` of every row; null ``comp`` where there is no shingle."""
+        comp = self.run()
+        ids = self.reps.select(F.col("node").alias("id"), "doc_id").join(comp, "id")
+        least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        named = ids.select(F.col("id").alias("node"), "comp").join(least, "comp")
+        return (self.signatures.select("doc_id", "node", "n").join(named, "node", "left")
+                .select("doc_id", "node", "n", "comp", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
 def jaccard_components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row of ``docs(doc_id, text)``."""
-    join = Join(docs, size, num, den)
-    comp = join.run()
-    ids = join.reps.select(F.col("node").alias("id"), "doc_id").join(comp, "id")
-    # nodes that are alone keep their own smallest id; the others take their component's
-    least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = ids.select(F.col("id").alias("node"), "comp").join(least, "comp").select("node", "component_id")
-    return (join.signatures.select("doc_id", "node", "n").join(named, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    return Join(docs, size, num, den).rows().select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """``docs`` with one row of each component: the first by id of the set that names it; rows without shingles stay.
+    """``docs`` with one row of each component, of its smallest id; rows without shingles stay.
 
-    Rows that go are found as ``(doc_id, node)``; each task drops them beside the text, and where a kept id comes
-    several times, with equal rows, one row of it stays.
+    The ids that go are few beside the texts and are dropped where the texts lie.  Rows whose id
+    comes several times are matched by their sets; of such rows of one component the first by a
+    hash of the text stays.
     """
     join = Join(docs, size, num, den)
-    return join.first_rows(docs, join.run())
+    rows = written(join.rows(), "join-rows")
+    stays = (F.col("n") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    repeated = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = rows_of(docs, rows.where(~stays).select("doc_id").unionByName(repeated), "doc_id", without=True)
+    if repeated.isEmpty():
+        return once
+    kept = rows.where(stays & (F.col("n") > 0)).select("node", "comp").distinct()
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s for _, s in doc_sets(batch.column("text"), size)]
+            d = [digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()),
+                                              pa.array([x for _, x in d], pa.int64())], ["row", "n", "d1", "d2"])
+
+    some = rows_of(docs, repeated, "doc_id")
+    kind = some.schema.simpleString()
+    some = some.select(F.struct(*[F.col(f"`{c}`") for c in some.columns]).alias("row"), F.col("text")).mapInArrow(
+        nodes, f"row {kind}, n long, d1 long, d2 long").withColumn("node", F.xxhash64("d1", "d2", "n"))
+    empty = some.where("n = 0").select("row")
+    least = rows.select("comp", "component_id").where("comp is not null").distinct()
+    named = some.where("n > 0").join(kept, "node").join(least, "comp").where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
+    first = named.groupBy("comp").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row")
+    return once.unionByName(empty.unionByName(first).select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

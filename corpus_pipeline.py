@@ -13,13 +13,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelfold.llm import decontaminate, mixing, ngram_join, secret_scan, toxicity
-from labelfold.llm.common import table, written
+from labelfold.llm.common import set_aside, table, written
 
 
 def toxic_gone(spark, docs, sf_dir):
     """Documents scored toxic go; the examples are the labelled ones among ``docs``."""
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    df, back = set_aside(docs, ("score", "evidence"))
+    return toxicity.score(df, model).where(F.col("score") < toxicity.THRESHOLD).select(*back)
 
 
 def one_of_each_group(spark, docs, sf_dir):
@@ -29,8 +30,9 @@ def one_of_each_group(spark, docs, sf_dir):
 
 def leaks_gone(spark, docs, sf_dir):
     """Documents that hold a benchmark item go."""
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return found.where(F.size("found") == 0).select(*docs.columns)
+    df, back = set_aside(docs, ("found",))
+    found = decontaminate.find(df, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.where(F.size("found") == 0).select(*back)
 
 
 def secrets_redacted(spark, docs, sf_dir):

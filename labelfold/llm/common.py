@@ -50,6 +50,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with columns of these names renamed, and the columns that give its own names and order back."""
+    other = {c: f"{c}__of_input" for c in df.columns if c.lower() in names}
+    return df.withColumnsRenamed(other), [F.col(f"`{other.get(c, c)}`").alias(c) for c in df.columns]
+
+
 #: Ids that one broadcast may hold (16 MB of longs); beyond, the rows are found by a shuffled join.
 BROADCAST_IDS = 2_000_000
 

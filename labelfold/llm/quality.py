@@ -55,7 +55,7 @@ def text_view(column: pa.Array) -> np.ndarray:
                 bag = np.log1p(np.bincount((own % np.uint64(WORDS)).astype(np.int64), minlength=WORDS))
                 size = offsets[row + i + 1] - offsets[row + i]
                 out[row + i, 256:256 + WORDS] = bag / np.sqrt((bag * bag).sum())
-                out[row + i, 256 + WORDS:] = (len(np.unique(own)) / n, size / n / 10, np.log1p(n) / 10, 1)
+                out[row + i, 256 + WORDS:] = (len(np.unique(own)) / n, np.log1p(size / n) / 3, np.log1p(n) / 10, 1)
             at += n
     return out
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from labelfold.session import checkpoint_path
 
-from .common import table
+from .common import set_aside, table
 
 #: Kinds in the order of the digest.  The first three are the contract's, the others the method's own.
 KINDS = ("assign", "access", "hex", "github", "slack", "jwt", "google", "private_key", "url_login")
@@ -132,15 +132,18 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret of ``text`` replaced by ``mark`` and ``n_chars`` counted anew where a text changes."""
-    cols = docs.columns
-    df = scan(docs)
+    df, back = set_aside(docs, ("blob_id", "found", "parts", "clean"))
+    df = scan(df)
     # walk the spans by start, keeping the pieces so far and the end of the last span; overlapping spans merge
     parts = F.aggregate("found", F.expr("named_struct('out', cast(array() as array<string>), 'end', 0L)"), lambda s, x: F.struct(
         F.when(x["start"] >= s["end"], F.concat(s["out"], F.array(
             F.substring(F.col("text"), (s["end"] + 1).cast("int"), (x["start"] - s["end"]).cast("int")), F.lit(mark))))
         .otherwise(s["out"]).alias("out"), F.greatest(s["end"], x["end"]).alias("end")))
-    df = df.withColumn("parts", F.when(F.size("found") > 0, parts))
-    text = F.when(F.size("found") > 0, F.concat(F.array_join("parts.out", ""), F.expr("substring(text, cast(parts.end as int) + 1)"))).otherwise(F.col("text"))
-    df = df.withColumn("clean", text)
-    value = {"text": F.col("clean"), "n_chars": F.when(F.size("found") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars"))}
-    return df.select(*[value[c].alias(c) if c in value else F.col(f"`{c}`") for c in cols])
+    hit = F.size("found") > 0
+    df = df.withColumn("parts", F.when(hit, parts))
+    df = df.withColumn("clean", F.when(hit, F.concat(F.array_join("parts.out", ""), F.expr("substring(text, cast(parts.end as int) + 1)"))))
+    new = {"text": F.when(hit, F.col("clean")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(hit, F.length("clean").cast(kind)).otherwise(F.col("n_chars"))
+    return df.withColumns(new).select(*back)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 ITEM_SCHEMA = "array<struct<part:bigint,quantity:double,amount:double>>"
 PAYLOAD_SCHEMA = f"struct<date:string,items:{ITEM_SCHEMA}>"
 
@@ -70,7 +72,7 @@ def receipt_status(receipts: DataFrame) -> DataFrame:
 
 def transaction_tags(transactions: DataFrame, bridge: DataFrame) -> DataFrame:
     """Tags per transaction through the many-to-many bridge (JOIN-6)."""
-    tags = (bridge.dropDuplicates(["transaction_id", "tag"]).groupBy("transaction_id")
+    tags = (bridge.groupBy("transaction_id")
             .agg(F.array_sort(F.collect_set("tag")).alias("tags")))
     return (transactions.select(F.col("id").alias("transaction_id"), "account_id")
             .join(tags, "transaction_id")
@@ -78,23 +80,49 @@ def transaction_tags(transactions: DataFrame, bridge: DataFrame) -> DataFrame:
                     F.array_join("tags", ",").alias("tags")))
 
 
-def tree_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Expand an (id, parent_id) hierarchy: (id, root_id, depth, path) (JOIN-7).
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """Expand an (id, parent_id) hierarchy of any depth: (id, root_id, depth, path) (JOIN-7).
 
-    One recursive CTE (Spark plans it as a ``UnionLoop``): each step joins the
-    previous level with its children, the loop ends on an empty level, and
-    ``max_depth`` guards against cycles (nodes on a cycle are never reached
-    from a root).  No driver-side loop.
+    Pointer doubling: each node knows an ancestor and the path below it; joining
+    the pointers with themselves doubles their reach, so a tree of depth d takes
+    log2(d) rounds, each one written table.  Nodes on or below a cycle, and below
+    a missing parent, have no root: ``tree_faults`` reports them.
     """
-    query = f"""
-        WITH RECURSIVE p(id, root_id, depth, path) AS (
-          SELECT id, id, 0, id FROM {{nodes}} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.id, p.root_id, p.depth + 1, concat_ws('/', p.path, n.id)
-          FROM {{nodes}} n JOIN p ON n.parent_id = p.id
-          WHERE p.depth < {int(max_depth)})
-        SELECT id, root_id, depth, path FROM p"""
-    return nodes.sparkSession.sql(query, nodes=nodes.select("id", "parent_id"))
+    return _tree(nodes)[0]
+
+
+def tree_faults(nodes: DataFrame) -> DataFrame:
+    """(id, fault) of the nodes without a root: ``missing parent`` or ``cycle``."""
+    return _tree(nodes)[1]
+
+
+def _tree(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    n = nodes.select("id", "parent_id")
+    roots = n.filter("parent_id is null").select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.col("id").cast("string").alias("path"))
+    known = n.select(F.col("id").alias("parent_id"), F.lit(True).alias("_known"), F.col("parent_id").isNull().alias("_top"))
+    j = n.filter("parent_id is not null").join(known, "parent_id", "left")
+    # state: open (the pointer's target is no root yet), done, or lost (a missing parent)
+    now = materialize(j.select("id", F.col("parent_id").alias("up"), F.lit(1).alias("steps"), F.col("id").cast("string").alias("tail"),
+                               F.when(F.col("_known").isNull(), "lost").when(F.col("_top"), "done").otherwise("open").alias("state")), "tree")
+    closed = now.filter("state <> 'open'")
+    now = now.filter("state = 'open'")
+    left = now.count()
+    while left:
+        reach = now.unionByName(closed).select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"),
+                                               F.col("tail").alias("tail2"), F.col("state").alias("state2"))
+        step = now.drop("state").join(reach, "up")
+        step = materialize(step.select("id", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"),
+                                       F.concat_ws("/", "tail2", "tail").alias("tail"), F.col("state2").alias("state")), "tree")
+        closed = closed.unionByName(step.filter("state <> 'open'"))
+        now = step.filter("state = 'open'")
+        before, left = left, now.count()
+        if left == before:  # every round ends some node of a tree: what is left runs in circles
+            break
+    below = closed.filter("state = 'done'").select("id", F.col("up").alias("root_id"), F.col("steps").alias("depth"),
+                                                   F.concat_ws("/", F.col("up").cast("string"), "tail").alias("path"))
+    faults = closed.filter("state = 'lost'").select("id", F.lit("missing parent").alias("fault")).unionByName(
+        now.select("id", F.lit("cycle").alias("fault")))
+    return roots.unionByName(below), faults
 
 
 def store_upsert(known: DataFrame, batch: DataFrame) -> DataFrame:

@@ -96,9 +96,16 @@ def _assign(df: DataFrame, key: str, label: str, by: list[str], test_size: float
                      .otherwise(F.col("_r_g") <= F.col("n_test")))
 
     # second cut: validation out of the temporary part
-    temp = (x.groupBy(*by, label)
-            .agg(F.sum(F.when(~F.col("_is_test"), 1).otherwise(0)).cast("bigint").alias("tc"),
-                 F.count(F.lit(1)).alias("c2")))
+    per_bucket = (x.groupBy(*by, label, "_bucket")
+                  .agg(F.sum(F.when(~F.col("_is_test"), 1).otherwise(0)).cast("bigint").alias("tc"),
+                       F.count(F.lit(1)).alias("c2")))
+    temp = per_bucket.groupBy(*by, label).agg(F.sum("tc").alias("tc"), F.sum("c2").alias("c2"))
+    # ranks among the temporary rows of a group: a stratified first cut doesn't take the lowest group ranks
+    before = per_bucket.groupBy(*by, "_bucket").agg(F.sum("tc").alias("_t"))
+    before = before.select(*by, "_bucket", F.coalesce(F.sum("_t").over(
+        g.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off_t"))
+    within = Window.partitionBy(*by, "_bucket").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_r_t", F.sum((~F.col("_is_test")).cast("bigint")).over(within)).join(before, by + ["_bucket"])
     tpos = temp.filter(F.col("tc") > 0)
     p2 = (tpos.withColumn("n_temp", F.sum("tc").over(g))
           .withColumn("k2", F.count(F.lit(1)).over(g))
@@ -114,13 +121,13 @@ def _assign(df: DataFrame, key: str, label: str, by: list[str], test_size: float
         *by, label, "n_val", "strat2", "vq", "tc", "c2")
     x = x.join(p2, by + [label], "left")
     r_temp_class = F.col("_r_c") - (F.col("c2") - F.col("tc"))
-    r_temp_group = F.col("_r_g") - F.col("n_test")
+    r_temp_group = F.col("_off_t") + F.col("_r_t")
     is_val = (~F.col("_is_test")) & F.when(
         F.col("strat2"), r_temp_class <= F.col("vq")).otherwise(r_temp_group <= F.col("n_val"))
     split = (F.when(F.col("_is_test"), "test").when(is_val, "val").otherwise("train"))
     return x.withColumn("split", split).drop(
         "_h", "_bucket", "_r_c", "_c", "_r_g", "_n_g", "n_test", "strat1", "tq", "_is_test",
-        "n_val", "strat2", "vq", "tc", "c2")
+        "n_val", "strat2", "vq", "tc", "c2", "_r_t", "_off_t")
 
 
 def split_random(df: DataFrame, key: str, label: str = "category", by: Sequence[str] = (),

@@ -10,6 +10,8 @@ inverse-frequency class weights as ``weightCol``.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,18 +23,23 @@ from pyspark.sql import functions as F
 from ..functions.text import NOT_WORD_RUN, clean_text
 from ..operators import classify as C
 from ..operators import labels, metrics, quality, split
-from ..session import materialize, spread
+from ..session import materialize
 from ..sources.columns import map_columns
 from ..sources.csv_source import load_dataset
 
 HASH_FEATURES = 1 << 18
+#: Hashed terms of an MLP's input layer: each costs a row of dense weights.
+MLP_FEATURES = 1 << 10
+MODEL_PATH = "models/checkpoint"
 
 
 def prepare_training_frame(df: DataFrame, label: str = "category") -> tuple[DataFrame, DataFrame, float]:
     """Attach label ids and class weights computed on the rows given (the train part).
 
-    Returns (frame with label_id/weight, label index, Σw).
+    Returns (frame with label_id/weight, label index, Σw).  A NULL label is an error.
     """
+    if df.filter(F.col(label).isNull()).limit(1).count():
+        raise ValueError(f"column {label} has NULL labels")
     w = labels.class_weights(df, label)
     idx = w.select(label, "label_id")
     x = df.join(w.select(label, "label_id", "weight"), label)
@@ -53,8 +60,12 @@ def text_pipeline(classifier, num_features: int = HASH_FEATURES) -> Pipeline:
 
 def fit(train: DataFrame, classifier_type: str = "lr", params: dict | None = None,
         features: str = "text", use_class_weights: bool = True, vector_col: str = "embedding",
-        label: str = "category"):
-    """Fit on the train part (CLS-2/3/4).  Returns (PipelineModel, label index)."""
+        label: str = "category", num_features: int | None = None):
+    """Fit on the train part (CLS-2/3/4).  Returns (PipelineModel, label index).
+
+    ``num_features`` is the width of the hashed text (by default ``MLP_FEATURES`` for an
+    MLP, else ``HASH_FEATURES``).
+    """
     x, idx, total = prepare_training_frame(train, label)
     if not use_class_weights:
         x, total = x.withColumn("weight", F.lit(1.0)), float(x.count())
@@ -63,10 +74,10 @@ def fit(train: DataFrame, classifier_type: str = "lr", params: dict | None = Non
         x = x.withColumn("features", array_to_vector(F.col(vector_col).cast("array<double>")))
         dim = len(x.select(vector_col).first()[0])
     else:
-        dim = HASH_FEATURES
+        dim = num_features or (MLP_FEATURES if classifier_type == "mlp" else HASH_FEATURES)
     clf = C.make_classifier(classifier_type, n_features=dim, n_classes=n_classes,
                             params=params, total_weight=total)
-    stages = [clf] if features == "vector" else text_pipeline(clf).getStages()
+    stages = [clf] if features == "vector" else text_pipeline(clf, dim).getStages()
     model = Pipeline(stages=stages).fit(x)
     return model, idx
 
@@ -79,6 +90,8 @@ def predict(model: PipelineModel, idx: DataFrame, df: DataFrame, features: str =
     Text is cleaned exactly as for training (``clean=False`` reproduces the
     reference, which scores raw titles).
     """
+    if model is None:
+        raise ValueError("the model isn't fitted: call fit() before predict()")
     if features == "vector":
         df = df.withColumn("features", array_to_vector(F.col(vector_col).cast("array<double>")))
     elif clean:
@@ -94,23 +107,38 @@ def predict(model: PipelineModel, idx: DataFrame, df: DataFrame, features: str =
     return out.join(names, "prediction", "left")
 
 
-def save(model: PipelineModel, idx: DataFrame, path: str, meta: dict) -> None:
-    """Model directory: Spark ML pipeline + label table + metadata (SNK-1/2)."""
+def save(model: PipelineModel, idx: DataFrame, path: str, meta: dict, label: str = "category") -> None:
+    """Model directory: Spark ML pipeline + label table + metadata (SNK-1/2).
+
+    The metadata holds ``meta`` (JSON values), the two label maps and ``is_fitted``.
+    """
     if model is None:
         raise ValueError("no trained model to save")
     model.write().overwrite().save(f"{path}/pipeline")
     idx.write.mode("overwrite").parquet(f"{path}/labels")
+    rows = [(int(r["label_id"]), r[label]) for r in idx.select("label_id", label).collect()]  # one per label
+    full = dict(meta, id_to_label={str(i): x for i, x in rows}, label_to_id={x: i for i, x in rows}, is_fitted=True)
     spark = idx.sparkSession
-    spark.createDataFrame([(k, str(v)) for k, v in meta.items()], "key string, value string") \
+    spark.createDataFrame([(k, json.dumps(v, ensure_ascii=False)) for k, v in full.items()], "key string, value string") \
         .write.mode("overwrite").json(f"{path}/metadata")
 
 
 def load(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame, dict]:
-    """Inverse of ``save`` (SRC-9)."""
-    meta = {r["key"]: r["value"] for r in spark.read.json(f"{path}/metadata").collect()}
+    """Inverse of ``save`` (SRC-9): parameters and label maps come back with their types."""
+    meta = {r["key"]: json.loads(r["value"]) for r in spark.read.json(f"{path}/metadata").collect()}
+    meta["id_to_label"] = {int(k): v for k, v in meta.get("id_to_label", {}).items()}
     return PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/labels"), meta
 
 
+def content_keys(df: DataFrame, key: str = "_row") -> DataFrame:
+    """Give every row a key made of its values and, for equal rows, a number: the same on any cluster."""
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    each = counted.select(*cols, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_k"))
+    # to_json keeps NULL and the empty text apart
+    return each.select(*cols, F.sha2(F.concat_ws("#", F.to_json(F.struct(*cols)), F.col("_k").cast("string")), 256).alias(key))
+
+
 def cross_validate(train: DataFrame, reg_grid=(0.0, 0.01, 0.1), folds: int = 3, seed: int = 42,
                    params: dict | None = None, num_features: int = HASH_FEATURES):
     """k-fold CV over regParam for text LR (CLS-15)."""
@@ -135,28 +163,31 @@ def train(spark: SparkSession, config: dict, frame: DataFrame | None = None) ->
         frame = map_columns(frame, data.get("column_mapping"), keep=tuple(data.get("keep", ())))
     quality.validate(frame)
     pre = config.get("preprocessing", {})
-    clean = quality.preprocess(spread(frame), lowercase=pre.get("lowercase", True),
-                               punctuation=pre.get("remove_punctuation", False))
+    options = {"lowercase": pre.get("lowercase", True), "punctuation": pre.get("remove_punctuation", False)}
+    clean = quality.preprocess(frame, **options)
     key = data.get("key")
     if key is None:
-        key = "_row"  # generated once and written, so every branch sees the same ids
-        clean = materialize(clean.withColumn(key, F.monotonically_increasing_id()), "keyed_rows")
+        key = "_row"  # of the row's content, so the split doesn't depend on partitions or cores
+        clean = content_keys(clean, key)
+    clean = materialize(clean, "keyed_rows")
     sp = config.get("split", {})
     parts = split.split_stratified(clean, key, label="category", test_size=sp.get("test_size", 0.2),
                                    val_size=sp.get("val_size", 0.1), seed=sp.get("random_seed", 42))
     parts = materialize(parts, "training_split")
     mc = config.get("model", {})
-    model, idx = fit(parts.filter("split = 'train'"), mc.get("classifier_type", "lr"),
-                     mc.get("classifier_params"), features=mc.get("features", "text"))
-    out_path = config.get("output", {}).get("model_path")
-    if out_path:
-        save(model, idx, out_path, {"classifier_type": mc.get("classifier_type", "lr"),
-                                    "n_classes": idx.count()})
-    scored = predict(model, idx, parts.filter("split != 'train'"), features=mc.get("features", "text"))
+    kind, features = mc.get("classifier_type", "mlp"), mc.get("features", "text")
+    model, idx = fit(parts.filter("split = 'train'"), kind, mc.get("classifier_params"), features=features,
+                     num_features=mc.get("num_features"))
+    meta = {"embedding_model_name": mc.get("embedding_model_name", "tf-idf" if features == "text" else features),
+            "classifier_type": kind, "classifier_params": mc.get("classifier_params") or {},
+            "embedding_dim": model.stages[-1].numFeatures, "preprocessing": options, "features": features}
+    save(model, idx, config.get("output", {}).get("model_path") or MODEL_PATH, meta)
+    # the parts are clean already
+    scored = predict(model, idx, parts.filter("split != 'train'"), features=features, clean=False)
     s = scored.select("split", F.col("category").alias("y_true"), F.col("predicted").alias("y_pred"),
                       "confidence")
-    return {"model": model, "labels": idx, "split": parts,
-            "evaluation": metrics.evaluate(s, by=["split"]),
+    return {"model": model, "labels": idx, "split": parts, "metadata": meta,
+            "evaluation": metrics.evaluate_with_confidence(s, by=["split"]),
             "report": metrics.classification_report(s.filter("split = 'test'"))}
 
 

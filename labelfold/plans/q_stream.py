@@ -6,9 +6,12 @@ the batch SQL over the same table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import classify as C
+from ..session import checkpoint_path
 from ..streaming import feedback_stream as FS
 from . import q_models
 from . import sqlgen as S
@@ -21,7 +24,7 @@ register("stream_feedback", S.with_roles(["feedback"], (
     "ELSE predicted_category_id END AS label, CASE WHEN feedback_type = 'correction' THEN 'user_feedback' "
     "ELSE 'auto_confirmed' END AS source FROM feedback "
     "WHERE feedback_type IN ('confirmation', 'correction') AND is_used_for_training")))(
-    lambda spark, d: FS.run_append(FS.ingest_training_rows(FS.table_stream(spark, d, "events")),
+    lambda spark, d: FS.run_ingest(FS.ingest_training_rows(FS.table_stream(spark, d, "events")),
                                    "stream_feedback"))
 
 
@@ -56,7 +59,10 @@ def stream_latency_counts(spark, d):
     "WHERE feedback_type IN ('confirmation', 'correction') AND is_used_for_training GROUP BY user_id")))
 def retrain_triggers(spark, d):
     rows = FS.ingest_training_rows(FS.table_stream(spark, d, "events"))
-    out = FS.run_update_latest(FS.retrain_trigger_stream(rows, every=10), "retrain_triggers", "user_id")
+    job = checkpoint_path(spark, f"streams/retrain_triggers-{uuid.uuid4().hex[:12]}")
+    FS.run_ingest(rows, "retrain_rows", job)
+    once = FS.ingested_stream(spark, rows, "retrain_rows", job)
+    out = FS.run_update_latest(FS.retrain_trigger_stream(once, every=10), "retrain_triggers", "user_id")
     return out.select("user_id", "n_examples", "fires")
 
 

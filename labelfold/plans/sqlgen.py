@@ -174,6 +174,8 @@ def split_ctes(key: str, label: str, by: Sequence[str], test_size: float, val_si
         ("p1", f"SELECT {cols(gl)}n_test, strat1, c - (fl + CASE WHEN rr <= need THEN 1 ELSE 0 END) AS tq FROM p1e"),
         ("x", f"SELECT rk.*, n_test, strat1, tq, CASE WHEN strat1 THEN r_c <= tq ELSE r_g <= n_test END AS is_test "
               f"FROM rk JOIN p1 {using(gl)}"),
+        ("xt", f"SELECT *, sum(CASE WHEN NOT is_test THEN 1 ELSE 0 END) OVER ({gb} ORDER BY _h, {key} "
+               f"ROWS UNBOUNDED PRECEDING) AS r_t FROM x"),
         ("tt", f"SELECT {cols(gl)}sum(CASE WHEN NOT is_test THEN 1 ELSE 0 END) AS tc, count(*) AS c2 "
                f"FROM x GROUP BY ALL"),
         ("p2a", f"SELECT *, sum(tc) OVER ({gb}) AS n_temp, count(*) OVER ({gb}) AS k2, "
@@ -187,7 +189,7 @@ def split_ctes(key: str, label: str, by: Sequence[str], test_size: float, val_si
         ("p2e", f"SELECT *, n_tr2 - sum(fl) OVER ({gb}) AS need, "
                 f"row_number() OVER ({gb} ORDER BY rem DESC, {label}) AS rr FROM p2d"),
         ("p2", f"SELECT {cols(gl)}n_val, strat2, tc, c2, tc - (fl + CASE WHEN rr <= need THEN 1 ELSE 0 END) AS vq FROM p2e"),
-        ("assigned", f"SELECT x.*, CASE WHEN is_test THEN 'test' WHEN (CASE WHEN strat2 THEN r_c - (c2 - tc) <= vq "
-                     f"ELSE r_g - n_test <= n_val END) THEN 'val' ELSE 'train' END AS split "
-                     f"FROM x LEFT JOIN p2 {using(gl)}"),
+        ("assigned", f"SELECT xt.*, CASE WHEN is_test THEN 'test' WHEN (CASE WHEN strat2 THEN r_c - (c2 - tc) <= vq "
+                     f"ELSE r_t <= n_val END) THEN 'val' ELSE 'train' END AS split "
+                     f"FROM xt LEFT JOIN p2 {using(gl)}"),
     ]

@@ -7,6 +7,7 @@ reads settings from it.  ``local_session`` exists for tests and the bench.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,6 +46,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            # a folder of one machine would be another disk on each executor
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all machines of {master} share")
         path = tempfile.mkdtemp(prefix="labelfold-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     spark.sparkContext.setCheckpointDir(path)
@@ -72,17 +77,13 @@ def materialize(df, name: str = "table"):
 
 
 def spread(df, *keys: str):
-    """Hash-spread rows over the cluster when the input has fewer partitions than cores.
+    """Deal the rows of a scan of few, large row groups over the cores before CPU-heavy work on whole texts.
 
-    A scan of few, large row groups gives one task per row group; CPU-heavy
-    per-row work (whole-text cleaning and tokenising) would then run on a few
-    cores.  At cluster scale the scan already has far more splits than cores
-    and this is a no-op.  The partition count is read from the plan (no job).
+    Only the number of tasks depends on the cluster, never a result: row keys come from the
+    data (``jobs.content_keys``).  With at least as many input files as cores nothing is
+    moved; files are listed from the plan, without a job.
     """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the plan as is
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)

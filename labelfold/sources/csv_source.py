@@ -16,41 +16,39 @@ from pyspark.sql.utils import AnalysisException
 from ..functions.text import null_na_tokens
 from .columns import map_columns
 
-SPARE_FIELDS = 1
+CORRUPT = "_corrupt_record"
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    # header names only: a one-row read of the first line
-    first = spark.read.option("header", True).option("multiLine", True).option(
-        "escape", '"').csv(path)
-    return first.columns
+def _reader(spark: SparkSession, multi_line: bool):
+    return (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+            .option("mode", "PERMISSIVE").option("columnPruning", False))
 
 
 def read_labelled_csv(spark: SparkSession, path: str, strict: bool = True,
-                      na_tokens: bool = True) -> DataFrame:
+                      na_tokens: bool = True, multi_line: bool = True) -> DataFrame:
     """All-STRING scan of a headed CSV file or folder.
 
     ``strict`` fails on rows with more fields than the header (pandas raises
-    there; Spark would drop the extra fields silently): spare trailing schema
-    columns catch the overflow.  Rows with fewer fields get NULLs, as in pandas.
+    there; Spark would drop the extra fields silently): the text of every row that
+    does not fit the header is kept and its fields are counted outside of quotes.
+    Rows with fewer fields get NULLs, as in pandas.  ``multi_line=False`` lets Spark
+    split large files where no quoted field holds a line break.
     """
     try:
-        names = _header(spark, path)
+        names = _reader(spark, multi_line).csv(path).columns  # header names only
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             raise FileNotFoundError(f"data file not found: {path}") from e
         raise
-    spare = [f"_overflow{i}" for i in range(SPARE_FIELDS)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
-                          + [T.StructField(n, T.StringType()) for n in spare])
-    df = (spark.read.schema(schema)
-          .option("header", True).option("multiLine", True).option("escape", '"')
-          .option("mode", "PERMISSIVE").csv(path))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    df = _reader(spark, multi_line).schema(schema).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     if strict:
-        overflow = F.col(spare[0]).isNotNull()
-        df = df.filter(F.when(overflow, F.raise_error(
-            F.lit(f"CSV row has more fields than the {len(names)} header columns"))).isNull())
-    df = df.drop(*spare)
+        bare = F.regexp_replace(CORRUPT, '"(?:[^"]|"")*"', "")
+        fields = F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
+        df = df.filter(F.when(F.col(CORRUPT).isNotNull() & (fields > len(names)), F.raise_error(F.concat(
+            F.lit(f"CSV row has more fields than the {len(names)} header columns; it starts with "),
+            F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))))).isNull())
+    df = df.select(*[F.col(f"`{c}`") for c in names])
     if na_tokens:
         df = df.select(*[null_na_tokens(F.col(f"`{c}`")).alias(c) for c in names])
     return df

@@ -39,7 +39,7 @@ def test_retrain_due_users(spark, tmp_path):
         assert np.allclose(r["coef"], vecs.mean(0))
 
 
-def test_dedupe_within_watermark_and_triggers(spark, tmp_path):
+def test_duplicates_go_and_triggers_fire(spark, tmp_path):
     import datetime as dt
     t0 = dt.datetime(2024, 1, 1)
     ev = [(i, t0 + dt.timedelta(minutes=i), i % 2, "purchase" if i % 3 else "error", 1.0, '{"k": 7}')
@@ -50,9 +50,11 @@ def test_dedupe_within_watermark_and_triggers(spark, tmp_path):
                           "value double, props string").coalesce(1).write.parquet(src)
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).parquet(src)
-    rows = FS.run_append(FS.ingest_training_rows(stream), "t_ingest")
+    job = str(tmp_path / "job")
+    rows = FS.run_ingest(FS.ingest_training_rows(stream), "t_ingest", job)
     assert rows.count() == 40 and rows.select("event_id").distinct().count() == 40
-    trig = FS.run_update_latest(FS.retrain_trigger_stream(FS.ingest_training_rows(stream), every=7),
+    trig = FS.run_update_latest(FS.retrain_trigger_stream(
+        FS.ingested_stream(spark, FS.ingest_training_rows(stream), "t_ingest", job), every=7),
                                 "t_trig", "user_id")
     got = {r["user_id"]: (r["n_examples"], r["fires"]) for r in trig.collect()}
     assert got == {0: (20, 2), 1: (20, 2)}

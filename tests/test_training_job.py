@@ -33,3 +33,32 @@ def test_prediction_edge_cases(spark):
     out = jobs.predict(model, idx, uni)
     assert out.count() == 3 and out.filter(F.col("predicted").isNull()).count() == 0
     assert out.filter((F.col("confidence") < 0) | (F.col("confidence") > 1)).count() == 0
+
+
+def test_unfitted_and_null_labels_are_errors(spark):
+    import pytest
+    frame = spark.createDataFrame([("a", None), ("b", "x")], "product_title string, category string")
+    with pytest.raises(ValueError, match="fit"):
+        jobs.predict(None, None, frame)
+    with pytest.raises(ValueError, match="NULL"):
+        jobs.fit(frame, "lr")
+
+
+def test_cleaning_options_hold_for_the_evaluation_and_metadata_comes_back(spark, tmp_path):
+    rows = [("IPHONE", "Upper"), ("iphone", "Lower")] * 20
+    frame = spark.createDataFrame(rows, "product_title string, category string")
+    path = str(tmp_path / "m")
+    res = jobs.train(spark, {"preprocessing": {"lowercase": False}, "output": {"model_path": path},
+                             "model": {"classifier_type": "lr", "classifier_params": {"max_iter": 20}}}, frame)
+    ev = {r["split"]: r for r in res["evaluation"].collect()}
+    assert ev["test"]["accuracy"] == 1.0 and ev["test"]["median_confidence"] > 0.5 and "high_confidence_ratio" in res["evaluation"].columns
+    _, _, meta = jobs.load(spark, path)
+    assert meta["classifier_params"] == {"max_iter": 20} and meta["id_to_label"] == {0: "Lower", 1: "Upper"}
+    assert meta["label_to_id"] == {"Lower": 0, "Upper": 1} and meta["is_fitted"] is True and meta["preprocessing"]["lowercase"] is False
+    assert {"embedding_model_name", "classifier_type", "embedding_dim"} <= set(meta)
+
+
+def test_default_classifier_is_an_mlp_of_a_narrow_text(spark, tmp_path):
+    frame = spark.createDataFrame(ROWS * 3, "product_title string, category string")
+    res = jobs.train(spark, {"output": {"model_path": str(tmp_path / "m")}, "model": {"classifier_params": {"max_iter": 3}, "num_features": 64}}, frame)
+    assert res["metadata"]["classifier_type"] == "mlp" and res["metadata"]["embedding_dim"] == 64

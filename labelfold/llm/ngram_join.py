@@ -39,13 +39,13 @@ from pyspark.sql import functions as F
 
 from .common import components, rows_of, shingle_hashes, table, word_chunks, written
 
-SKETCH = 1 << 20
+SKETCH = 1 << 24
 PIECES = 64
-BITMAP = 1024
+BITMAP = 512
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(44)).astype(np.int64) & (SKETCH - 1)
+    return (shingles >> np.uint64(40)).astype(np.int64) & (SKETCH - 1)
 
 
 def doc_sets(column: pa.Array, size: int):
@@ -60,33 +60,37 @@ def doc_sets(column: pa.Array, size: int):
 def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
     """Order class of each counter: the logarithm of how many documents' shingles fall into it.
 
-    Every task adds up its counters and hands over ``PIECES`` compact pieces;
-    the pieces are summed by Spark, and the result has a fixed size.
+    Every task adds up its counters and hands over ``PIECES`` compressed pieces;
+    the pieces are summed by Spark into one byte per counter, a fixed size.  The
+    classes are estimates: they order shingles, and any order gives the same links.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             for _, s in doc_sets(batch.column("text"), size):
                 np.add.at(total, _bucket(s), 1)
-        parts = [np.minimum(p, 2**32 - 1).astype(np.uint32) for p in np.split(total, PIECES)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["piece", "counts"])
+        parts = [pa.compress(np.minimum(p, 255).astype(np.uint8), "zstd", asbytes=True) for p in np.split(total, PIECES)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES), pa.int32()), pa.array(parts, pa.binary())], ["piece", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        step, sums = SKETCH // PIECES, {}
         for batch in batches:
             for piece, raw in zip(batch.column("piece").to_pylist(), batch.column("counts")):
-                sums.setdefault(piece, np.zeros(SKETCH // PIECES, np.int64))[:] += np.frombuffer(raw.as_buffer(), np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "counts"])
+                sums.setdefault(piece, np.zeros(step, np.int64))[:] += np.frombuffer(pa.decompress(raw.as_buffer(), step, "zstd"), np.uint8)
+        out = []
+        for x in sums.values():
+            # classes by powers of sqrt 2 above the load that hashing alone gives
+            base = x.mean() + 4 * np.sqrt(x.mean()) + 1
+            out.append(np.maximum(0, np.ceil(2 * np.log2(np.maximum(x, 1) / base))).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary())], ["piece", "counts"])
 
     schema = "piece int, counts binary"
     rows = docs.select("text").mapInArrow(count, schema).repartition(PIECES, "piece").mapInArrow(add, schema).collect()  # of fixed size
-    out = np.zeros(SKETCH, np.int64)
+    out = np.zeros(SKETCH, np.uint8)
     step = SKETCH // PIECES
     for r in rows:
-        out[r["piece"] * step:(r["piece"] + 1) * step] = np.frombuffer(r["counts"], np.int64)
-    # classes by powers of sqrt 2 above the load that hashing alone gives
-    base = out.mean() + 4 * np.sqrt(out.mean()) + 1
-    return np.maximum(0, np.ceil(2 * np.log2(np.maximum(out, 1) / base))).astype(np.uint8)
+        out[r["piece"] * step:(r["piece"] + 1) * step] = np.frombuffer(r["counts"], np.uint8)
+    return out
 
 
 def signatures(docs: DataFrame, classes: np.ndarray, size: int, num: int, den: int) -> DataFrame:
@@ -104,7 +108,7 @@ def signatures(docs: DataFrame, classes: np.ndarray, size: int, num: int, den: i
                     cls = classes[_bucket(s)]
                     order = np.argsort(cls, kind="stable")[:take]  # s is sorted by hash already
                     bits = np.zeros(BITMAP, np.uint8)
-                    np.bitwise_xor.at(bits, ((s * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(54)).astype(np.int64), 1)
+                    np.bitwise_xor.at(bits, ((s * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - int(np.log2(BITMAP)))).astype(np.int64), 1)
                     n.append(k)
                     one, two = digest(s)
                     d1.append(one)

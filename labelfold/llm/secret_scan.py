@@ -49,6 +49,9 @@ _RULES = {
 #: Of the rules above; a change of them changes it, and so has every blob scanned anew.
 RULE_VERSION = hashlib.sha256("\n".join([_ASSIGN.pattern, *(f"{k} {r.pattern}" for k, r in _RULES.items())]).encode()).hexdigest()[:16]
 
+#: Blobs with findings that one broadcast may hold (about 30 MB); beyond, findings join by shuffle.
+BROADCAST_BLOBS = 200_000
+
 FINDING = "array<struct<start:long,end:long,kind:int>>"
 _ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())]))
 
@@ -108,6 +111,8 @@ def scan(docs: DataFrame, path: str | None = None, rule_version: str = RULE_VERS
     # a blob appended by two runs at once has two equal rows; most blobs are clean, and only the others join
     found = (_read_ledger(spark, path).where((F.col("rule_version") == rule_version) & (F.size("found") > 0))
              .select("blob_id", "found").dropDuplicates(["blob_id"]))
+    if found.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS:
+        found = F.broadcast(found)
     empty = F.expr(f"cast(array() as {FINDING})")
     return (docs.select(*[F.col(f"`{c}`") for c in kept], blob_id().alias("blob_id")).join(found, "blob_id", "left")
             .select(*[F.col(f"`{c}`") for c in kept], "blob_id", F.coalesce("found", empty).alias("found")))

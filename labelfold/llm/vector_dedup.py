@@ -14,8 +14,10 @@ sample of the classes (``SAMPLE``, by a hash) and holds every class:
   quantisation error stored with it (triangle inequality), so none is lost;
 * candidates are reranked by the exact cosine.
 
-Lists are cut into blocks of ``BLOCK`` codes by size, and queries into blocks as
-well, so that no list, hot or not, is one task.
+A label's lists lie one after the other and are cut into stretches of ``BLOCK``
+codes, by their sizes: small lists share a stretch (a query meets it once, however
+many of its lists it probes), a large one spans several.  Queries of a stretch
+are cut into blocks as well, so that no list, hot or not, is one task.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components,
 and rows without a label, link with nothing; vectors of different lengths do not
@@ -29,17 +31,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, table, written
 
 THRESHOLD = 0.98
 SAMPLE = 8192
-LISTS = 256
+LISTS = 1024
 SUBSPACES = 8
 CODES = 64
-BLOCK = 2048
+BLOCK = 4096
 QUERY_BLOCK = 2048
 
 
@@ -85,15 +87,16 @@ class Quantiser:
         decoded = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], 1)
         return cell, codes, np.sqrt(((residual - decoded) ** 2).sum(1))
 
-    def probes(self, x: np.ndarray, cell: np.ndarray) -> list[np.ndarray]:
-        """Lists whose cells may hold a vector within the radius."""
+    def probes(self, x: np.ndarray) -> np.ndarray:
+        """For each vector, the lists whose cells may hold a vector within the radius."""
         d = _distances(x, self.centres)
+        cell = d.argmin(1)
         own = d[np.arange(len(x)), cell]
         with np.errstate(divide="ignore", invalid="ignore"):
             bisector = (d - own[:, None]) / (2 * self.apart[cell])
         near = bisector <= self.radius + 1e-9
         near[np.arange(len(x)), cell] = True
-        return [np.flatnonzero(row) for row in near]
+        return near
 
     def asymmetric(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Distances of queries to the decoded vectors of one list, by table lookups."""
@@ -149,7 +152,7 @@ def candidate_pairs(classes: DataFrame, dim: int, threshold: float, sample: int
     rows = mine.orderBy(F.xxhash64("id"), "id").limit(sample).collect()  # the fit's documented bound
     mark = classes.schema["label"].dataType.simpleString()
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    q = Quantiser(_matrix([r["unit"] for r in rows], dim), min(lists, max(1, len(rows) // 16)), radius)
+    q = Quantiser(_matrix([r["unit"] for r in rows], dim), min(lists, max(1, int(np.sqrt(len(rows)) / 2))), radius)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,41 +160,53 @@ def candidate_pairs(classes: DataFrame, dim: int, threshold: float, sample: int
                 part = batch.slice(at, 1024)
                 x = _matrix(part.column("unit").to_pylist(), dim)
                 cell, codes, error = q.encode(x)
+                near = [np.flatnonzero(row) for row in q.probes(x)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("label"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()),
-                     pa.array(error, pa.float64()), pa.array(q.probes(x, cell), pa.list_(pa.int32())), part.column("unit")],
+                     pa.array(error, pa.float64()), pa.array(near, pa.list_(pa.int32())), part.column("unit")],
                     ["id", "label", "cell", "codes", "error", "probes", "unit"])
 
     placed = written(mine.mapInArrow(place, f"id long, label {mark}, cell int, codes binary, error double, probes array<int>, unit binary"), "vector-placed")
-    # blocks of each list by its size
-    sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # where each list begins in its label's row of lists (at most ``lists`` rows a label)
+    sizes = placed.groupBy("label", "cell").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("cell")) - F.col("n")
+    sizes = written(sizes.withColumn("before", before), "vector-lists")
     index = placed.select("id", "label", "cell", "codes", "error").join(sizes, ["label", "cell"])
-    index = index.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), "blocks").cast("int"))
-    queries = placed.select("id", "label", "unit", F.explode("probes").alias("cell")).join(sizes, ["label", "cell"])
-    asked = written(queries, "vector-queries")
-    parts = asked.groupBy("label", "cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"))
-    asked = asked.join(parts, ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), "parts").cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    index = index.join(parts, ["label", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    key = ["label", "cell", "block", "part"]
+    index = index.withColumn("stretch", F.floor((F.col("before") + F.pmod(F.xxhash64("id", F.lit(1)), "n")) / BLOCK))
+    spans = sizes.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct(
+        F.floor(F.col("before") / BLOCK).alias("first"), F.floor((F.col("before") + F.col("n") - 1) / BLOCK).alias("last"))))).alias("spans"))
+    held = F.filter("probes", lambda c: F.map_contains_key("spans", c))
+    met = F.array_distinct(F.flatten(F.transform(held, lambda c: F.sequence(
+        F.element_at("spans", c)["first"], F.element_at("spans", c)["last"]))))
+    asked = written(placed.select("id", "label", "unit", "probes").join(spans, "label").select("id", "label", "unit", F.explode(met).alias("stretch")),
+                    "vector-queries")
+    key = ["label", "stretch"]
+    parts = asked.groupBy(*key).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"))
+    asked = asked.join(parts, key).withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), "parts").cast("int"))
+    index = index.join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = [*key, "part"]
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        x, ids, own = _matrix(list(left["unit"]), dim), left["id"].to_numpy(), right["id"].to_numpy()
-        codes = np.frombuffer(b"".join(bytes(c) for c in right["codes"]), np.uint8).reshape(len(right), -1)
-        limit = q.radius + right["error"].to_numpy() + 1e-9
-        a, b = [], []
-        for at in range(0, len(x), 256):
-            i, j = np.nonzero(q.asymmetric(x[at:at + 256], int(right["cell"].iloc[0]), codes) <= limit)
-            i += at
-            less = ids[i] < own[j]  # the other order is found from the other side
-            a.append(ids[i[less]])
-            b.append(own[j[less]])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(left) and len(right):
+            x, ids = _matrix(list(left["unit"]), dim), left["id"].to_numpy()
+            own, cell, limit = right["id"].to_numpy(), right["cell"].to_numpy(), q.radius + right["error"].to_numpy() + 1e-9
+            codes = np.frombuffer(b"".join(bytes(c) for c in right["codes"]), np.uint8).reshape(len(right), -1)
+            near = q.probes(x)
+            for c in np.unique(cell):
+                codes_here = np.flatnonzero(cell == c)
+                asking = np.flatnonzero(near[:, c])
+                for at in range(0, len(asking), 256):
+                    some = asking[at:at + 256]
+                    i, j = np.nonzero(q.asymmetric(x[some], int(c), codes[codes_here]) <= limit[codes_here])
+                    i, j = some[i], codes_here[j]
+                    less = ids[i] < own[j]  # the other order is found from the other side
+                    a.append(ids[i[less]])
+                    b.append(own[j[less]])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     left = asked.select(*key, "id", "unit").groupBy(*key)
-    right = index.select(*key, "id", "codes", "error").groupBy(*key)
+    right = index.select(*key, "id", "cell", "codes", "error").groupBy(*key)
     return left.cogroup(right).applyInPandas(search, "a long, b long").distinct()
 
 

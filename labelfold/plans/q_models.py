@@ -282,15 +282,24 @@ def _user_split(spark, d):
 
 
 @register("score_model_table", S.with_roles([], (
-    "SELECT doc_id, user_id, predicted, round(score, 6) AS score FROM u_pred"),
+    "SELECT t.doc_id, t.user_id, u.predicted, round(u.score, 6) AS score FROM (SELECT doc_id, user_id FROM sd "
+    "WHERE split = 'test') t LEFT JOIN u_pred u ON u.doc_id = t.doc_id AND u.user_id = t.user_id"),
     _sd_sql(True, "random") + _sparse_sql("u_", ["user_id"], "sd")))
 def score_model_table(spark, d):
-    """Per-user prototype model table scored through the model join (CLS-7, §7.2)."""
+    """Per-user prototype model table scored through the model join (CLS-7, §7.2).
+
+    A document that shares no term with its user's model has a NULL prediction.
+    """
     docs = _user_split(spark, d)
     scores, model = sparse_predict(docs, _term_counts(spark, d, True), ["user_id"])
     r = C.rank_scores(scores, "doc_id", "label", by=["user_id"],
                       k_labels=C.label_counts(model, by=["user_id"]))
-    return r6(r.select("doc_id", "user_id", "predicted", "score"))
+    return r6(_all_test_rows(docs, r.select("doc_id", "user_id", "predicted", "score")))
+
+
+def _all_test_rows(docs, found):
+    """Every test document with its result, NULL where it has none."""
+    return docs.filter(F.col("split") == "test").select("doc_id", "user_id").join(found, ["doc_id", "user_id"], "left")
 
 
 _COLD_SQL = S.with_roles([], (
@@ -298,8 +307,7 @@ _COLD_SQL = S.with_roles([], (
     "CASE WHEN u.predicted IS NOT NULL THEN 'user_model' ELSE 'fallback' END AS source "
     "FROM (SELECT doc_id FROM sd WHERE split = 'test') t LEFT JOIN g_pred g USING (doc_id) "
     "LEFT JOIN (SELECT * FROM u_pred WHERE user_id IN (SELECT user_id FROM sd WHERE split = 'train' "
-    f"GROUP BY user_id HAVING count(*) >= {MIN_USER_TRAIN_DOCS})) u USING (doc_id) "
-    "WHERE coalesce(u.predicted, g.predicted) IS NOT NULL"),
+    f"GROUP BY user_id HAVING count(*) >= {MIN_USER_TRAIN_DOCS})) u USING (doc_id)"),
     _sd_sql(True, "random") + _sparse_sql("u_", ["user_id"], "sd")
     + [("sdg", "SELECT doc_id, label, split, title FROM sd")] + _sparse_sql("g_", [], "sdg"))
 
@@ -319,14 +327,15 @@ def cold_start(spark, d):
     g = C.rank_scores(g_scores, "doc_id", "label", k_labels=C.label_counts(g_model))
     test = docs.filter(F.col("split") == "test").select("doc_id")
     out = C.with_fallback(test, u, g, "doc_id")
-    return out.filter(F.col("predicted").isNotNull()).select("doc_id", "predicted", "source")
+    return out.select("doc_id", "predicted", "source")
 
 
 @register("active_categories", S.with_roles([], (
-    "SELECT doc_id, user_id, label AS predicted FROM (SELECT sc.*, row_number() OVER (PARTITION BY "
+    "SELECT t.doc_id, t.user_id, a.predicted FROM (SELECT doc_id, user_id FROM sd WHERE split = 'test') t LEFT JOIN "
+    "(SELECT doc_id, user_id, label AS predicted FROM (SELECT sc.*, row_number() OVER (PARTITION BY "
     "user_id, doc_id ORDER BY round(score, 9) DESC, label) AS rn FROM u_sc sc WHERE (user_id, label) IN "
     f"(SELECT user_id, label FROM sd WHERE split = 'train' GROUP BY ALL HAVING count(*) >= {MIN_ACTIVE_DOCS})) "
-    "WHERE rn = 1"),
+    "WHERE rn = 1) a ON a.doc_id = t.doc_id AND a.user_id = t.user_id"),
     _sd_sql(True, "random") + _sparse_sql("u_", ["user_id"], "sd")))
 def active_categories(spark, d):
     """Arg-max restricted to each user's own active categories (JOIN-11)."""
@@ -336,7 +345,7 @@ def active_categories(spark, d):
               .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_ACTIVE_DOCS))
     s = C.restrict_labels(scores, active, "label", ["user_id"])
     r = C.rank_scores(s, "doc_id", "label", by=["user_id"])
-    return r.select("doc_id", "user_id", "predicted")
+    return _all_test_rows(docs, r.select("doc_id", "user_id", "predicted"))
 
 
 # ============================ similar items (exact) ==========================================

@@ -96,13 +96,13 @@ def acceptance_from_transactions(tx: DataFrame, by: Sequence[str] = ("user_id",)
     """UAR and correction rate on the ledger itself, both denominators in one pass (AGG-15).
 
     A prediction is accepted when the final category equals it, changed when it
-    differs.  ``acceptance_rate`` / ``correction_rate`` divide by the
+    differs; without a final category it is neither.  ``acceptance_rate`` / ``correction_rate`` divide by the
     transactions that carry a prediction; the ``*_all`` columns divide by every
     transaction (the literal formula).
     """
     has_pred = F.col(predicted).isNotNull()
     accepted = has_pred & F.coalesce(F.col(predicted) == F.col(label), F.lit(False))
-    changed = has_pred & ~accepted
+    changed = has_pred & F.coalesce(F.col(predicted) != F.col(label), F.lit(False))
     g = tx.groupBy(*by).agg(F.count_if(has_pred).alias("n_predicted"), F.count(F.lit(1)).alias("n_all"),
                             F.count_if(accepted).alias("_acc"), F.count_if(changed).alias("_chg"))
     return g.select(*by, "n_predicted", "n_all",

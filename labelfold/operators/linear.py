@@ -23,7 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -115,8 +115,10 @@ def objective(df: DataFrame, model: DataFrame, features: str, label: str, by: Se
     x = x.withColumn("_r", F.monotonically_increasing_id())
     s = x.join(model.select(*by, F.col(label).alias("_lab"), "coef", "intercept"), by)
     s = s.withColumn("z", _sum(F.zip_with("x", "coef", lambda a, b: a * b)) + F.col("intercept"))
+    # log-sum-exp about the row's maximum, which doesn't overflow
+    s = s.withColumn("_m", F.max("z").over(Window.partitionBy(*by, "_r")))
     per_row = s.groupBy(*by, "_r", "weight", label).agg(
-        (F.log(F.sum(F.exp("z"))) - F.sum(F.when(F.col("_lab") == F.col(label), F.col("z")))).alias("ce"))
+        (F.max("_m") + F.log(F.sum(F.exp(F.col("z") - F.col("_m")))) - F.sum(F.when(F.col("_lab") == F.col(label), F.col("z")))).alias("ce"))
     data = per_row.groupBy(*by).agg((F.sum(F.col("weight") * F.col("ce")) / F.sum("weight")).alias("loss"),
                                     F.sum("weight").alias("sw"))
     reg = model.groupBy(*by).agg(F.sum(_sum(F.transform("coef", lambda c: c * c))).alias("wn"))

@@ -137,6 +137,19 @@ def evaluate_with_confidence(scored: DataFrame, by: Sequence[str] = (), threshol
     return ev.join(cs, by, "left") if by else _join_one(ev, cs)
 
 
+#: The stated target for the precision of every category (per user, offline).
+MIN_PRECISION = 0.75
+
+
+def min_category_precision(scored: DataFrame, by: Sequence[str] = (), target: float = MIN_PRECISION,
+                           y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
+    """Smallest precision over the categories that occur, and whether it meets the target (AGG-20)."""
+    pc = per_class(scored, by, y_true, y_pred).filter(F.col("support") > 0)
+    return pc.groupBy(*by).agg(F.min("precision").alias("min_precision"),
+                               (F.min("precision") >= F.lit(target)).alias("meets_target"),
+                               F.count(F.lit(1)).alias("n_categories"))
+
+
 def classification_report(scored: DataFrame, by: Sequence[str] = (), y_true: str = "y_true",
                           y_pred: str = "y_pred") -> DataFrame:
     """Per-class rows + ``accuracy``, ``macro avg``, ``weighted avg`` rows (AGG-11, AGG-20)."""

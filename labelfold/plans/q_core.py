@@ -117,6 +117,38 @@ register("class_weights", S.with_roles(["products"], (
     lambda spark, d: r6(labels.class_weights(tables.products(spark, d))))
 
 
+_INDEX_SQL = ("(SELECT category, n, CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS label_id, "
+              "CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n) AS weight FROM (SELECT category, count(*) AS n "
+              "FROM products WHERE category IS NOT NULL GROUP BY category))")
+
+
+@register("label_lookup", S.with_roles(["products"], (
+    f"SELECT p.doc_id, i.label_id, i.category AS label FROM products p JOIN {_INDEX_SQL} i USING (category)")))
+def label_lookup(spark, d):
+    """Label ids back to names through the index's lookup table (JOIN-2)."""
+    p = tables.products(spark, d)
+    idx = labels.label_index(p)
+    ids = labels.encode_labels(p.select("doc_id", "category"), idx).select("doc_id", "label_id")
+    names = labels.label_names(idx).select("label_id", F.col("category").alias("label"))
+    return ids.join(names, "label_id").select("doc_id", "label_id", "label")
+
+
+register("weighted_rows", S.with_roles(["products"], (
+    f"SELECT p.doc_id, p.category, i.label_id, round(i.weight, 6) AS weight FROM products p LEFT JOIN {_INDEX_SQL} i "
+    "USING (category)")))(
+    lambda spark, d: r6(labels.attach_weights(tables.products(spark, d).select("doc_id", "category"),
+                                              labels.class_weights(tables.products(spark, d)))
+                        .select("doc_id", "category", "label_id", "weight")))
+
+
+@register("label_map", S.with_roles(["products"], (
+    f"SELECT CAST(label_id AS INTEGER) AS label_id, category AS label FROM {_INDEX_SQL}")))
+def label_map(spark, d):
+    """id → label map through its JSON form and back (MAP-1, JSON-1)."""
+    as_json = labels.label_map_json(labels.label_index(tables.products(spark, d)))
+    return labels.parse_label_map(as_json).select(F.explode("id_to_label").alias("label_id", "label"))
+
+
 # --- splits -------------------------------------------------------------------------------
 
 register("split_plan", (
@@ -182,6 +214,11 @@ register("classification_report", _metric_sql(
     "CAST(s_sup AS BIGINT) FROM av"))(
     lambda spark, d: r6(metrics.classification_report(tables.scored(spark, d))))
 
+register("min_category_precision", _metric_sql(
+    "SELECT round(min(precision), 6) AS min_precision, min(precision) >= 0.75 AS meets_target, "
+    "count(*) AS n_categories FROM pc WHERE support > 0"))(
+    lambda spark, d: r6(metrics.min_category_precision(tables.scored(spark, d))))
+
 register("confusion_matrix", _metric_sql(
     "SELECT a.label AS y_true, b.label AS y_pred, CAST(coalesce(ct.n, 0) AS BIGINT) AS n "
     "FROM pc a JOIN pc b ON TRUE LEFT JOIN ct ON ct.y_true = a.label AND ct.y_pred = b.label"))(

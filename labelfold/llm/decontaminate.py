@@ -179,6 +179,22 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     arrow = pa.list_(pa.struct([("item_id", arrow_kind), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int64())]))
     kept = [f for f in docs.schema.fields if f.name.lower() != "found"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"found {FOUND.format(kind)}"])
+    def judge(batch: pa.RecordBatch, index: Index, more: bool) -> pa.RecordBatch:
+        found: list = [[] for _ in range(batch.num_rows)]
+        for row, counts, hashes in word_chunks(pc.utf8_lower(batch.column("text")), _NORMAL) if index.ids else ():
+            starts = np.cumsum(counts) - counts
+            hits: dict[int, dict] = {}
+            for k, p in _known_starts(index, counts, hashes):
+                doc = np.searchsorted(starts, p, "right") - 1
+                for d in np.unique(doc):
+                    hits.setdefault(int(d), {})[k] = p[doc == d] - starts[d]
+            for d, by in hits.items():
+                found[row + d] = index.matches(hashes[starts[d]:starts[d] + counts[d]], by)
+        if more:
+            found = [a + b for a, b in zip(batch.column("found").to_pylist(), found)]
+        return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(found, arrow)],
+                                          [*(f.name for f in kept), "found"])
+
     items, parts = _parts(benchmark)
     out = docs.select(*[F.col(f"`{f.name}`") for f in kept])
     for part in range(parts):
@@ -195,21 +211,9 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, index=index, more=part > 0):
             for batch in batches:
-                found: list = [[] for _ in range(batch.num_rows)]
-                for row, counts, hashes in word_chunks(pc.utf8_lower(batch.column("text")), _NORMAL) if index.ids else ():
-                    starts = np.cumsum(counts) - counts
-                    hits: dict[int, dict] = {}
-                    for k, p in _known_starts(index, counts, hashes):
-                        doc = np.searchsorted(starts, p, "right") - 1
-                        for d in np.unique(doc):
-                            hits.setdefault(int(d), {})[k] = p[doc == d] - starts[d]
-                    # a text of fewer words than a shingle can't hold a longer item's shingle
-                    for d, by in hits.items():
-                        found[row + d] = index.matches(hashes[starts[d]:starts[d] + counts[d]], by)
-                if more:
-                    found = [a + b for a, b in zip(batch.column("found").to_pylist(), found)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(found, arrow)],
-                                                 [*(f.name for f in kept), "found"])
+                for at in range(0, batch.num_rows, 512):
+                    yield judge(batch.slice(at, 512), index, more)
+
         out = out.mapInArrow(run, schema)
     return out
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from labelfold.session import checkpoint_path
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _MASK = (1 << 64) - 1
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, _MASK, 256, dtype=np.uint64)
@@ -60,12 +60,17 @@ def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[Co
 BROADCAST_IDS = 2_000_000
 
 
-def rows_of(df: DataFrame, ids: DataFrame, key: str, without: bool = False) -> DataFrame:
+def rows_of(df: DataFrame, ids: DataFrame, key: str | list[str], without: bool = False) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids(key)``, or isn't; null matches null.  ``ids`` is counted before it is broadcast."""
-    ids = ids.select(F.col(key).alias("wanted_id")).distinct()
+    keys = [key] if isinstance(key, str) else key
+    ids = ids.select(*[F.col(k).alias(f"wanted_{k}") for k in keys]).distinct()
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return df.join(ids, df[key].eqNullSafe(ids["wanted_id"]), "left_anti" if without else "left_semi")
+    on = None
+    for k in keys:
+        same = df[k].eqNullSafe(ids[f"wanted_{k}"])
+        on = same if on is None else on & same
+    return df.join(ids, on, "left_anti" if without else "left_semi")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

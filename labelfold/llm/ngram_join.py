@@ -157,16 +157,23 @@ class Join:
         self.docs = docs.select("doc_id", "text")
         classes = frequency_sketch(self.docs, size)
         self.signatures = written(signatures(self.docs, classes, size, num, den), "join-signatures")
-        self.reps = written(self.signatures.where("n > 0").groupBy("node", "n").agg(
-            F.min("doc_id").alias("doc_id"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix"))
-            .withColumn("p1", F.xxhash64("prefix", "n")), "join-reps")
+        some = self.signatures.where("n > 0")
+        # rows of a set beyond its first id: few beside the rest, and dropped where the rows lie
+        firsts = some.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
+        extra = some.select("doc_id", "node").join(firsts.where("rows > 1"), "node").where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+        some = rows_of(some, written(extra.select("doc_id", "node"), "join-extra"), ["doc_id", "node"], without=True)
+        some = some.withColumn("p1", F.xxhash64("prefix", "n"))
+        self.reps = written(some.select("node", "n", "doc_id", "bitmap", "p1").dropDuplicates(["node"]), "join-reps")
         # groups of equal prefix and size: a row for each node of a group of several
         groups = self.reps.groupBy("n", "p1").agg(F.min("node").alias("gid"), F.count("*").alias("members")).where("members > 1")
         self.members = written(self.reps.select("node", "n", "p1").join(groups, ["n", "p1"]).select("node", "gid"), "join-members")
-        heads = self.reps.join(self.members.where("node <> gid").select("node"), "node", "left_anti")
+        heads = rows_of(some, self.members.where("node <> gid"), "node", without=True)
         lists = written(heads.select(F.col("node").alias("gid"), F.col("n").cast("int"), F.posexplode("prefix").alias("pos", "token")), "join-lists")
-        shared = lists.groupBy("token").agg(F.count("*").alias("groups"), F.min(F.struct("pos", "gid", "n")).alias("pivot")).where("groups > 1")
-        self.lists = written(lists.join(shared.select("token", "pivot"), "token"), "join-shared")
+        # only shingles of several prefixes go on; most are in one
+        shared = written(lists.groupBy("token").count().where("count > 1").select("token"), "join-tokens")
+        lists = written(rows_of(lists, shared, "token"), "join-shared")
+        pivots = lists.groupBy("token").agg(F.min(F.struct("pos", "gid", "n")).alias("pivot"))
+        self.lists = lists.join(pivots, "token")
 
     def _bounds(self, n: str, pos: str, m: str, other: str) -> Column:
         """Sizes and positions leave room for enough common shingles."""

@@ -5,9 +5,12 @@ Each page is walked once.  Every text block belongs to a root-to-leaf tag path
 punctuation and link text; a path's length ratio and punctuation ratio are its
 sums over its number of blocks.  Both series are smoothed over the blocks in page
 order, fused (length x punctuation, less link text) and cut at a multiple of
-their standard deviation: what stays marks the content nodes.  The innermost
-element that holds nearly all of the marked text is the article, and every block
-in it that no boilerplate element encloses is kept, short ones too.
+their standard deviation: what stays marks the content nodes.  The article is the
+named one (``article``, else ``main``) that holds all content nodes, else the
+innermost element that does; every block in it that no boilerplate element
+encloses is kept, short ones too.  If only the body holds them all, blocks are kept
+of the articles with content nodes, of the content paths, and of the element that
+holds nearly all of the marked text.
 
 Boilerplate elements (menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) are known by tag, role or class name.
@@ -32,7 +35,7 @@ from .common import table
 
 #: Content paths score at least this many standard deviations of the fused ratios.
 THRESHOLD = 0.5
-#: An element is the article's if it holds this share of the content nodes' text.
+#: Where only the body holds all content nodes, an element with this share of their text is kept whole.
 SHARE = 0.9
 
 # HTML element and class names.
@@ -167,8 +170,8 @@ def text_blocks(page: str) -> list[tuple[str, int, _Element]]:
     return out
 
 
-def path_scores(blocks: list[tuple[str, int, _Element]]) -> tuple[np.ndarray, list[str]]:
-    """Smoothed and fused tag-path ratio of each block, and each block's path."""
+def path_scores(blocks: list[tuple[str, int, _Element]], near: bool = True) -> tuple[np.ndarray, list[str]]:
+    """Fused tag-path ratio of each block, smoothed if ``near`` blocks count, and each block's path."""
     paths, sums = [], {}
     for text, links, element in blocks:
         names, e = [], element
@@ -185,12 +188,24 @@ def path_scores(blocks: list[tuple[str, int, _Element]]) -> tuple[np.ndarray, li
     length = np.array([sums[p][0] / sums[p][3] for p in paths])
     points = np.array([sums[p][1] / sums[p][3] for p in paths])
     linked = np.array([sums[p][2] / max(1, sums[p][0]) for p in paths])
+    if not near:
+        return length * (1 + points) * (1 - linked), paths
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     weight = np.convolve(np.ones(len(paths)), kernel, "full")[2:-2]
     smooth = lambda x: np.convolve(x, kernel, "full")[2:-2] / weight
     return smooth(length) * (1 + smooth(points)) * (1 - linked), paths
 
 
+def _innermost(root: _Element, chars: float) -> list[_Element]:
+    """The elements from the root down to the innermost that isn't a text block and holds ``chars`` of the marked text."""
+    chain = [root]
+    while True:
+        down = [e for e in chain[-1].children if e.chars >= chars]
+        if not down or down[0].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre"):
+            return chain
+        chain.append(down[0])
+
+
 def main_text(page: str | None) -> str:
     """The article's text, its blocks joined by one newline."""
     blocks = text_blocks(page or "")
@@ -203,29 +218,32 @@ def main_text(page: str | None) -> str:
         marked = inside if not (marked & inside).any() else marked & inside
     if not marked.any():
         marked[:] = True
-    chosen = {p for p, m in zip(paths, marked) if m}
+    sure = marked & (path_scores(blocks, near=False)[0] >= THRESHOLD * score.std())  # not only by what is beside them
+    if not sure.any():
+        sure = marked
     total = 0
-    for (text, _, element), m in zip(blocks, marked):
+    for (text, _, element), m in zip(blocks, sure):
         if m:
             total += len(text)
             while element is not None:
                 element.chars += len(text)
                 element = element.parent
-    top = blocks[0][2]
-    while top.parent is not None:
-        top = top.parent
-    while True:
-        down = [e for e in top.children if e.chars >= SHARE * total]
-        if not down or down[0].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre"):
-            break
-        top = down[0]
-    whole = top.tag not in ("#", "html", "body")
+    root = blocks[0][2]
+    while root.parent is not None:
+        root = root.parent
+    chain = _innermost(root, total)
+    top = next((e for tag in ("article", "main") for e in chain if e.tag == tag), chain[-1])
+    whole = {top}
+    if top.tag in ("#", "html", "body"):
+        whole = {e for e in _innermost(root, SHARE * total)[-1:] if e.tag not in ("#", "html", "body")}
+    chosen = {p for p, m in zip(paths, sure if whole else marked) if m}
     kept = []
     for (text, _, element), path in zip(blocks, paths):
-        e = element
-        while e is not None and e is not top:
-            e = e.parent
-        if e is top and (whole or path in chosen):
+        above = [element]
+        while above[-1].parent is not None:
+            above.append(above[-1].parent)
+        named = next((e for e in reversed(above) if e.article), None)  # the outermost
+        if top in above and (path in chosen or not whole.isdisjoint(above) or named is not None and named.chars):
             kept.append(text)
     return "\n".join(kept)
 

@@ -48,3 +48,19 @@ def test_columns_and_rows(spark):
     out = h.extract(df).orderBy("page_id").collect()
     assert [r.n_chars for r in out] == [1 + 20_000 * 6 - 0, 0, 0] and all(r.extra is not None for r in out)
     assert h.extract(df.limit(0)).count() == 0
+
+
+LONG = "".join(f"<p>Paragraph {i}, which is long enough to count, and has its commas and stops. Indeed it has.</p>" for i in range(12))
+LINES = [f"Paragraph {i}, which is long enough to count, and has its commas and stops. Indeed it has." for i in range(12)]
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body><article><h1>T</h1><p>Lead.</p><div class=body>{LONG}</div><p>Closing.</p></article><p>out</p></body>", ["T", "Lead.", *LINES, "Closing."]),
+    (f"<body><main><h1>T</h1><section>{LONG}</section><section><p>Short one.</p></section></main></body>", ["T", *LINES, "Short one."]),
+    (f"<body><main><div>more</div><article><h1>T</h1><div>{LONG}</div><ul><li>a</li></ul></article></main></body>", ["T", *LINES, "a"]),
+    (f"<body><article><h1>T</h1><div>{LONG}</div></article><article><h1>U</h1>{LONG}</article></body>", ["T", *LINES, "U", *LINES]),
+    (f"<body><div><a href=a>Home</a></div><div class=story><h1>T</h1><div class=body>{LONG}</div><p>{'A closing line, with words enough to count. ' * 2}</p></div></body>",
+     ["T", *LINES, ("A closing line, with words enough to count. " * 2).strip()]),
+])
+def test_text_beside_a_long_section_is_kept(page, text):
+    assert h.main_text(page).split("\n") == text

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_model, mixing, ngram_join, quality, secret_scan, toxicity, url_filter, vector_dedup
+from . import (alignment, decontaminate, html_text, language_model, mixing, ngram_join, packing, quality, ranked_search, secret_scan,
+               toxicity, url_filter, vector_dedup)
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
@@ -15,5 +16,9 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_url_filter": url_filter.query,
     "op10_secret_scan": secret_scan.query,
+    "op11_packing": packing.query,
+    "op12_alignment": alignment.query,
+    "op13_ranked_search": ranked_search.query,
 }
-SQL = {"op2_vector_dedup": vector_dedup.ORACLE_SQL, "op9_url_filter": url_filter.oracle_sql()}
+SQL = {"op2_vector_dedup": vector_dedup.ORACLE_SQL, "op9_url_filter": url_filter.oracle_sql(),
+       "op13_ranked_search": ranked_search.ORACLE_SQL}

@@ -31,7 +31,6 @@ for the highest count all count as best; an empty table gives an empty result; o
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -43,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .tokens import byte_level, pieces, public_path, text_runs
+from .tokens import ByteIds, pieces, public_path, text_runs, token_bytes
 
 CHUNK = 1 << 16
 FAN = 16
@@ -92,16 +91,7 @@ def groups_of(whole: Fragment) -> str:
 @lru_cache(maxsize=2)
 def _byte_tables(path_a: str, path_b: str):
     """For A and B: bytes and byte length by id; and the texts of ids followed by each separator."""
-    with open(path_a, encoding="utf-8") as f:
-        vocabulary = json.load(f)
-    words = {**vocabulary["model"]["vocab"], **{t["content"]: t["id"] for t in vocabulary["added_tokens"]}}
-    # the byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for U+0100 on
-    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    others = [b for b in range(256) if b not in printable]
-    letter = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
-    a = [b""] * (max(words.values()) + 1)
-    for word, i in words.items():
-        a[i] = bytes(letter[c] for c in word) if all(c in letter for c in word) else word.encode()
+    a = token_bytes(path_a)
     model = pieces(path_b)
     b = []
     for i in range(model.get_piece_size()):
@@ -149,18 +139,17 @@ class Aligner:
     """Both tokenizers of one task."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.tokenizer, self.model = byte_level(path_a, True), pieces(path_b)
+        self.encode, self.model = ByteIds(path_a, True), pieces(path_b)
         self.bytes_a, self.bytes_b, self.sizes_a, self.sizes_b, self.texts = _byte_tables(path_a, path_b)
 
     def ranges(self, texts: list[str], low: list[int] | None = None, high: list[int] | None = None):
         """Yield ``(ok, n_a, n_b, fragment, pairs)`` of each text; ``low`` and ``high``: bytes of space + text whose ends count."""
-        encoded = self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        for k, (text, e, b) in enumerate(zip(texts, encoded, self.model.encode(texts, num_threads=1))):
-            a, whole = e.ids, b" " + text.encode()
-            if b"".join([self.bytes_a[i] for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
+        for k, (text, a, b) in enumerate(zip(texts, self.encode([" " + t for t in texts]), self.model.encode(texts, num_threads=1))):
+            a, whole = a.astype(np.int64), b" " + text.encode()
+            if b"".join([self.bytes_a[i] for i in a.tolist()]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
                 yield False, 0, 0, EMPTY, np.zeros(0, np.int64)
                 continue
-            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            b = np.array(b, np.int64)
             ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
             if low is not None:
                 in_a, in_b = (ends_a > low[k]) & (ends_a <= high[k]), (ends_b > low[k]) & (ends_b <= high[k])

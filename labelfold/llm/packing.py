@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import table, written
-from .tokens import byte_level, public_path, text_runs
+from .tokens import ByteIds, public_path, text_runs
 
 WINDOW = 2048
 QUANTUM = 256
@@ -50,13 +50,15 @@ BROADCAST_ROWS = 1_000_000
 def tokenised(docs: DataFrame, path: str, plain: bool = False) -> DataFrame:
     """``doc_id, source, ids, n, part, before``: token ids with ``END``, and the source's tokens before it in its task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, seen = byte_level(path, plain), TaskContext.get().partitionId(), {}
+        encode, part, seen = ByteIds(path, plain), TaskContext.get().partitionId(), {}
         for batch in batches:
             for piece in text_runs(batch):
-                texts = [t or "" for t in piece.column("text").to_pylist()]
-                ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                ids = encode([t or "" for t in piece.column("text").to_pylist()])
                 sizes = np.array([len(x) + 1 for x in ids], np.int64)
-                flat = np.concatenate([np.array(x + [END], np.int32) for x in ids])
+                flat = np.full(sizes.sum(), END, np.int32)
+                at = np.cumsum(sizes) - sizes
+                for k, x in zip(at.tolist(), ids):
+                    flat[k:k + len(x)] = x
                 before = []
                 for source, n in zip(piece.column("source").to_pylist(), sizes.tolist()):
                     before.append(seen.get(source, 0))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import classify as C
 from ..session import checkpoint_path
 from ..streaming import feedback_stream as FS
+from ..streaming import retrain_trigger as RT
 from . import q_models
 from . import sqlgen as S
 from .registry import r6, register
@@ -66,6 +67,41 @@ def retrain_triggers(spark, d):
     return out.select("user_id", "n_examples", "fires")
 
 
+_FIRES = """WITH RECURSIVE {roles},
+ex AS (SELECT user_id, epoch_us(created_at) AS t, row_number() OVER (PARTITION BY user_id ORDER BY created_at, event_id) AS i
+  FROM feedback WHERE feedback_type IN ('confirmation', 'correction') AND is_used_for_training),
+st AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, t AS last, CAST(0 AS BIGINT) AS fires, CAST(NULL AS BIGINT) AS aged_at,
+    CAST(NULL AS VARCHAR) AS reason FROM ex WHERE i = 1
+  UNION ALL
+  SELECT user_id, i, CASE WHEN reason IS NULL THEN n ELSE 0 END, CASE WHEN reason IS NULL THEN last ELSE t END,
+    fires + CASE WHEN reason IS NULL THEN 0 ELSE 1 END, aged_at, reason
+  FROM (SELECT *, CASE WHEN n >= {every} THEN 'feedback_threshold' WHEN t >= last + {day} THEN 'periodic' END AS reason
+    FROM (SELECT ex.user_id, ex.i, ex.t, CASE WHEN st.n > 0 AND ex.t >= st.last + {day} THEN 1 ELSE st.n + 1 END AS n,
+            CASE WHEN st.n > 0 AND ex.t >= st.last + {day} THEN st.last + {day} ELSE st.last END AS last,
+            st.fires + CASE WHEN st.n > 0 AND ex.t >= st.last + {day} THEN 1 ELSE 0 END AS fires,
+            CASE WHEN st.n > 0 AND ex.t >= st.last + {day} THEN st.last + {day} END AS aged_at
+          FROM st JOIN ex ON ex.user_id = st.user_id AND ex.i = st.i + 1))),
+fired AS (
+  SELECT user_id, fires - CASE WHEN reason IS NULL THEN 0 ELSE 1 END AS fire, aged_at AS fired_us, 'periodic' AS reason FROM st WHERE aged_at IS NOT NULL
+  UNION ALL SELECT user_id, fires, last, reason FROM st WHERE reason IS NOT NULL
+  UNION ALL SELECT user_id, fires + 1, last + {day}, 'periodic'
+  FROM (SELECT user_id, max(i) AS i FROM st GROUP BY user_id) JOIN st USING (user_id, i)
+  WHERE n > 0 AND last + {day} <= (SELECT max(t) FROM ex) - 3600000000)
+SELECT user_id, fire, strftime(make_timestamp(fired_us), '%Y-%m-%d %H:%M:%S.%f') AS fired_at, reason FROM fired"""
+
+
+@register("retrain_fires", _FIRES.format(roles=S.with_roles(["feedback"], "").strip().removeprefix("WITH "), every=3, day=RT.DAY_US))
+def retrain_fires(spark, d):
+    """Every fire of every user: the third example since the last fire, or a model of 24 h with new examples."""
+    rows = FS.ingest_training_rows(FS.table_stream(spark, d, "events"), with_time=True)
+    job = checkpoint_path(spark, f"streams/retrain_fires-{uuid.uuid4().hex[:12]}")
+    FS.run_ingest(rows, "retrain_fire_rows", f"{job}/ingest")
+    once = FS.ingested_stream(spark, rows, "retrain_fire_rows", f"{job}/ingest")
+    fires = FS.run_append(RT.retrain_fires(once, every=3), "retrain_fires", f"{job}/fires")
+    return fires.select("user_id", "fire", F.date_format("fired_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fired_at"), "reason")
+
+
 @register("prototype_incremental", (
     "WITH t AS (SELECT label, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT label, embedding, "
     "unnest(generate_series(1, len(embedding))) AS i FROM embeddings)) "

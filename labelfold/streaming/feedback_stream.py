@@ -101,7 +101,7 @@ def feedback_events(events: DataFrame) -> DataFrame:
                     (k >= 5).alias("is_used_for_training")))
 
 
-def ingest_training_rows(events: DataFrame) -> DataFrame:
+def ingest_training_rows(events: DataFrame, with_time: bool = False) -> DataFrame:
     """Confirmation → auto_confirmed row, correction → corrected label (STRM-1); duplicates
     are dropped where the rows are written (``run_ingest``)."""
     rows = feedback_events(events).filter(F.col("feedback_type").isin("confirmation", "correction")
@@ -111,7 +111,8 @@ def ingest_training_rows(events: DataFrame) -> DataFrame:
         F.when(F.col("feedback_type") == "correction", F.col("correct_category_id"))
          .otherwise(F.col("predicted_category_id")).alias("label"),
         F.when(F.col("feedback_type") == "correction", "user_feedback")
-         .otherwise("auto_confirmed").alias("source"), F.to_date("created_at").alias("day"))
+         .otherwise("auto_confirmed").alias("source"), F.to_date("created_at").alias("day"),
+        *(["created_at"] if with_time else []))
 
 
 def run_ingest(rows: DataFrame, name: str, job: str | None = None) -> DataFrame:

@@ -106,6 +106,23 @@ def score_dense(df: DataFrame, model: DataFrame, key: str, features: str, label:
     return j.select(*by, key, label, s.alias("score"))
 
 
+def linear_probabilities(df: DataFrame, model: DataFrame, key: str, features: str, label: str,
+                         by: Sequence[str]) -> DataFrame:
+    """(by…, key, probabilities): softmax over the labels of the row's group, computed in the row (CLS-9).
+
+    ``model`` is a linear model table; the join carries one packed model per group,
+    so neither rows × labels nor a second shuffle arises.
+    """
+    packed = model.groupBy(*by).agg(F.collect_list(F.struct(F.col(label).alias("label"), "coef", "intercept")).alias("_m"))
+    x = df.select(*by, key, F.col(features).cast("array<double>").alias("_x")).join(packed, list(by))
+    z = F.transform("_m", lambda m: F.struct(m["label"].alias("label"), (dot(F.col("_x"), m["coef"]) + m["intercept"]).alias("z")))
+    x = x.select(*by, key, z.alias("_z"))
+    top = F.array_max(F.transform("_z", lambda s: s["z"]))
+    total = F.aggregate("_z", F.lit(0.0), lambda acc, s: acc + F.exp(s["z"] - top))
+    return x.select(*by, key, F.transform("_z", lambda s: F.struct(
+        s["label"].alias("label"), (F.exp(s["z"] - top) / total).alias("probability"))).alias("probabilities"))
+
+
 # --- from label scores to predictions ----------------------------------------------------------
 
 def rank_scores(scores: DataFrame, key: str, label: str = "label", by: Sequence[str] = (),

@@ -2,8 +2,10 @@
 
 The objective per group is Spark ML's (and, with ``regParam = 1/(C·Σw)``, the
 reference's): ``(1/Σw) Σ wᵢ·CE(xᵢ, yᵢ) + (λ/2)·‖W‖²`` with an unpenalised
-intercept and inverse-frequency class weights.  Fitting is accelerated
-gradient descent where every iteration is
+intercept and inverse-frequency class weights.  Groups are fitted by Newton's
+method (``newton``) to a gradient below ``tol``.  A group with more than
+``newton.MAX_PARAMETERS`` parameters, whose Hessian would not fit a task, is
+fitted by accelerated gradient descent where every iteration is
 
 * one equi-join of the training rows with the packed per-group model,
 * the per-row gradient ``wᵢ (pᵢ − yᵢ) ⊗ [xᵢ, 1]`` computed in the row,
@@ -12,9 +14,11 @@ gradient descent where every iteration is
 * an update of the small model table, written to the shared checkpoint
   folder to cut lineage.
 
-No group is ever collected into one task or to the driver.  The result uses
-the model-table layout ``(by…, label, coef, intercept)`` and scores with
-``classify.score_dense(metric="linear")``.
+Either way the columns ``gradient`` (largest entry) and ``converged`` say how
+far a group came.  No group is ever collected into one task or to the driver.
+The result uses the model-table layout ``(by…, label, coef, intercept)`` and
+scores with ``classify.score_dense(metric="linear")``.  Rows without a label or
+features are left out.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .labels import class_weights
+from .newton import MAX_PARAMETERS, newton
 
 
 def _sum(arr: F.Column) -> F.Column:
@@ -43,12 +48,16 @@ def _logits(w: F.Column, xa: F.Column) -> F.Column:
 
 def fit_linear_by_group(df: DataFrame, features: str, label: str, by: Sequence[str],
                         C: float = 1.0, max_iter: int = 200, class_weighted: bool = True,
-                        tol: float = 1e-7, check_every: int = 10) -> DataFrame:
-    """Fit; stops early once the largest gradient entry of every group is below ``tol``
-    (checked every ``check_every`` iterations on the small model table)."""
+                        tol: float = 1e-6, max_rounds: int = 15) -> DataFrame:
+    """Fit every group: ``(by…, label_id, label, coef, intercept, gradient, converged)``.
+
+    ``max_rounds`` bounds the Newton rounds, ``max_iter`` the gradient steps of very wide groups;
+    a group whose gradient is still above ``tol`` then has ``converged = false``.
+    """
     by = list(by)
     if not by:
         raise ValueError("use plans.jobs.fit for a single global model")
+    df = df.filter(F.col(label).isNotNull() & F.col(features).isNotNull())
     idx = class_weights(df, label, by)
     if not class_weighted:
         idx = idx.withColumn("weight", F.lit(1.0))
@@ -60,9 +69,25 @@ def fit_linear_by_group(df: DataFrame, features: str, label: str, by: Sequence[s
               .agg(F.sum("weight").alias("sw"),
                    F.max(_sum(F.transform("xa", lambda v: v * v))).alias("xmax"),
                    F.max(F.size("xa")).alias("da"))
-              .join(idx.groupBy(*by).agg(F.count(F.lit(1)).alias("k")), by))
-    consts = (consts.withColumn("lam", F.lit(1.0) / (F.lit(C) * F.col("sw")))
-              .withColumn("step", F.lit(1.0) / (F.lit(0.5) * F.col("xmax") + F.col("lam"))))
+              .join(idx.groupBy(*by).agg(F.count(F.lit(1)).alias("k")), by)
+              .withColumn("lam", F.lit(1.0) / (F.lit(C) * F.col("sw"))))
+    consts = materialize(consts, "linear_groups")
+    wide = consts.filter(F.col("k") * F.col("da") > MAX_PARAMETERS)
+    some_wide = not wide.isEmpty()
+    small = consts.filter(F.col("k") * F.col("da") <= MAX_PARAMETERS)
+    out = newton(rows.join(small.select(*by), by, "left_semi") if some_wide else rows, small, by, tol, max_rounds)
+    if some_wide:
+        out = out.unionByName(_by_gradient(rows.join(wide.select(*by), by, "left_semi"), wide, by, tol, max_iter))
+    out = out.select(*by, "da", "w", "gradient", "converged", F.posexplode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)).alias("_p", "label_id"))
+    out = out.select(*by, F.col("label_id").cast("int").alias("label_id"),
+                     F.slice("w", F.col("label_id") * F.col("da") + 1, F.col("da") - 1).alias("coef"),
+                     F.element_at("w", ((F.col("label_id") + 1) * F.col("da")).cast("int")).alias("intercept"), "gradient", "converged")
+    return out.join(idx.select(*by, "label_id", label), by + ["label_id"])
+
+
+def _by_gradient(rows: DataFrame, consts: DataFrame, by: list[str], tol: float, max_iter: int, check_every: int = 10) -> DataFrame:
+    """Accelerated gradient descent, checked every ``check_every`` steps on the small model table."""
+    consts = consts.withColumn("step", F.lit(1.0) / (F.lit(0.5) * F.col("xmax") + F.col("lam")))
     zeros = F.array_repeat(F.lit(0.0), (F.col("k") * F.col("da")).cast("int"))
     model = materialize(consts.select(*by, "k", "da", "sw", "lam", "step",
                                       zeros.alias("w"), zeros.alias("w_prev")), "linear_model")
@@ -96,11 +121,7 @@ def fit_linear_by_group(df: DataFrame, features: str, label: str, by: Sequence[s
                                        F.col("w").alias("w_prev"), gmax.alias("_gmax")), "linear_model")
         if t % check_every == 0 and model.agg(F.max("_gmax")).first()[0] < tol:
             break
-    out = model.select(*by, "da", "w", F.posexplode(F.sequence(F.lit(0), F.col("k") - 1)).alias("_p", "label_id"))
-    out = out.select(*by, F.col("label_id").cast("int").alias("label_id"),
-                     F.slice("w", F.col("label_id") * F.col("da") + 1, F.col("da") - 1).alias("coef"),
-                     F.element_at("w", ((F.col("label_id") + 1) * F.col("da")).cast("int")).alias("intercept"))
-    return out.join(idx.select(*by, "label_id", label), by + ["label_id"])
+    return model.select(*by, "k", "da", "w", F.col("_gmax").alias("gradient"), (F.col("_gmax") <= tol).alias("converged"))
 
 
 def objective(df: DataFrame, model: DataFrame, features: str, label: str, by: Sequence[str],

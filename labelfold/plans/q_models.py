@@ -8,6 +8,8 @@ from ..operators import classify as C
 from ..operators import features as FE
 from ..operators import neighbors as NB
 from ..operators import metrics, split
+from ..operators.labels import class_weights
+from ..operators.linear import fit_linear_by_group
 from ..sources import tables
 from ..sources.columns import map_columns
 from ..functions.text import has_content, py_strip
@@ -368,3 +370,25 @@ def knn_exact(spark, d):
     c = s.filter(F.col("split") == "train").select("vec_id", "embedding")
     out = NB.nearest_exact(q, c, "vec_id", "embedding", k=5)
     return r6(out.select("query_id", "item_id", "rank", "cosine"))
+
+
+@register("user_linear_models", (
+    "WITH c AS (SELECT vec_id % 25 AS user_id, label, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY ALL) "
+    "SELECT user_id, label, n, round(CAST(sum(n) OVER u AS DOUBLE) / (count(*) OVER u * n), 6) AS weight, "
+    "round(1.0 / count(*) OVER u, 6) AS mean_probability, true AS converged FROM c WINDOW u AS (PARTITION BY user_id)"))
+def user_linear_models(spark, d):
+    """One logistic regression per user, scored over the user's rows (CLS-7, CLS-9).
+
+    At the optimum the free intercepts make every label's weighted mean probability equal its share
+    of the weight, 1/k under balanced weights: a fact of the fit that SQL can state.
+    """
+    rows = tables.vectors(spark, d).withColumn("user_id", F.col("vec_id") % 25).filter(F.col("label").isNotNull())
+    model = materialize(fit_linear_by_group(rows, "embedding", "label", ["user_id"], tol=1e-8), "user_linear_models")
+    weights = class_weights(rows, "label", ["user_id"])
+    p = C.linear_probabilities(rows.join(weights.select("user_id", "label", "weight"), ["user_id", "label"])
+                               .withColumn("row", F.struct("vec_id", "weight")), model, "row", "embedding", "label", ["user_id"])
+    p = p.select("user_id", "row.weight", F.explode("probabilities").alias("p"))
+    mean = p.groupBy("user_id", F.col("p.label").alias("label")).agg(
+        (F.sum(F.col("weight") * F.col("p.probability")) / F.sum("weight")).alias("mean_probability"))
+    facts = model.select("user_id", "label", "converged").join(weights.select("user_id", "label", "n", "weight"), ["user_id", "label"])
+    return r6(facts.join(mean, ["user_id", "label"]).select("user_id", "label", "n", "weight", "mean_probability", "converged"))

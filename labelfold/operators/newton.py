@@ -7,8 +7,8 @@ group that holds a third of all rows is spread.  A round is
 * the blocks joined with their group's current coefficients,
 * in each task, value, gradient and Hessian of each run of blocks: for two classes c and d the Gram
   matrix of the rows weighted by ``p_c * (1{c=d} - p_d)``,
-* their sum per group (``Summarizer``),
-* one small solve per group row.
+* their sum per group, in levels of ``FAN`` partial sums each, so no task holds more than that many,
+* one small solve per group.
 
 A step that raises the objective is halved.  A group whose largest gradient entry is below ``tol``
 has converged and takes no further part; one that has not after ``max_rounds`` rounds is returned
@@ -21,8 +21,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -32,6 +31,7 @@ from ..session import materialize
 BLOCK_VALUES = 1 << 16
 #: Classes times width of a group up to which its Hessian (that number squared, in doubles) is built.
 MAX_PARAMETERS = 1536
+FAN = 32
 
 
 def _columns(df: DataFrame, names: Sequence[str]) -> str:
@@ -71,7 +71,7 @@ def blocks(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _terms(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Sums of loss, gradient and Hessian over rows; ``w`` is classes x width."""
+    """Sums of loss, gradient and Hessian over rows; ``w`` is classes x width.  The Hessian's blocks of classes a <= b follow each other."""
     k, d = w.shape
     z = x @ w.T
     z -= z.max(axis=1, keepdims=True)
@@ -81,16 +81,19 @@ def _terms(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> t
     loss = float((weight * (np.log(total[:, 0]) - z[np.arange(len(y)), y])).sum())
     r = p * weight[:, None]
     r[np.arange(len(y)), y] -= weight
-    hessian = np.empty((k, d, k, d))
-    for a in range(k):
-        for b in range(a, k):
-            v = weight * p[:, a] * ((a == b) - p[:, b])
-            hessian[a, :, b, :] = hessian[b, :, a, :] = x.T @ (x * v[:, None])
-    return loss, (r.T @ x).ravel(), hessian.ravel()
+    blocks_of = np.empty((k * (k + 1) // 2, d, d))
+    for i, (a, b) in enumerate(_pairs(k)):
+        v = weight * p[:, a] * ((a == b) - p[:, b])
+        blocks_of[i] = x.T @ (x * v[:, None])
+    return loss, (r.T @ x).ravel(), blocks_of.ravel()
+
+
+def _pairs(k: int) -> list[tuple[int, int]]:
+    return [(a, b) for a in range(k) for b in range(a, k)]
 
 
 def partial_sums(joined: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``(by…, sums)``: loss, gradient and Hessian of each stretch of a group's blocks in a task."""
+    """``(by…, part, sums)``: loss, gradient and Hessian of each stretch of a group's blocks in a task."""
     by = list(by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +107,7 @@ def partial_sums(joined: DataFrame, by: Sequence[str]) -> DataFrame:
                 k, d = batch.column("k")[lo].as_py(), batch.column("da")[lo].as_py()
                 w = np.array(batch.column("w")[lo].values).reshape(k, d)
                 if held is None:
-                    held, total = (keys[lo], [batch.column(b).slice(lo, 1) for b in by]), [0.0, np.zeros(k * d), np.zeros((k * d) ** 2)]
+                    held, total = (keys[lo], [batch.column(b).slice(lo, 1) for b in by]), [0.0, np.zeros(k * d), np.zeros(k * (k + 1) // 2 * d * d)]
                 for i in range(lo, hi):
                     x, y, weight = (np.array(batch.column(c)[i].values) for c in ("xs", "ys", "ws"))
                     total = [a + b for a, b in zip(total, _terms(w, x.reshape(len(y), d), y, weight))]
@@ -113,9 +116,31 @@ def partial_sums(joined: DataFrame, by: Sequence[str]) -> DataFrame:
 
     def out(key: list[pa.Array], total: list) -> pa.RecordBatch:
         flat = np.concatenate([[total[0]], total[1], total[2]])
-        return pa.RecordBatch.from_arrays([*key, pa.ListArray.from_arrays([0, len(flat)], flat)], [*by, "sums"])
+        part = pa.array([TaskContext.get().partitionId()], pa.int32())
+        return pa.RecordBatch.from_arrays([*key, part, pa.ListArray.from_arrays([0, len(flat)], flat)], [*by, "part", "sums"])
+
+    return joined.mapInArrow(run, f"{_columns(joined, by)}, part int, sums array<double>")
+
+
+def _total(table: pa.Table) -> np.ndarray:
+    sums = table.column("sums").combine_chunks()
+    return np.asarray(sums.flatten()).reshape(len(sums), -1).sum(axis=0)
+
+
+def summed(partial: DataFrame, by: Sequence[str], parts: int) -> DataFrame:
+    """Partial sums of a group added in levels, until at most ``FAN`` are left."""
+    by = list(by)
+
+    def add(key, table):
+        flat = _total(table)
+        first = table.slice(0, 1).drop_columns(["part", "sums"])
+        return (first.append_column("part", pa.array([key[-1].as_py()], pa.int32()))
+                .append_column("sums", pa.ListArray.from_arrays([0, len(flat)], flat)))
 
-    return joined.mapInArrow(run, f"{_columns(joined, by)}, sums array<double>")
+    while parts > FAN:
+        partial = partial.groupBy(*by, F.expr(f"cast(part div {FAN} as int)").alias("level")).applyInArrow(add, partial.schema)
+        parts = -(-parts // FAN)
+    return partial
 
 
 MODEL = "k int, da int, sw double, lam double, w array<double>, best array<double>, value double, gradient double, converged boolean"
@@ -133,7 +158,10 @@ def _step(row: dict, tol: float) -> dict:
     size = float(np.abs(gradient).max())
     row = row | {"best": w.tolist(), "value": value, "gradient": size, "converged": size <= tol}
     if not row["converged"]:
-        hessian = sums[1 + m:].reshape(m, m) / row["sw"]
+        hessian = np.empty((k, d, k, d))
+        for (a, b), block in zip(_pairs(k), sums[1 + m:].reshape(-1, d, d)):
+            hessian[a, :, b, :] = hessian[b, :, a, :] = block
+        hessian = hessian.reshape(m, m) / row["sw"]
         hessian[np.diag_indices(m)] += row["lam"] * free
         # adding a constant to all intercepts changes nothing; the gradient has no part in that direction
         shared = np.flatnonzero(~free)
@@ -151,20 +179,21 @@ def newton(rows: DataFrame, consts: DataFrame, by: Sequence[str], tol: float, ma
                           F.lit(None).cast("double").alias("gradient"), F.lit(False).alias("converged"))
     model = materialize(model, "newton_model")
     packed = materialize(blocks(rows, by), "newton_blocks")
+    # tasks of the join: its shuffle's or the written table's
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(packed.inputFiles()), 1)
     schema = f"{_columns(model, by)}, {MODEL}"
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in model.schema.fields]
 
     def step(key, table):
-        row = table.drop_columns(["sums"]).to_pylist()[0]
-        row["sums"] = np.array(table.column("sums").combine_chunks().flatten())
-        row = _step(row, tol)
+        row = table.slice(0, 1).drop_columns(["sums"]).to_pylist()[0]
+        row = _step(row | {"sums": _total(table)}, tol)
         return pa.table({name: pa.array([row[name]], kind) for name, kind in kinds})
 
     done = None
     for _ in range(max_rounds):
         point = model.select(*by, "k", "da", "w")
-        sums = (partial_sums(packed.join(point, by), by).groupBy(*by)
-                .agg(Summarizer.sum(array_to_vector("sums")).alias("sums")).select(*by, vector_to_array("sums").alias("sums")))
+        partial = partial_sums(packed.join(point, by), by)
+        sums = summed(partial, by, parts).drop("part")
         model = materialize(model.join(sums, by).groupBy(*by).applyInArrow(step, schema), "newton_model")
         ready = model.filter("converged")
         done = ready if done is None else done.unionByName(ready)

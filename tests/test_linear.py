@@ -91,3 +91,15 @@ def test_few_rounds_leave_the_mark(spark):
     assert {r.user_id for r in model.filter("NOT converged").select("user_id").distinct().collect()} == {0, 1, 2, 3}
     assert model.filter("converged").select("user_id").distinct().count() == 2  # one label: nothing to learn
     assert fit_linear_by_group(df.limit(0), "v", "label", ["user_id"]).count() == 0
+
+
+def test_partial_sums_add_up_over_levels(spark, monkeypatch):
+    from labelfold.operators import newton
+    monkeypatch.setattr(newton, "FAN", 2)
+    rows = [("a" if i % 3 else "b", i, [float(i), 1.0]) for i in range(40)]
+    partial = spark.createDataFrame(rows, "g string, part int, sums array<double>")
+    left = newton.summed(partial, ["g"], 40).collect()
+    assert len(left) <= 4
+    for g in "ab":
+        assert sum(r.sums[0] for r in left if r.g == g) == sum(i for h, i, _ in rows if h == g)
+        assert sum(r.sums[1] for r in left if r.g == g) == sum(h == g for h, *_ in rows)

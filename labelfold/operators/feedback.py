@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import exact_percentiles
-from .ranking import bucketed_rank
+from .ranking import sorted_rank
 
 
 # --- training rows ---------------------------------------------------------------------
@@ -240,14 +240,14 @@ def retrain_due(examples: DataFrame, runs: DataFrame, as_of: F.Column, min_new:
 
 
 def learning_speed(scored: DataFrame, user: str = "user_id", key: str = "doc_id",
-                   target: float = 0.8, min_examples: int = 5, bucket_width: int = 1024) -> DataFrame:
+                   target: float = 0.8, min_examples: int = 5) -> DataFrame:
     """First n (≥ min_examples) where the running accuracy reaches ``target`` (WIN-7).
 
-    Running counts use bucketed offsets, so a heavy user is not one sorted task.
+    Running counts come from a range-partitioned sort, so a heavy user is not one sorted task.
     """
     ok = F.coalesce(F.col("y_true") == F.col("y_pred"), F.lit(False)).cast("long")
-    r = bucketed_rank(scored, [user], [F.col(key)], F.floor(F.col(key) / bucket_width),
-                      rank_col="n_seen", size_col="n_total", running={"n_correct": ok})
+    x = scored.select(user, key, ok.alias("_ok"))
+    r = sorted_rank(x, [user], [F.col(key)], rank_col="n_seen", size_col="n_total", running={"n_correct": F.col("_ok")})
     hit = r.filter((F.col("n_seen") >= min_examples)
                    & (F.col("n_correct") >= F.lit(target) * F.col("n_seen")))
     first = hit.groupBy(user).agg(F.min("n_seen").alias("examples_to_target"))

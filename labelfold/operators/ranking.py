@@ -2,12 +2,13 @@
 
 A plain ``row_number().over(Window.orderBy(h))`` sends every row to one task,
 and ``Window.partitionBy(label)`` sends a hot label (a third of all rows) to
-one task.  Instead the order key is cut into buckets that are monotone in the
-order (a hash prefix, or a day).  One small aggregate counts rows per
-``(by…, bucket)``; a running sum over that *count table* gives each bucket its
-offset; the data then only needs ``row_number`` inside ``(by…, bucket)``.
-Every task sees about ``n / buckets`` rows, and the count table is bounded by
-``groups × buckets`` rows no matter how large the data grows.
+one task.  Instead the rows are sorted by (group, order) over all tasks
+(``range_sorted``: a range partitioning, whose bounds Spark samples from the data,
+so a hot group, a hot day or hashed keys are cut like any others) and written
+with their place in the sort.  One small aggregate counts rows per
+``(by…, bucket)``, a bucket being a range: as each range is a stretch of the sort, that table
+has at most ``groups + ranges`` rows.  A running sum over it gives the rows of a
+group before each range, and a row's rank is that offset plus its place in the range.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# 16 bits of the md5 digest: 65 536 buckets of a uniform hash.
-HASH_BUCKET_HEX = 4
+from ..session import materialize
+
+#: ``monotonically_increasing_id`` holds the partition above this many bits of the row's place in it.
+_PLACE_BITS = 33
 
 
 def seeded_hash(key: Column | str, seed: int = 42) -> Column:
@@ -27,44 +30,59 @@ def seeded_hash(key: Column | str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), k.cast("string")))
 
 
-def hash_bucket(h: Column, hex_digits: int = HASH_BUCKET_HEX) -> Column:
-    return F.conv(F.substring(h, 1, hex_digits), 16, 10).cast("int")
+def range_sorted(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` sorted by (by…, order) over ranges, with ``_bucket`` (range, in sort order) and ``_place`` in it.
+
+    Written once, so later reads see the same ranges.
+    """
+    rows = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    rows = materialize(rows.withColumn("_at", F.monotonically_increasing_id()), "ranked_rows")
+    place = F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return rows.withColumn("_bucket", F.shiftright("_at", _PLACE_BITS)).withColumn("_place", place).drop("_at")
+
+
+def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
+    """Equality of the named columns; NULL equals NULL."""
+    on = F.lit(True)
+    for n in names:
+        on = on & left[n].eqNullSafe(right[f"_o_{n}"])
+    return on
+
 
+def _with_offsets(rows: DataFrame, offsets: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows joined with the count table by ``names`` (few rows, or as many as there are groups)."""
+    other = offsets.withColumnsRenamed({n: f"_o_{n}" for n in names})
+    return rows.join(other, _same(rows, other, names)).drop(*[f"_o_{n}" for n in names])
 
-def bucketed_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column],
-                  bucket: Column, rank_col: str = "_rank",
-                  size_col: str | None = "_n",
-                  running: dict[str, Column] | None = None) -> DataFrame:
+
+def sorted_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], rank_col: str = "_rank",
+                size_col: str | None = "_n", running: dict[str, Column] | None = None) -> DataFrame:
     """Add ``rank_col`` = 1-based row number within ``by`` ordered by ``order``.
 
-    ``bucket`` must be monotone in ``order`` (rows of a lower bucket always
-    sort first).  ``size_col`` (optional) receives the group size.
-    ``running`` maps output names to numeric columns whose running sum (up to
-    and including the row, in the same order) is added the same way.
+    ``size_col`` (optional) receives the group size.  ``running`` maps output names to
+    numeric columns whose running sum (up to and including the row, in the same
+    order) is added.  NULL groups are groups.
     """
-    by = list(by)
-    running = running or {}
-    b = "_bucket"
-    x = df.withColumn(b, bucket)
+    by, running = list(by), running or {}
+    x = df
     for name, c in running.items():
         x = x.withColumn(f"_v_{name}", c)
-    counts = x.groupBy(*by, b).agg(F.count(F.lit(1)).alias("_c"),
-                                   *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in running])
-    w_run = (Window.partitionBy(*by).orderBy(b)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(w_run), F.lit(0)))
+    x = range_sorted(x, by, order)
+    counts = x.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c"), F.min("_place").alias("_first"),
+                                           *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in running])
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     for n in running:
-        offsets = offsets.withColumn(f"_o_{n}", F.coalesce(F.sum(f"_s_{n}").over(w_run), F.lit(0)))
+        offsets = offsets.withColumn(f"_r_{n}", F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)))
     if size_col:
         offsets = offsets.withColumn(size_col, F.sum("_c").over(Window.partitionBy(*by)))
     offsets = offsets.drop("_c", *[f"_s_{n}" for n in running])
-    w_in = Window.partitionBy(*by, b).orderBy(*order)
-    out = (x.join(offsets, by + [b])
-           .withColumn(rank_col, F.col("_off") + F.row_number().over(w_in)))
-    w_cum = w_in.rowsBetween(Window.unboundedPreceding, 0)
+    out = _with_offsets(x, offsets, [*by, "_bucket"])
+    out = out.withColumn(rank_col, F.col("_off") + F.col("_place") - F.col("_first") + 1)
+    upto = Window.partitionBy(*by, "_bucket").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
     for n in running:
-        out = out.withColumn(n, F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(w_cum))
-    return out.drop("_off", b, *[f"_o_{n}" for n in running], *[f"_v_{n}" for n in running])
+        out = out.withColumn(n, F.col(f"_r_{n}") + F.sum(f"_v_{n}").over(upto))
+    return out.drop("_off", "_first", "_bucket", "_place", *[f"_r_{n}" for n in running], *[f"_v_{n}" for n in running])
 
 
 def hash_rank(df: DataFrame, key: str, by: Sequence[str] = (), seed: int = 42,
@@ -72,62 +90,40 @@ def hash_rank(df: DataFrame, key: str, by: Sequence[str] = (), seed: int = 42,
               hash_col: str = "_h") -> DataFrame:
     """Rank rows within ``by`` by md5(seed|key), ties by key (WIN-1 order)."""
     x = df.withColumn(hash_col, seeded_hash(key, seed))
-    return bucketed_rank(x, by, [F.col(hash_col), F.col(key)], hash_bucket(F.col(hash_col)),
-                         rank_col=rank_col, size_col=size_col)
+    return sorted_rank(x, by, [F.col(hash_col), F.col(key)], rank_col=rank_col, size_col=size_col)
 
 
 def hash_rank_pair(df: DataFrame, key: str, by: Sequence[str], sub: str, seed: int = 42
                    ) -> tuple[DataFrame, DataFrame]:
     """Ranks by md5(seed|key) within ``by`` (``_r_g``, size ``_n_g``) and within
-    ``by + [sub]`` (``_r_c``, size ``_c``) from one shared hash bucket.
+    ``by + [sub]`` (``_r_c``, size ``_c``) from one sort.
 
     Returns ``(ranked rows, counts)`` where ``counts`` is the single
-    ``(by…, sub, bucket) → _cnt`` aggregate every offset is derived from (one
-    pass over the data; bounded by groups × sub-groups × buckets).  Both windows
-    partition on ``(by…, bucket)`` first, so the second reuses the first one's
-    shuffle: one exchange of the rows instead of two.
+    ``(by…, sub, _bucket) → _cnt`` aggregate every offset is derived from (one
+    pass over the data; at most sub-groups × (groups + ranges) rows).  The place in
+    the range gives the first rank; the second is a window within ``(by…, _bucket)``,
+    which holds the rows of one range at most.
     """
     by = list(by)
     b = "_bucket"
-    x = (df.withColumn("_h", seeded_hash(key, seed))
-         .withColumn(b, hash_bucket(F.col("_h"))))
-    counts = x.groupBy(*by, sub, b).agg(F.count(F.lit(1)).alias("_cnt"))
-    cg = counts.groupBy(*by, b).agg(F.sum("_cnt").alias("_cnt"))
+    x = range_sorted(df.withColumn("_h", seeded_hash(key, seed)), by, [F.col("_h"), F.col(key)])
+    counts = x.groupBy(*by, sub, b).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_place").alias("_first"))
+    cg = counts.groupBy(*by, b).agg(F.sum("_cnt").alias("_cnt"), F.min("_first").alias("_first"))
     wg = Window.partitionBy(*by) if by else Window.partitionBy()
     og = (cg.withColumn("_off_g", F.coalesce(F.sum("_cnt").over(
         wg.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
           .withColumn("_n_g", F.sum("_cnt").over(wg)).drop("_cnt"))
     wc = Window.partitionBy(*by, sub)
-    oc = (counts.withColumn("_off_c", F.coalesce(F.sum("_cnt").over(
+    oc = (counts.drop("_first").withColumn("_off_c", F.coalesce(F.sum("_cnt").over(
         wc.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
           .withColumn("_c", F.sum("_cnt").over(wc)).drop("_cnt"))
-    order = [F.col("_h"), F.col(key)]
-    y = x.join(og, by + [b]).join(oc, by + [sub, b])
-    y = y.withColumn("_r_g", F.col("_off_g") + F.row_number().over(
-        Window.partitionBy(*by, b).orderBy(*order)))
-    y = y.withColumn("_r_c", F.col("_off_c") + F.row_number().over(
-        Window.partitionBy(*by, b, sub).orderBy(*order)))
-    return y.drop("_off_g", "_off_c"), counts
+    y = _with_offsets(_with_offsets(x, og, by + [b]), oc, by + [sub, b])
+    y = y.withColumn("_r_g", F.col("_off_g") + F.col("_place") - F.col("_first") + 1)
+    y = y.withColumn("_r_c", F.col("_off_c") + F.row_number().over(Window.partitionBy(*by, b, sub).orderBy("_place")))
+    return y.drop("_off_g", "_off_c", "_place", "_first"), counts.drop("_first")
 
 
 def time_rank(df: DataFrame, ts: str, key: str, by: Sequence[str] = (),
-              rank_col: str = "_rank", size_col: str | None = "_n",
-              key_width: int = 1 << 20) -> DataFrame:
-    """Rank rows within ``by`` by (ts, key).
-
-    Buckets must be monotone in (ts, key): a DATE order key buckets by
-    (day, key // key_width) for numeric keys, so one hot day of one user is
-    still cut into many buckets; a TIMESTAMP order key buckets by minute.
-    """
-    from pyspark.sql import types as T
-    t = df.schema[ts].dataType
-    if isinstance(t, T.DateType):
-        day = F.datediff(F.col(ts), F.lit("1970-01-01"))
-        if isinstance(df.schema[key].dataType, (T.IntegerType, T.LongType, T.ShortType)):
-            bucket = F.struct(day.alias("d"), F.floor(F.col(key) / key_width).alias("k"))
-        else:
-            bucket = day
-    else:
-        bucket = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(60_000_000))
-    return bucketed_rank(df, by, [F.col(ts), F.col(key)], bucket,
-                         rank_col=rank_col, size_col=size_col)
+              rank_col: str = "_rank", size_col: str | None = "_n") -> DataFrame:
+    """Rank rows within ``by`` by (ts, key)."""
+    return sorted_rank(df, by, [F.col(ts), F.col(key)], rank_col=rank_col, size_col=size_col)

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelfold.operators import labels, split
-from labelfold.operators.ranking import bucketed_rank, hash_rank
+from labelfold.operators.ranking import hash_rank, hash_rank_pair, range_sorted, sorted_rank, time_rank
 
 
 def test_encode_labels(spark):
@@ -55,12 +55,12 @@ def test_split_by_user_sizes(spark):
         assert (r["t"], r["v"]) == (20, 10)  # ceil(100*.2)=20, ceil(80*.125)=10
 
 
-def test_bucketed_rank_equals_row_number_with_hot_group(spark):
+def test_sorted_rank_equals_row_number_with_hot_group(spark):
     random.seed(7)
     rows = [(i, "hot" if i % 3 else f"g{i % 17}", random.randint(0, 50), random.random())
             for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, g string, day int, v double")
-    r = bucketed_rank(df, ["g"], [F.col("day"), F.col("id")], F.col("day"), running={"cum": F.col("v")})
+    r = sorted_rank(df, ["g"], [F.col("day"), F.col("id")], running={"cum": F.col("v")})
     w = Window.partitionBy("g").orderBy("day", "id")
     ref = df.withColumn("rn", F.row_number().over(w)).withColumn(
         "c2", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -81,7 +81,6 @@ def test_label_map_round_trip(spark):
 
 def test_time_rank_hot_day_matches_row_number(spark):
     import datetime as dt
-    from labelfold.operators.ranking import time_rank
     random.seed(5)
     base = dt.datetime(2024, 1, 1)
     rows = [(i * 7919 % 5_000_000, "hot" if i % 4 else "u%d" % (i % 7),
@@ -90,6 +89,32 @@ def test_time_rank_hot_day_matches_row_number(spark):
     df = spark.createDataFrame(rows, "id long, user string, ts timestamp") \
         .withColumn("d", F.to_date("ts"))
     for col in ("d", "ts"):
-        r = time_rank(df, col, "id", ["user"], key_width=1 << 16)
+        r = time_rank(df, col, "id", ["user"])
         ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("user").orderBy(col, "id")))
         assert r.join(ref.select("id", "rn"), "id").filter(F.col("_rank") != F.col("rn")).count() == 0
+
+
+def test_ranks_of_many_users_with_hashed_keys(spark):
+    """2 000 users, one with half of all rows, keys without order: ranks and sizes are exact, ranges are even, offsets few."""
+    n = 40_000
+    df = spark.range(0, n, 1, 16).select(
+        F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 4001 == 1, F.lit(None)).otherwise(F.concat(F.lit("u"), F.col("id") % 2000)).alias("user"),
+        F.md5(F.col("id").cast("string")).alias("key"), (F.col("id") % 7).cast("int").alias("label"), F.timestamp_seconds(F.col("id") % 1000).alias("ts"))
+    ref = df.select("key", *[F.struct(F.row_number().over(w.orderBy(*o)).alias("r"), F.count("*").over(w).alias("n")).alias(name) for name, w, o in (
+        ("t", Window.partitionBy("user"), ["ts", "key"]), ("h", Window.partitionBy("user"), [F.md5(F.concat(F.lit("42|"), "key")), "key"]),
+        ("c", Window.partitionBy("user", "label"), [F.md5(F.concat(F.lit("42|"), "key")), "key"]))])
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many ranges, as on large data
+    try:
+        t = time_rank(df, "ts", "key", ["user"]).select("key", "_rank", "_n").join(ref, "key")
+        assert t.filter((F.col("_rank") == F.col("t.r")) & (F.col("_n") == F.col("t.n"))).count() == n
+        pair, counts = hash_rank_pair(df, "key", ["user"], "label")
+        pair = pair.select("key", "_r_g", "_n_g", "_r_c", F.col("_c").alias("n_c")).join(ref, "key")
+        good = (F.col("_r_g") == F.col("h.r")) & (F.col("_n_g") == F.col("h.n")) & (F.col("_r_c") == F.col("c.r")) & (F.col("n_c") == F.col("c.n"))
+        assert pair.filter(good).count() == n
+        rows = range_sorted(df, ["user"], [F.col("key")])
+        ranges = [r["count"] for r in rows.groupBy("_bucket").count().collect()]
+        assert len(ranges) >= 8 and max(ranges) <= 2 * n / len(ranges)  # the hot user is cut
+        assert rows.select("user", "_bucket").distinct().count() <= 1002 + len(ranges)  # users are odd numbers below 2000, hot and NULL
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)

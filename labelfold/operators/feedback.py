@@ -36,19 +36,23 @@ def corrections(fb: DataFrame, honour_flag: bool = True) -> DataFrame:
     return c
 
 
-def training_set(auto: DataFrame, feedback_rows: DataFrame, key: str = "transaction_id") -> DataFrame:
+def training_set(auto: DataFrame, feedback_rows: DataFrame, key: str = "transaction_id",
+                 carry: Sequence[str] = (), newest: str | None = None) -> DataFrame:
     """auto-confirmed ∪ user feedback, one row per key, feedback wins (SET-4).
 
-    Inputs carry (key, user_id, label).  Precedence is resolved with an
-    aggregation (``min_by`` on a priority) — no sort of the whole set.
+    Inputs carry (key, user_id, label) and the ``carry`` columns.  Precedence is resolved
+    with an aggregation (``min_by`` on a priority) — no sort of the whole set.  Of several
+    rows of one key and source, the one with the highest ``newest`` column wins if it is
+    given; then the lowest label.
     """
-    a = auto.select(key, "user_id", "label", F.lit("auto_confirmed").alias("source"),
-                    F.lit(2).alias("_prio"))
-    f = feedback_rows.select(key, "user_id", "label", F.lit("user_feedback").alias("source"),
-                             F.lit(1).alias("_prio"))
+    columns = [key, "user_id", "label", *carry, *([newest] if newest else [])]
+    a = auto.select(*columns, F.lit("auto_confirmed").alias("source"), F.lit(2).alias("_prio"))
+    f = feedback_rows.select(*columns, F.lit("user_feedback").alias("source"), F.lit(1).alias("_prio"))
     u = a.unionByName(f)
-    best = u.groupBy(key).agg(F.min_by(F.struct("user_id", "label", "source"), "_prio").alias("b"))
-    return best.select(key, "b.user_id", "b.label", "b.source")
+    age = [(-F.unix_micros(F.col(newest).cast("timestamp"))).alias("age"), F.col("label").alias("l")] if newest else []
+    order = F.struct("_prio", *age) if newest else F.col("_prio")
+    best = u.groupBy(key).agg(F.min_by(F.struct("user_id", "label", "source", *carry), order).alias("b"))
+    return best.select(key, "b.user_id", "b.label", "b.source", *[f"b.{c}" for c in carry])
 
 
 def eligible(df: DataFrame, user: str = "user_id", label: str = "category",

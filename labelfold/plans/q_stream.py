@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..operators import classify as C
 from ..session import checkpoint_path
 from ..streaming import feedback_stream as FS
+from ..sources import tables
 from ..streaming import retrain_trigger as RT
+from ..streaming import retraining as RE
 from . import q_models
 from . import sqlgen as S
 from .registry import r6, register
@@ -102,6 +104,29 @@ def retrain_fires(spark, d):
     return fires.select("user_id", "fire", F.date_format("fired_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fired_at"), "reason")
 
 
+@register("retrain_history", S.with_roles(["feedback"], (
+    "WITH ex AS (SELECT user_id, event_id, created_at, feedback_type = 'correction' AS corrected, user_id * 1000 + event_id % 40 AS tx, "
+    "CASE WHEN feedback_type = 'correction' THEN correct_category_id ELSE predicted_category_id END AS label FROM feedback "
+    "WHERE feedback_type IN ('confirmation', 'correction') AND is_used_for_training), "
+    "s AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY tx ORDER BY corrected DESC, created_at DESC, label) = 1) "
+    "SELECT user_id, CASE WHEN count(DISTINCT label) >= 2 THEN 'completed' ELSE 'failed' END AS status, count(*) AS n_samples, "
+    "count(DISTINCT label) AS n_categories, CASE WHEN count(DISTINCT label) >= 2 THEN count(DISTINCT label) ELSE 0 END AS n_coefs FROM s "
+    "WHERE user_id IN (SELECT user_id FROM ex GROUP BY user_id HAVING count(*) >= 10) GROUP BY user_id")))
+def retrain_history(spark, d):
+    """The training run of every due user: SET-4 size, labels, status, and rows of its model (STRM-5)."""
+    vectors = tables.vectors(spark, d).select("vec_id", "embedding")
+    n = vectors.select(F.count("*")).scalar()
+    events = FS.ingest_training_rows(FS.table_stream(spark, d, "events"), with_time=True).drop("day")
+    rows = (events.withColumn("vec_id", F.pmod(F.col("event_id"), n)).join(vectors, "vec_id")
+            .select((F.col("user_id") * 1000 + F.col("event_id") % 40).alias("transaction_id"), "user_id", "label", "source", "created_at", "embedding"))
+    root = checkpoint_path(spark, f"streams/retrain_history-{uuid.uuid4().hex[:12]}")
+    RE.retrain_stream(rows, root, every=10).awaitTermination()
+    states, models = RE.run_states(spark, root), RE.current_models(spark, root)
+    sizes = models.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_coefs"))
+    return (states.join(sizes, "user_id", "left").filter("converged IS NULL OR converged")
+            .select("user_id", "status", "n_samples", "n_categories", F.coalesce("n_coefs", F.lit(0)).cast("long").alias("n_coefs")))
+
+
 @register("prototype_incremental", (
     "WITH t AS (SELECT label, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT label, embedding, "
     "unnest(generate_series(1, len(embedding))) AS i FROM embeddings)) "

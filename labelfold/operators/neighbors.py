@@ -11,12 +11,12 @@ and ``num_hash_tables`` trade recall for candidate volume.
 from __future__ import annotations
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .classify import cosine
+from .vector_index import Index
 
 
 def _unit(df: DataFrame, key: str, features: str) -> DataFrame:
@@ -42,70 +42,9 @@ def similar_items(queries: DataFrame, corpus: DataFrame, key: str, features: str
     return p.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def nearest_exact(queries: DataFrame, corpus: DataFrame, key: str, features: str, k: int = 5,
-                  n_clusters: int | None = None, seed: int = 42, eps: float = 1e-6) -> DataFrame:
-    """Exact top-k by cosine without scoring every query–corpus pair (JOIN-10).
+def nearest_exact(queries: DataFrame, corpus: DataFrame, key: str, features: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """Exact top-k by cosine without scoring every query–corpus pair (JOIN-10): ``vector_index``.
 
-    On unit vectors cosine order equals Euclidean order.  The corpus is cut
-    into clusters (Spark ML KMeans); each cluster keeps its radius r.  A query
-    is first scored against its nearest cluster, which gives its current k-th
-    distance D.  By the triangle inequality no row of cluster j can be closer
-    than d(q, c_j) − r_j, so only clusters with that bound below D are visited
-    in the second round.  The answer is exact; only the pairs that cannot be
-    ruled out are scored.  Result: (query_id, item_id, cosine, rank), ties by id.
+    Result: (query_id, item_id, cosine, rank), ties by id.
     """
-    from pyspark.ml.clustering import KMeans
-
-    q = _unit(queries, key, features).select(F.col("id").alias("query_id"), "features",
-                                             vector_to_array("features").alias("u"))
-    c = _unit(corpus, key, features)
-    if n_clusters is None:
-        n_clusters = max(1, int(c.count() ** 0.5 // 2))
-    # cluster quality only affects how much is pruned, never the answer: a short fit suffices
-    km = KMeans(k=n_clusters, seed=seed, featuresCol="features", predictionCol="cl",
-                maxIter=10, initSteps=2).fit(c)
-    cc = km.transform(c).select(F.col("id").alias("item_id"), "cl", vector_to_array("features").alias("v"))
-    centers = c.sparkSession.createDataFrame(
-        [(i, [float(x) for x in ctr]) for i, ctr in enumerate(km.clusterCenters())], "cl int, center array<double>")
-    radius = (cc.join(centers, "cl").groupBy("cl")
-              .agg(F.max(_dist(F.col("v"), F.col("center"))).alias("r")))
-    bounds = centers.join(radius, "cl")
-    packed = bounds.agg(F.collect_list(F.struct("cl", "center", "r")).alias("b")).scalar()
-    qb = (q.withColumn("_b", packed)
-          .withColumn("_lb", F.transform("_b", lambda b: F.struct(
-              b["cl"].alias("cl"), _dist(F.col("u"), b["center"]).alias("d"), b["r"].alias("r"))))
-          .select("query_id", "u", F.array_sort(F.transform("_lb", lambda s: F.struct(
-              s["d"].alias("d"), s["cl"].alias("cl"), F.greatest(s["d"] - s["r"], F.lit(0.0)).alias("lb"))))
-              .alias("cls")))
-    qb = materialize(qb, "knn_queries")
-
-    def score(pairs: DataFrame) -> DataFrame:
-        return pairs.select("query_id", "item_id", _cos_unit(F.col("u"), F.col("v")).alias("cosine"))
-
-    def top(sc: DataFrame) -> DataFrame:
-        w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), F.col("item_id"))
-        return sc.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-    # round 1: the nearest cluster of each query
-    first = qb.select("query_id", "u", F.element_at("cls", 1)["cl"].alias("cl"))
-    r1 = materialize(top(score(first.join(cc, "cl"))), "knn_round1")
-    kth = (r1.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("cosine").alias("_c")))
-    # distance of the current k-th neighbour on unit vectors: sqrt(2 − 2·cos); infinite if < k found
-    dk = kth.select("query_id", F.when(F.col("_n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("_c"))))
-                    .otherwise(F.lit(float("inf"))).alias("dk"))
-    # round 2: every other cluster whose lower bound can still beat the k-th distance
-    rest = (qb.join(dk, "query_id", "left")
-            .select("query_id", "u", F.coalesce("dk", F.lit(float("inf"))).alias("dk"),
-                    F.explode(F.slice("cls", 2, n_clusters)).alias("c"))
-            .filter(F.col("c.lb") <= F.col("dk") + F.lit(eps))
-            .select("query_id", "u", F.col("c.cl").alias("cl")))
-    r2 = score(rest.join(cc, "cl"))
-    return top(r1.drop("rank").unionByName(r2))
-
-
-def _dist(a: F.Column, b: F.Column) -> F.Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-
-
-def _cos_unit(a: F.Column, b: F.Column) -> F.Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    return Index(corpus, key, features, k, seed).search(queries, key, features).drop("certified")

@@ -49,16 +49,64 @@ def test_exact_neighbours_match_brute_force(spark):
     assert {k: [i for _, i in sorted(v)] for k, v in got.items()} == ref
 
 
-def test_exact_neighbours_prune_on_clustered_data(spark):
-    from labelfold.operators.neighbors import nearest_exact
-    rng = np.random.default_rng(1)
-    centers = rng.normal(size=(8, 16)) * 10
-    rows = [(i, [float(x) for x in centers[i % 8] + rng.normal(size=16) * 0.1]) for i in range(800)]
-    df = spark.createDataFrame(rows, "id long, v array<double>")
-    q, c = df.filter("id < 40"), df.filter("id >= 40")
-    res = nearest_exact(q, c, "id", "v", k=3, n_clusters=8)
+def _got(df):
     got = {}
-    for r in res.collect():
+    for r in df.collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"]))
-    ref = _brute([(r[0], r[1]) for r in q.collect()], [(r[0], r[1]) for r in c.collect()], 3)
-    assert {k: [i for _, i in sorted(v)] for k, v in got.items()} == ref
+    return {k: [i for _, i in sorted(v)] for k, v in got.items()}
+
+
+def _clustered(n, clusters, d=32, seed=1):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(clusters, d))
+    return [(i, [float(x) for x in centers[i % clusters] + rng.normal(size=d) * 0.02]) for i in range(n)]
+
+
+def test_few_pairs_are_scored_on_clustered_vectors_and_their_share_falls(spark):
+    from labelfold.operators.vector_index import Index
+    shares = []
+    for n, clusters in ((2000, 40), (8000, 160)):
+        rows = _clustered(n, clusters)
+        df = spark.createDataFrame(rows, "id long, v array<double>").repartition(8)
+        q, c = df.filter("id < 60"), df.filter("id >= 60")
+        index = Index(c, "id", "v", 3)
+        assert _got(index.search(q, "id", "v")) == _brute(rows[:60], rows[60:], 3)
+        shares.append(index.pairs_scored / (60 * (n - 60)))
+    assert shares[1] <= 0.05 and shares[1] < 0.6 * shares[0], shares
+
+
+def test_first_round_alone_says_what_is_certain(spark):
+    from labelfold.operators.vector_index import Index
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    q, c = emb.filter("vec_id % 5 = 0"), emb.filter("vec_id % 5 != 0")
+    want = _brute([(r[0], r[1]) for r in q.collect()], [(r[0], r[1]) for r in c.collect()], 5)
+    index = Index(c, "vec_id", "embedding", 5)
+    found = index.search(q, "vec_id", "embedding", first=7, go_on=False).cache()
+    got, certain = _got(found), {r.query_id for r in found.filter("certified").collect()}
+    assert all(got[i] == want[i] for i in certain)
+    recall = sum(len(set(got[i]) & set(want[i])) for i in want) / sum(map(len, want.values()))
+    assert recall >= 0.9  # these vectors have little structure: five of the eight or so buckets give 0.8
+    assert _got(index.search(q, "vec_id", "embedding")) == want
+
+
+def test_copies_zero_vectors_and_hot_buckets(spark, monkeypatch):
+    from labelfold.operators import vector_index as V
+    monkeypatch.setattr(V, "BUCKET", 16)
+    monkeypatch.setattr(V, "QUERIES", 8)
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(i, [0.0, 0.0, 0.0]) for i in range(300, 320)]
+    rows += [(i, [1.0 + 1e-6 * float(rng.normal()), 2.0, 3.0]) for i in range(320, 700)] + [(i, [float(x) for x in rng.normal(size=3)]) for i in range(700, 900)]
+    df = spark.createDataFrame(rows + [(5000, None)], "id long, v array<double>")
+    queries = [(10_000 + i, v) for i, (_, v) in enumerate(rows[::9])]
+    q = spark.createDataFrame(queries + [(20_000, None)], "id long, v array<double>")
+
+    def brute(qs):
+        unit = lambda v: np.asarray(v) / (np.linalg.norm(v) or 1)
+        corpus = np.array([unit(v) for _, v in rows])
+        return {i: [rows[j][0] for j in np.lexsort(([r for r, _ in rows], -np.round(corpus @ unit(v), 9)))[:4]] for i, v in qs}
+
+    index = V.Index(df, "id", "v", 4)
+    assert index.boxes.count() > 10 and index.rows.groupBy("code", "sub").count().agg({"count": "max"}).first()[0] <= 16
+    assert _got(index.search(q, "id", "v", first=2)) == brute(queries)
+    assert V.Index(df.limit(0), "id", "v", 4).search(q, "id", "v").count() == 0
+    assert index.search(q.limit(0), "id", "v").count() == 0

@@ -9,6 +9,7 @@ probability of about n^2 / 2^64.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -18,6 +19,26 @@ from pyspark.sql import functions as F
 
 from labelfold.session import checkpoint_path
 
+
+
+def _give_memory_back() -> None:
+    """Let this process return freed memory to the system.
+
+    Python workers live on from task to task.  By default Arrow's pool keeps what it freed, and glibc
+    stops mapping large arrays by themselves after the first of them is freed, so a worker's
+    memory only ever grows to the sum of its peaks.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        for option, value in ((-3, 1 << 20), (-1, 4 << 20), (-8, 2)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+            libc.mallopt(option, value)
+    except (AttributeError, OSError):
+        pass  # another C library: nothing to set
+
+
+_give_memory_back()
+
 CHUNK_BYTES = 1 << 18
 _MASK = (1 << 64) - 1
 _RNG = np.random.default_rng(20240607)

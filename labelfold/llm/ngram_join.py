@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import components, rows_of, shingle_hashes, table, word_chunks, written
 
-SKETCH = 1 << 24
-PIECES = 64
+SKETCH = 1 << 21
+PIECES = 16
 BITMAP = 512
 
 

@@ -39,9 +39,15 @@ from pyspark.sql import functions as F
 
 from .common import components, rows_of, shingle_hashes, table, word_chunks, written
 
-SKETCH = 1 << 21
-PIECES = 16
+SKETCH = 1 << 24
+PIECES = 64
 BITMAP = 512
+#: Order class from which a shingle's list may be long; lists of lower classes are no longer than about 2 ** (HOT / 2) mean counters.
+HOT = 8
+
+
+#: Columns that tell sets apart: 128 bits and the size.
+SET = ["d1", "d2", "n"]
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -94,19 +100,20 @@ def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, classes: np.ndarray, size: int, num: int, den: int) -> DataFrame:
-    """``(doc_id, node, n, bitmap, prefix)`` of ``docs(doc_id, text)``; a node is a distinct set."""
+    """``(doc_id, n, d1, d2, cold, bitmap, prefix)`` of ``docs(doc_id, text)``; (d1, d2, n) tell sets apart, ``cold`` prefix shingles are below ``HOT``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n, d1, d2, bitmap, prefix = [], [], [], [], []
+                n, d1, d2, cold, bitmap, prefix = [], [], [], [], [], []
                 for _, s in doc_sets(part.column("text"), size):
                     k = len(s)
                     take = k - -(-k * num // den) + 1 if k else 0
                     cls = classes[_bucket(s)]
                     order = np.argsort(cls, kind="stable")[:take]  # s is sorted by hash already
+                    cold.append(int((cls[order] < HOT).sum()))
                     bits = np.zeros(BITMAP, np.uint8)
                     np.bitwise_xor.at(bits, ((s * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - int(np.log2(BITMAP)))).astype(np.int64), 1)
                     n.append(k)
@@ -116,11 +123,10 @@ def signatures(docs: DataFrame, classes: np.ndarray, size: int, num: int, den: i
                     bitmap.append(np.packbits(bits).view(np.int64))
                     prefix.append(s[order].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(cold, pa.int32()),
                      pa.array(bitmap, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "d1", "d2", "bitmap", "prefix"])
-    return (docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, bitmap array<long>, prefix array<long>")
-            .select("doc_id", F.xxhash64("d1", "d2", "n").alias("node"), "n", "bitmap", "prefix"))
+                    ["doc_id", "n", "d1", "d2", "cold", "bitmap", "prefix"])
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, cold int, bitmap array<long>, prefix array<long>")
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -140,8 +146,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()),
                      pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["n", "d1", "d2", "shingles"])
-    return (docs.select("text").mapInArrow(run, "n long, d1 long, d2 long, shingles array<long>")
-            .select(F.xxhash64("d1", "d2", "n").alias("node"), "shingles"))
+    return docs.select("text").mapInArrow(run, "n long, d1 long, d2 long, shingles array<long>")
 
 
 def _enough(common: Column, n: Column, m: Column, num: int, den: int) -> Column:
@@ -150,23 +155,33 @@ def _enough(common: Column, n: Column, m: Column, num: int, den: int) -> Column:
 
 
 class Join:
-    """One similarity join; ``reps`` holds a row per distinct set (its node, a hash, and its smallest doc_id)."""
+    """One similarity join; ``reps`` holds a row per distinct set (its node, a number, and its smallest doc_id)."""
 
     def __init__(self, docs: DataFrame, size: int, num: int, den: int):
         self.size, self.num, self.den = size, num, den
         self.docs = docs.select("doc_id", "text")
         classes = frequency_sketch(self.docs, size)
         self.signatures = written(signatures(self.docs, classes, size, num, den), "join-signatures")
-        self.reps = written(self.signatures.where("n > 0").groupBy("node", "n").agg(
-            F.min("doc_id").alias("doc_id"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix"))
-            .withColumn("p1", F.xxhash64("prefix", "n")), "join-reps")
+        # numbers are small and shuffle well; they are written once, so they stay
+        self.reps = written(self.signatures.where("n > 0").groupBy(*SET).agg(
+            F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("cold", "bitmap", "prefix")])
+            .withColumns({"p1": F.xxhash64("prefix", "n"), "node": F.monotonically_increasing_id()}), "join-reps")
         # groups of equal prefix and size: a row for each node of a group of several
         groups = self.reps.groupBy("n", "p1").agg(F.min("node").alias("gid"), F.count("*").alias("members")).where("members > 1")
         self.members = written(self.reps.select("node", "n", "p1").join(groups, ["n", "p1"]).select("node", "gid"), "join-members")
         heads = self.reps.join(self.members.where("node <> gid").select("node"), "node", "left_anti")
-        lists = written(heads.select(F.col("node").alias("gid"), F.col("n").cast("int"), F.posexplode("prefix").alias("pos", "token")), "join-lists")
+        lists = heads.select(F.col("node").alias("gid"), F.col("n").cast("int"), "cold", F.posexplode("prefix").alias("pos", "token"))
+        lists = written(lists.select("gid", "n", "pos", "token", (F.col("pos") < F.col("cold")).alias("is_cold")), "join-lists")
+        # short lists meet their pivots where one shuffle has dealt them; those that may be long are
+        # combined before the shuffle, and joined so that a hot token can be split
+        short, long_ = (lists.where(c).drop("is_cold") for c in ("is_cold", "not is_cold"))
+        self.lists = written(self._shared(short.repartition("token")).unionByName(self._shared(long_)), "join-shared")
+
+    @staticmethod
+    def _shared(lists: DataFrame) -> DataFrame:
+        """Lists of several groups, with the most central group of each."""
         shared = lists.groupBy("token").agg(F.count("*").alias("groups"), F.min(F.struct("pos", "gid", "n")).alias("pivot")).where("groups > 1")
-        self.lists = written(lists.join(shared.select("token", "pivot"), "token"), "join-shared")
+        return lists.join(shared.select("token", "pivot"), "token")
 
     def _bounds(self, n: str, pos: str, m: str, other: str) -> Column:
         """Sizes and positions leave room for enough common shingles."""
@@ -182,9 +197,9 @@ class Join:
         df = df.where(_enough((F.col("n_a") + F.col("n_b") - differ) / 2, F.col("n_a"), F.col("n_b"), self.num, self.den))
         df = written(df.select("a", "b", "n_a", "n_b"), f"join-candidates-{name}")
         nodes = df.select(F.col("a").alias("node")).union(df.select("b")).distinct()
-        ids = self.reps.select("node", "doc_id").join(nodes, "node")
-        sets = _sets(rows_of(self.docs, ids, "doc_id"), self.size).join(nodes, "node", "left_semi")
-        sets = written(sets.dropDuplicates(["node"]), f"join-sets-{name}")
+        ids = self.reps.select(*SET, "node", "doc_id").join(nodes, "node")
+        sets = _sets(rows_of(self.docs, ids, "doc_id"), self.size).join(ids.select(*SET, "node"), SET)
+        sets = written(sets.select("node", "shingles").dropDuplicates(["node"]), f"join-sets-{name}")
         side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
         full = df.join(side("a"), "a").join(side("b"), "b")
         common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
@@ -242,7 +257,8 @@ class Join:
         ids = self.reps.select(F.col("node").alias("id"), "doc_id").join(comp, "id")
         least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         named = ids.select(F.col("id").alias("node"), "comp").join(least, "comp")
-        return (self.signatures.select("doc_id", "node", "n").join(named, "node", "left")
+        nodes = self.signatures.select("doc_id", *SET).join(self.reps.select(*SET, "node"), SET, "left")
+        return (nodes.select("doc_id", "node", "n").join(named, "node", "left")
                 .select("doc_id", "node", "n", "comp", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
@@ -277,7 +293,7 @@ def keep_one(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     some = rows_of(docs, repeated, "doc_id")
     kind = some.schema.simpleString()
     some = some.select(F.struct(*[F.col(f"`{c}`") for c in some.columns]).alias("row"), F.col("text")).mapInArrow(
-        nodes, f"row {kind}, n long, d1 long, d2 long").withColumn("node", F.xxhash64("d1", "d2", "n"))
+        nodes, f"row {kind}, n long, d1 long, d2 long").join(join.reps.select(*SET, "node"), SET, "left")
     empty = some.where("n = 0").select("row")
     least = rows.select("comp", "component_id").where("comp is not null").distinct()
     named = some.where("n > 0").join(kept, "node").join(least, "comp").where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))

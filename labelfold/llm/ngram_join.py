@@ -46,6 +46,12 @@ BITMAP = 512
 HOT = 8
 
 
+#: Pairs that one part of a hub verifies.
+HUB_PAIRS = 2048
+#: Places that sets are sent to, up to which one broadcast tells the scan (about 50 MB).
+BROADCAST_PLACES = 1_000_000
+SENDS = "array<struct<hub:long,part:long,is_hub:boolean>>"
+
 #: Columns that tell sets apart: 128 bits and the size.
 SET = ["d1", "d2", "n"]
 
@@ -137,16 +143,21 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum(dtype=np.uint64).astype(np.int64)), int(other.astype(np.int64))
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _sent_sets(docs: DataFrame, size: int) -> DataFrame:
+    """``(hub, part, is_hub, node, shingles)``: the sets of ``docs(text, d1, d2, n, node, sends)`` for each place in ``sends``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                sets = [s for _, s in doc_sets(batch.slice(at, 512).column("text"), size)]
-                d = [digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()),
-                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["n", "d1", "d2", "shingles"])
-    return docs.select("text").mapInArrow(run, "n long, d1 long, d2 long, shingles array<long>")
+                part = batch.slice(at, 512)
+                sets = [s for _, s in doc_sets(part.column("text"), size)]
+                want = zip(*(part.column(c).to_pylist() for c in SET))
+                # of rows that share an id, only those with the wanted set
+                good = [i for i, (s, w) in enumerate(zip(sets, want)) if (*digest(s), len(s)) == w]
+                take = pa.array(good, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("node").take(take), part.column("sends").take(take),
+                                                  pa.array([sets[i].view(np.int64) for i in good], pa.list_(pa.int64()))], ["node", "sends", "shingles"])
+    return (docs.select("text", *SET, "node", "sends").mapInArrow(run, f"node long, sends {SENDS}, shingles array<long>")
+            .select("node", F.explode("sends").alias("to"), "shingles").select("to.*", "node", "shingles"))
 
 
 def _enough(common: Column, n: Column, m: Column, num: int, den: int) -> Column:
@@ -196,14 +207,27 @@ class Join:
         # |A xor B| = n + m - 2 |A & B| is at least the number of differing parities
         df = df.where(_enough((F.col("n_a") + F.col("n_b") - differ) / 2, F.col("n_a"), F.col("n_b"), self.num, self.den))
         df = written(df.select("a", "b", "n_a", "n_b"), f"join-candidates-{name}")
-        nodes = df.select(F.col("a").alias("node")).union(df.select("b")).distinct()
-        ids = self.reps.select(*SET, "node", "doc_id").join(nodes, "node")
-        sets = _sets(rows_of(self.docs, ids, "doc_id"), self.size).join(ids.select(*SET, "node"), SET)
-        sets = written(sets.select("node", "shingles").dropDuplicates(["node"]), f"join-sets-{name}")
-        side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
-        full = df.join(side("a"), "a").join(side("b"), "b")
-        common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-        return written(full.where(_enough(common, F.col("n_a"), F.col("n_b"), self.num, self.den)).select("a", "b"), f"join-links-{name}")
+        # each pair meets at its end with more pairs, the hub, a very large hub in parts; a set goes
+        # straight from the scan of its text to where it is needed
+        degree = df.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+        of = lambda c: degree.select(F.col("node").alias(c), F.col("count").alias(f"deg_{c}"))
+        df = df.join(of("a"), "a").join(of("b"), "b")
+        a_is_hub = F.col("deg_a") >= F.col("deg_b")
+        parts = F.ceil(F.greatest("deg_a", "deg_b") / HUB_PAIRS)
+        spokes = df.select(F.when(a_is_hub, F.col("b")).otherwise(F.col("a")).alias("node"), F.when(a_is_hub, F.col("a")).otherwise(F.col("b")).alias("hub"),
+                           parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+        places = spokes.select("node", "hub", "part", F.lit(False).alias("is_hub")).unionByName(
+            spokes.select(F.col("hub").alias("node"), "hub", "part", F.lit(True).alias("is_hub")).distinct())
+        sends = places.groupBy("node").agg(F.collect_list(F.struct("hub", "part", "is_hub")).alias("sends"))
+        sends = written(sends.join(self.reps.select("node", *SET, F.col("doc_id").alias("wanted_id")), "node"), f"join-sends-{name}")
+        if sends.agg(F.coalesce(F.sum(F.size("sends") + 4), F.lit(0))).first()[0] <= BROADCAST_PLACES:
+            sends = F.broadcast(sends)
+        sets = _sent_sets(self.docs.join(sends, self.docs["doc_id"].eqNullSafe(sends["wanted_id"])), self.size)
+        hubs = sets.where("is_hub").dropDuplicates(["hub", "part"]).select("hub", "part", F.col("shingles").alias("of_hub"))
+        full = sets.where("not is_hub").join(hubs, ["hub", "part"])
+        common = F.size(F.array_intersect("shingles", "of_hub")).cast("long")
+        links = full.where(_enough(common, F.size("shingles").cast("long"), F.size("of_hub").cast("long"), self.num, self.den))
+        return written(links.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), f"join-links-{name}")
 
     def _expand(self, pairs: DataFrame, both: bool) -> DataFrame:
         """Pairs of nodes of group pairs ``(g, h)``: all members with the other group's first, or with all if ``both``."""

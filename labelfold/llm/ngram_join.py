@@ -120,8 +120,10 @@ def signatures(docs: DataFrame, classes: np.ndarray, size: int, num: int, den: i
                     cls = classes[_bucket(s)]
                     order = np.argsort(cls, kind="stable")[:take]  # s is sorted by hash already
                     cold.append(int((cls[order] < HOT).sum()))
-                    bits = np.zeros(BITMAP, np.uint8)
-                    np.bitwise_xor.at(bits, ((s * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - int(np.log2(BITMAP)))).astype(np.int64), 1)
+                    # a bit a shingle: far sets differ in about half of the bits, linked ones in fewer
+                    width = max(BITMAP, 1 << (k - 1).bit_length() if k else 0)
+                    places = ((s * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(24)) & np.uint64(width - 1)
+                    bits = (np.bincount(places.astype(np.int64), minlength=width) & 1).astype(np.uint8)
                     n.append(k)
                     one, two = digest(s)
                     d1.append(one)
@@ -165,6 +167,14 @@ def _enough(common: Column, n: Column, m: Column, num: int, den: int) -> Column:
     return common * (den + num) >= (n + m) * num
 
 
+def _folded(bitmap: str, words: Column) -> Column:
+    """A parity bitmap folded to ``words`` (a power of two): parities of shingles by fewer bits of their hash."""
+    b = F.col(bitmap)
+    folds = F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.aggregate(
+        F.sequence(i, F.size(b) - 1, words), F.lit(0).cast("long"), lambda s, j: s.bitwiseXOR(F.get(b, j))))
+    return F.when(F.size(b) == words, b).otherwise(folds)
+
+
 class Join:
     """One similarity join; ``reps`` holds a row per distinct set (its node, a number, and its smallest doc_id)."""
 
@@ -203,7 +213,8 @@ class Join:
         """The pairs of nodes ``(a, b)`` that link, by parity bitmaps and then exact intersection."""
         mine = lambda c: self.reps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"bits_{c}"))
         df = pairs.join(mine("a"), "a").join(mine("b"), "b")
-        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        words = F.least(F.size("bits_a"), F.size("bits_b"))
+        differ = F.aggregate(F.zip_with(_folded("bits_a", words), _folded("bits_b", words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         # |A xor B| = n + m - 2 |A & B| is at least the number of differing parities
         df = df.where(_enough((F.col("n_a") + F.col("n_b") - differ) / 2, F.col("n_a"), F.col("n_b"), self.num, self.den))
         df = written(df.select("a", "b", "n_a", "n_b"), f"join-candidates-{name}")

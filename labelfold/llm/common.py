@@ -21,7 +21,7 @@ from labelfold.session import checkpoint_path
 
 
 
-def _give_memory_back() -> None:
+def _give_memory_back():
     """Let this process return freed memory to the system.
 
     Python workers live on from task to task.  By default Arrow's pool keeps what it freed, and glibc
@@ -33,11 +33,13 @@ def _give_memory_back() -> None:
         libc = ctypes.CDLL(None)
         for option, value in ((-3, 1 << 20), (-1, 4 << 20), (-8, 2)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
             libc.mallopt(option, value)
+        libc.malloc_trim.argtypes = [ctypes.c_size_t]
+        return libc
     except (AttributeError, OSError):
-        pass  # another C library: nothing to set
+        return None  # another C library: nothing to set
 
 
-_give_memory_back()
+_LIBC = _give_memory_back()
 
 CHUNK_BYTES = 1 << 18
 _MASK = (1 << 64) - 1
@@ -54,8 +56,17 @@ _STEP = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x
 _POWERS: list = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+#: Bytes of the Arrow batches in which rows travel to Python workers; whole texts make Spark's own bound of 64 MB felt.
+BATCH_BYTES = 8 << 20
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A supplied table, over its whole extent."""
+    _bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -67,6 +78,7 @@ def fold(doc_id: Column, folds: int) -> Column:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared checkpoint folder and read it back (cuts lineage, survives lost executors)."""
     path = checkpoint_path(df.sparkSession, f"llm/{name}-{uuid.uuid4().hex[:12]}")
+    _bound_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -177,6 +189,8 @@ def word_chunks(column: pa.Array, normalise: np.ndarray | None = None, head: int
             counts = np.array([len(hashes)])
         yield row, counts, hashes
         row = stop
+    if _LIBC is not None:  # what this batch's arrays leave between smaller objects
+        _LIBC.malloc_trim(0)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

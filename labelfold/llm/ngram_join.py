@@ -77,11 +77,12 @@ def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
     classes are estimates: they order shingles, and any order gives the same links.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.uint32)
+        total = np.zeros(SKETCH, np.uint8)  # up to 255 documents a task
         for batch in batches:
             for _, s in doc_sets(batch.column("text"), size):
-                np.add.at(total, _bucket(s), 1)
-        parts = [pa.compress(np.minimum(p, 255).astype(np.uint8), "zstd", asbytes=True) for p in np.split(total, PIECES)]
+                b = np.unique(_bucket(s))
+                total[b] += total[b] < 255
+        parts = [pa.compress(p, "zstd", asbytes=True) for p in np.split(total, PIECES)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES), pa.int32()), pa.array(parts, pa.binary())], ["piece", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

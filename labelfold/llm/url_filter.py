@@ -48,7 +48,7 @@ def site_regex(rule: str) -> str:
 
 def pattern_regex(pattern: str) -> str:
     """Regular expression of a wildcard pattern over the lower-cased URL behind ``://``."""
-    return "".join("(?s:.*)" if c == "*" else "(?:^|[^a-z0-9]|$)" if c == "^" else re.escape(c) for c in pattern)
+    return "".join("(?s:.*)" if c == "*" else "(?:^|[^a-z0-9]|$)" if c == "^" else re.escape(c) for c in pattern.lower())
 
 
 def literal_tokens(rule: str, site: bool) -> list[str]:
@@ -56,8 +56,8 @@ def literal_tokens(rule: str, site: bool) -> list[str]:
     if site:  # the last path token may go on in the URL
         host, _, path = rule.partition("/")
         inner = path if path.endswith("/") or not path else path.rpartition("/")[0]
-        return sorted(set(re.findall(r"[a-z0-9]+", host.lower())) | set(re.findall(r"[a-z0-9]+", inner)))
-    closed = "\x00" + rule + "\x00"  # a token at an open end or next to * may go on in the URL
+        return sorted(set(re.findall(r"[a-z0-9]+", host.lower())) | set(re.findall(r"[a-z0-9]+", inner.lower())))
+    closed = "\x00" + rule.lower() + "\x00"  # a token at an open end or next to * may go on in the URL
     return sorted({m[1] for m in re.finditer(r"(?<![a-z0-9*\x00])([a-z0-9]+)(?![a-z0-9*\x00])", closed)})
 
 

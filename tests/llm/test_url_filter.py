@@ -59,3 +59,9 @@ def test_tokens_are_in_every_match():
 def test_plan_is_native(spark):
     plan = u.judge(spark.createDataFrame(ROWS, "page_id int, url string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_rules_with_capitals_fire(spark):
+    df = spark.createDataFrame([(1, "http://example.com/Docs/x/1"), (2, "http://example.com/docs/x/1"), (3, "http://h.org/free-CASINO/")], "page_id int, url string")
+    rows = u.judge(df, [("example.com/Docs/x/", "block")], [("/Free-casino^", "block")]).collect()
+    assert {r.page_id: r.verdict for r in rows} == {1: "block", 2: "allow", 3: "block"}

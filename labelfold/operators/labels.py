@@ -17,6 +17,12 @@ def _w(by: Sequence[str]) -> Window:
     return Window.partitionBy(*by) if by else Window.partitionBy()
 
 
+def _labelled(df: DataFrame, label: str) -> DataFrame:
+    """``df``, failing on a row whose label is NULL."""
+    missing = F.raise_error(F.lit(f"column {label} holds a missing label"))
+    return df.filter(F.when(F.col(label).isNull(), missing).isNull())
+
+
 def category_distribution(df: DataFrame, label: str = "category",
                           by: Sequence[str] = ()) -> DataFrame:
     """Rows per label, most frequent first, ties by label; NULL labels skipped (AGG-1)."""
@@ -32,11 +38,10 @@ def label_index(df: DataFrame, label: str = "category", by: Sequence[str] = (),
     """Dense ids 0..k-1 in code-point order of the distinct labels (AGG-2, SORT-1, SET-1).
 
     Spark compares strings by UTF-8 bytes, which is code-point order (like
-    Python's ``sorted``).  NULL labels are an error in the reference; here
-    they are excluded and reported by validation.
+    Python's ``sorted``).  A NULL label is an error; validation reports it beforehand.
     """
     by = list(by)
-    d = df.select(*by, label).filter(F.col(label).isNotNull()).distinct()
+    d = _labelled(df.select(*by, label), label).distinct()
     return d.withColumn(id_col, (F.row_number().over(_w(by).orderBy(label)) - 1).cast("int"))
 
 
@@ -54,10 +59,9 @@ def encode_labels(df: DataFrame, index: DataFrame, label: str = "category",
 
 def class_weights(df: DataFrame, label: str = "category", by: Sequence[str] = (),
                   id_col: str = "label_id") -> DataFrame:
-    """``total / (n_classes * count)`` per present class, with dense ids (AGG-3, MATH-1)."""
+    """``total / (n_classes * count)`` per present class, with dense ids (AGG-3, MATH-1).  A NULL label is an error."""
     by = list(by)
-    counts = (df.filter(F.col(label).isNotNull()).groupBy(*by, label)
-              .agg(F.count(F.lit(1)).alias("n")))
+    counts = _labelled(df.select(*by, label), label).groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
     w = _w(by)
     return (counts
             .withColumn(id_col, (F.row_number().over(w.orderBy(label)) - 1).cast("int"))

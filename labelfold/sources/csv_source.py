@@ -43,7 +43,7 @@ def read_labelled_csv(spark: SparkSession, path: str, strict: bool = True,
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     df = _reader(spark, multi_line).schema(schema).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     if strict:
-        bare = F.regexp_replace(CORRUPT, '"(?:[^"]|"")*"', "")
+        bare = F.regexp_replace(CORRUPT, '"[^"]*+"', "")  # a doubled quote ends one stretch and begins the next
         fields = F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
         df = df.filter(F.when(F.col(CORRUPT).isNotNull() & (fields > len(names)), F.raise_error(F.concat(
             F.lit(f"CSV row has more fields than the {len(names)} header columns; it starts with "),

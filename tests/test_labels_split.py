@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -118,3 +120,10 @@ def test_ranks_of_many_users_with_hashed_keys(spark):
         assert rows.select("user", "_bucket").distinct().count() <= 1002 + len(ranges)  # users are odd numbers below 2000, hot and NULL
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_a_null_label_fails(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, category string")
+    for f in (labels.label_index, labels.class_weights):
+        with pytest.raises(Exception, match="missing label"):
+            f(df).collect()

@@ -96,3 +96,14 @@ def test_csv_alternative_names_and_mapping(spark, tmp_path):
     assert sorted(r["category"] for r in mapped.collect()) == ["Computers", "Computers", "Electronics", "Electronics"]
     with pytest.raises(ValueError):
         load_dataset(spark, d, "alt.csv", {"product_title": "nope"})
+
+
+def test_long_quoted_fields_in_rows_that_do_not_fit(spark, tmp_path):
+    from labelfold.sources.csv_source import read_labelled_csv
+    path = tmp_path / "long.csv"
+    path.write_text('a,b,c\n"' + "x, " * 350_000 + '"\n"' + 'q""q,' * 50_000 + '",2\n1,2,3\n')
+    rows = read_labelled_csv(spark, str(path)).collect()
+    assert [r.c for r in rows] == [None, None, "3"] and len(rows[0].a) == 1_050_000 and rows[1].b == "2"
+    path.write_text('a,b\n"' + 'q""q,' * 50_000 + '",2,3\n')
+    with pytest.raises(Exception, match="more fields"):
+        read_labelled_csv(spark, str(path)).collect()

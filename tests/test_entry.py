@@ -19,7 +19,7 @@ def test_every_query_has_an_oracle_twin():
 
 def test_optional_queries_are_all_there_or_none():
     names = {k for k in entry.queries() if k.startswith("op") and k[2].isdigit() or k == "pipeline"}
-    assert len(names) == (11 if entry.llm else 0) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert len(names) == (14 if entry.llm else 0) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_the_rest_works_without_the_optional_subpackage(tmp_path):

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import ledger, quality
+from ..session import checkpoint_path
 from ..sources import tables
+from ..sources.commits import TableSet
+from ..sources.store_table import merge_stores, stores
 from . import sqlgen as S
 from .registry import r6, register
 
@@ -108,6 +113,22 @@ register("store_upsert", (
     "store_id IS NULL AS is_new FROM names LEFT JOIN known USING (user_id, name)"))(
     lambda spark, d: ledger.store_upsert(tables.stores_known(spark, d), tables.stores_batch(spark, d)))
 
+
+@register("store_merge", (
+    "WITH known AS (SELECT CAST(s_nationkey AS BIGINT) AS user_id, s_name AS name, CAST(min(s_suppkey) AS VARCHAR) AS store_key "
+    "FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY ALL), "
+    "seen AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS user_id, s_name AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) "
+    "SELECT * FROM known UNION ALL SELECT user_id, name, 'new-' || md5(CAST(user_id AS VARCHAR) || '|' || name) "
+    "FROM seen ANTI JOIN known USING (user_id, name)"))
+def store_merge(spark, d):
+    """The stored table after the known stores and a batch of receipts' names were merged into it (JOIN-5)."""
+    table = TableSet(spark, checkpoint_path(spark, f"stores-{uuid.uuid4().hex[:12]}"))
+    known = tables.stores_known(spark, d)
+    merge_stores(table, known.select("user_id", "name", F.col("id").cast("string").alias("store_key")))
+    merge_stores(table, tables.stores_batch(spark, d))
+    return stores(table)
+
+
 # --- data quality ------------------------------------------------------------------------
 
 register("dq_unique", (

@@ -15,6 +15,7 @@ from ..session import checkpoint_path
 from ..streaming import feedback_stream as FS
 from ..sources import tables
 from ..streaming import retrain_trigger as RT
+from ..streaming import latency_sketches as LS
 from ..streaming import retraining as RE
 from . import q_models
 from . import sqlgen as S
@@ -57,6 +58,23 @@ def stream_latency_counts(spark, d):
                          "avg_latency_ms"))
 
 
+_NTH = "list_sort(list(value) FILTER (value IS NOT NULL))[CAST(greatest(1, ceil({p} * count(value))) AS BIGINT)]"
+
+
+@register("stream_latency", (
+    "WITH e AS (SELECT ts, value, event_type = 'error' AS is_error, "
+    f"time_bucket(INTERVAL {LS.PANE_MINUTES} MINUTES, ts) AS b FROM events), "
+    f"x AS (SELECT *, b - k * INTERVAL {LS.PANE_MINUTES} MINUTES AS ws FROM e, range(0, 4) r(k)) "
+    "SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, "
+    "CAST(sum(CASE WHEN is_error THEN 1 ELSE 0 END) AS BIGINT) AS n_errors, round(avg(value), 6) AS avg_latency_ms, "
+    + ", ".join(f"round({_NTH.format(p=p)}, 6) AS p{p * 100:g}" for p in LS.PERCENTILES) + " FROM x GROUP BY ws"))
+def stream_latency(spark, d):
+    """Live p50/p95/p99 of one-hour windows, merged from the sketches of all batches (STRM-3); exact
+    up to ``LS.K`` latencies a window, beyond within the sketch's rank error."""
+    parts = LS.run_panes(FS.table_stream(spark, d, "events"), "stream_latency_panes", error=F.col("event_type") == "error")
+    return r6(LS.merged(parts).withColumn("window_start", F.date_format("window_start", WFMT)))
+
+
 @register("retrain_triggers", S.with_roles(["feedback"], (
     "SELECT user_id, count(*) AS n_examples, count(*) // 10 AS fires FROM feedback "
     "WHERE feedback_type IN ('confirmation', 'correction') AND is_used_for_training GROUP BY user_id")))

@@ -56,6 +56,43 @@ def tfidf_vectors(tf: DataFrame, idf: DataFrame, key: str, by: Sequence[str] = (
     return x.select(*by, key, "term", (F.col("w") / norm).alias("w"))
 
 
+# --- random projection of character n-grams (EMB-1, EMB-2) ----------------------------------
+
+#: Width of the projected vectors and length of the character n-grams.
+PROJECTED, GRAM = 64, 3
+
+
+def char_grams(df: DataFrame, key: str, text: str, n: int = GRAM) -> DataFrame:
+    """(key, term, tf): character n-grams of the cleaned text between two spaces, over whole texts.
+
+    Splitting into characters once keeps the work linear in the text's length.
+    """
+    chars = F.split(F.concat(F.lit(" "), clean_text(text), F.lit(" ")), "")
+    grams = F.transform(F.sequence(F.lit(0), F.size("_c") - n), lambda i: F.concat(*[F.get("_c", i + j) for j in range(n)]))
+    return (df.select(key, chars.alias("_c")).filter(F.size("_c") >= n)
+            .select(key, F.explode(grams).alias("term"))
+            .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def project_text(df: DataFrame, key: str, text: str, idf: DataFrame, dim: int = PROJECTED, n: int = GRAM) -> DataFrame:
+    """(key, embedding): each text's n-gram TF-IDF projected to ``dim`` values, in SQL functions only.
+
+    An n-gram adds its weight, with a sign, to one place; both come from its MD5 digest, so a text has
+    the same vector on any cluster.  ``idf`` is the ``idf_table`` of ``char_grams`` of the fitting texts;
+    other n-grams weigh as if in none of them.  One row per key of ``df``; a text shorter than one
+    n-gram (an empty one, for n > 2) has the zero vector.
+    """
+    code = F.md5(F.col("term"))
+    place = (F.conv(F.substring(code, 1, 4), 16, 10).cast("int") % dim).alias("_place")
+    sign = F.when(F.conv(F.substring(code, 5, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+    unseen = F.coalesce(idf.agg(F.log(F.max("m") + 1.0)).scalar(), F.lit(1.0))
+    w = char_grams(df, key, text, n).join(idf.select("term", "idf"), "term", "left")
+    s = w.select(key, place, (F.col("tf") * F.coalesce("idf", unseen) * sign).alias("_w")).groupBy(key, "_place").agg(F.sum("_w").alias("_w"))
+    v = s.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_place", "_w"))).alias("_v"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_v", i), F.lit(0.0)))
+    return df.select(key).distinct().join(v, key, "left").select(key, full.alias("embedding"))
+
+
 def to_vector(col: str) -> F.Column:
     """ARRAY<FLOAT|DOUBLE> → ML vector (ARR-1)."""
     return array_to_vector(F.col(col))

@@ -15,6 +15,7 @@ from ..sources.columns import map_columns
 from ..functions.text import has_content, py_strip
 from . import sqlgen as S
 from ..session import materialize, spread
+from ..streaming.feedback_stream import pack_model, score_packed
 from .registry import r6, register
 
 T = C.TEMPERATURE
@@ -392,3 +393,41 @@ def user_linear_models(spark, d):
         (F.sum(F.col("weight") * F.col("p.probability")) / F.sum("weight")).alias("mean_probability"))
     facts = model.select("user_id", "label", "converged").join(weights.select("user_id", "label", "n", "weight"), ["user_id", "label"])
     return r6(facts.join(mean, ["user_id", "label"]).select("user_id", "label", "n", "weight", "mean_probability", "converged"))
+
+
+# ============================ zero-shot (category names as models) ========================
+
+def _grams_sql(rel: str) -> str:
+    return (f"SELECT k, substr(t, i, {FE.GRAM}) AS term, count(*) AS tf FROM "
+            f"(SELECT k, t, unnest(range(1, length(t) - {FE.GRAM - 2})) AS i FROM {rel}) GROUP BY ALL")
+
+
+def _projected_sql(grams: str) -> str:
+    return (f"SELECT k, CAST('0x' || substr(md5(term), 1, 4) AS INT) % {FE.PROJECTED} AS i, "
+            "sum(tf * coalesce(idf, ln(m + 1.0)) * CASE WHEN CAST('0x' || substr(md5(term), 5, 1) AS INT) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS w "
+            f"FROM {grams} LEFT JOIN idf USING (term), m GROUP BY ALL")
+
+
+@register("zero_shot", (
+    f"WITH titles AS (SELECT p_partkey AS k, ' ' || {S.clean('p_name')} || ' ' AS t FROM part), "
+    f"names AS (SELECT DISTINCT p_type AS k, ' ' || {S.clean('p_type')} || ' ' AS t FROM part WHERE p_type IS NOT NULL), "
+    f"tg AS ({_grams_sql('titles')}), ng AS ({_grams_sql('names')}), m AS (SELECT count(*) AS m FROM titles), "
+    "idf AS (SELECT term, ln((m + 1.0) / (count(*) + 1.0)) AS idf FROM tg, m GROUP BY term, m), "
+    f"tv AS ({_projected_sql('tg')}), nv AS ({_projected_sql('ng')}), "
+    "tn AS (SELECT k, sqrt(sum(w * w)) AS norm FROM tv GROUP BY k), nn AS (SELECT k, sqrt(sum(w * w)) AS norm FROM nv GROUP BY k), "
+    "dots AS (SELECT tv.k, nv.k AS label, sum(tv.w * nv.w) AS dot FROM tv JOIN nv USING (i) GROUP BY ALL), "
+    "sc AS (SELECT titles.k, names.k AS label, coalesce(dot / nullif(tn.norm * nn.norm, 0), 0) AS s FROM titles CROSS JOIN names "
+    "LEFT JOIN dots ON dots.k = titles.k AND dots.label = names.k LEFT JOIN tn ON tn.k = titles.k LEFT JOIN nn ON nn.k = names.k), "
+    "b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(s, 9) DESC, label) AS rn, "
+    "first_value(s) OVER (PARTITION BY k ORDER BY round(s, 9) DESC, label) AS top FROM sc) "
+    "SELECT k AS p_partkey, max(label) FILTER (rn = 1) AS predicted, "
+    f"round(1.0 / sum(exp((s - top) / {T})), 6) AS confidence FROM b GROUP BY k"))
+def zero_shot(spark, d):
+    """Titles against the names of the categories, both projected by the same encoder (CLS-6, EMB-1, EMB-2)."""
+    titles = tables.products_short(spark, d)
+    names = titles.filter("category IS NOT NULL").select("category").distinct()
+    idf = FE.idf_table(FE.char_grams(titles, "p_partkey", "product_title"), titles.select("p_partkey"), "p_partkey")
+    idf = materialize(idf, "gram_idf")
+    x = FE.project_text(titles, "p_partkey", "product_title", idf)
+    models = FE.project_text(names, "category", "category", idf).select(F.col("category").alias("label"), F.col("embedding").alias("coef"))
+    return r6(score_packed(x, pack_model(models), "embedding").select("p_partkey", "predicted", "confidence"))

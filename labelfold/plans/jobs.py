@@ -176,8 +176,12 @@ def train(spark: SparkSession, config: dict, frame: DataFrame | None = None) ->
     parts = materialize(parts, "training_split")
     mc = config.get("model", {})
     kind, features = mc.get("classifier_type", "mlp"), mc.get("features", "text")
-    model, idx = fit(parts.filter("split = 'train'"), kind, mc.get("classifier_params"), features=features,
-                     num_features=mc.get("num_features"))
+    part, params = parts.filter("split = 'train'").drop("split"), dict(mc.get("classifier_params") or {})
+    if kind == "mlp" and params.pop("early_stopping", True):
+        model, idx, _ = fit_mlp_early_stopping(part, key, features, params, num_features=mc.get("num_features"),
+                                               validation_fraction=params.pop("validation_fraction", 0.1))
+    else:
+        model, idx = fit(part, kind, params, features=features, num_features=mc.get("num_features"))
     meta = {"embedding_model_name": mc.get("embedding_model_name", "tf-idf" if features == "text" else features),
             "classifier_type": kind, "classifier_params": mc.get("classifier_params") or {},
             "embedding_dim": model.stages[-1].numFeatures, "preprocessing": options, "features": features}
@@ -191,32 +195,47 @@ def train(spark: SparkSession, config: dict, frame: DataFrame | None = None) ->
             "report": metrics.classification_report(s.filter("split = 'test'"))}
 
 
-def fit_mlp_early_stopping(train: DataFrame, key: str, features: str = "vector",
-                           iter_grid=(25, 50, 100, 200, 500), params: dict | None = None,
-                           validation_fraction: float = 0.1, seed: int = 42,
-                           label: str = "category"):
-    """MLP with early stopping approximated by a ``maxIter`` grid scored on a hold-out (CLS-3).
+def fit_mlp_early_stopping(train: DataFrame, key: str, features: str = "vector", params: dict | None = None,
+                           stage_iter: int = 25, patience: int = 4, tol: float = 1e-4,
+                           validation_fraction: float = 0.1, seed: int = 42, label: str = "category",
+                           num_features: int | None = None, vector_col: str = "embedding"):
+    """MLP with early stopping (CLS-3): one training run in stages of ``stage_iter`` iterations.
 
-    The hold-out is the seeded-hash ``validation_fraction`` of the train part
-    (same split machinery as the data split); each grid point is refitted on
-    the rest and the best hold-out accuracy wins (ties → fewer iterations).
-    Returns (model, label index, {max_iter: hold-out accuracy}).
+    Each stage goes on from the weights of the one before (``initialWeights``) and is scored on a seeded,
+    stratified hold-out of the train part, whose features are computed once and written.  The run ends at
+    ``max_iter`` iterations, when a stage ends early (converged), or after ``patience`` stages without an
+    accuracy better by ``tol``; the weights of the best stage are the model, nothing is fitted anew.
+    Without any hold-out row (tiny inputs) the newest weights are kept.
+    Returns (PipelineModel, label index, [(iterations so far, hold-out accuracy)]).
     """
-    parts = split.split_random(train, key, label=label, test_size=validation_fraction,
-                               val_size=0.0, seed=seed)
+    params = dict(params or {})
+    left = int(params.pop("max_iter", 500))
+    x, idx, _ = prepare_training_frame(train, label)
+    parts = split.split_stratified(x, key, label=label, test_size=validation_fraction, val_size=0.0, seed=seed)
     parts = materialize(parts, "mlp_holdout")
-    fit_part = parts.filter(F.col("split") == "train").drop("split")
-    hold = parts.filter(F.col("split") == "test").drop("split")
-    scores = {}
-    best = None
-    for it in sorted(iter_grid):
-        p = dict(params or {}, max_iter=it)
-        model, idx = fit(fit_part, "mlp", p, features=features, label=label)
-        acc = (predict(model, idx, hold, features=features, label=label)
-               .agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0])
-        scores[it] = acc
-        if best is None or acc > best[0]:
-            best = (acc, it)
-    p = dict(params or {}, max_iter=best[1])
-    model, idx = fit(train, "mlp", p, features=features, label=label)
-    return model, idx, scores
+    fit_part, hold = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") != "train")
+    if features == "vector":
+        stages, dim = [], len(x.select(vector_col).first()[0])
+        featured = lambda df: df.withColumn("features", array_to_vector(F.col(vector_col).cast("array<double>")))
+    else:
+        dim = num_features or MLP_FEATURES
+        prepare = Pipeline(stages=text_pipeline(None, dim).getStages()[:-1]).fit(fit_part)
+        stages, featured = prepare.stages, prepare.transform
+    fit_part, hold = (materialize(featured(df).select("features", "label_id"), "mlp_features") for df in (fit_part, hold))
+    done, best, worse, model, scores = 0, None, 0, None, []
+    while left > 0:
+        clf = C.make_classifier("mlp", dim, idx.count(), params | {"max_iter": min(stage_iter, left)})
+        if model is not None:
+            clf = clf.setInitialWeights(model.weights)
+        model = clf.fit(fit_part)
+        steps = model.summary().totalIterations
+        done, left = done + steps, left - clf.getMaxIter()
+        accuracy = model.transform(hold).agg(F.avg((F.col("prediction") == F.col("label_id")).cast("double"))).first()[0]
+        scores.append((done, accuracy))
+        if best is None or accuracy is None or accuracy > best[0] + tol:
+            best, worse = (accuracy, model), 0
+        else:
+            worse += 1
+        if steps < clf.getMaxIter() or worse >= patience:
+            break
+    return PipelineModel(stages=[*stages, best[1]]), idx, scores

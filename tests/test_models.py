@@ -94,14 +94,53 @@ def test_cross_validation_picks_a_reg_param(spark):
     assert cv.bestModel.stages[-1].getRegParam() in (0.0, 0.1)
 
 
-def test_mlp_early_stopping_grid(spark):
+def _staged(monkeypatch):
+    """Record every MLP fit: its initial weights and its result's."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier as M
+    seen, real = [], M.fit
+
+    def fit(self, df, params=None):
+        model = real(self, df)
+        seen.append((self.getInitialWeights() if self.isDefined("initialWeights") else None, model.weights, self.getMaxIter()))
+        return model
+    monkeypatch.setattr(M, "fit", fit)
+    return seen
+
+
+def test_mlp_stops_early_and_never_starts_from_zero_again(spark, monkeypatch):
     emb = spark.read.parquet(f"{SF}/embeddings.parquet").withColumn("category", F.col("label").cast("string"))
-    model, idx, scores = jobs.fit_mlp_early_stopping(emb, "vec_id", iter_grid=(5, 20),
-                                                     params={"hidden_layer_sizes": (8,)})
-    assert set(scores) == {5, 20} and all(0.0 <= v <= 1.0 for v in scores.values())
+    seen = _staged(monkeypatch)
+    model, idx, scores = jobs.fit_mlp_early_stopping(emb, "vec_id", params={"hidden_layer_sizes": (8,), "max_iter": 400},
+                                                     stage_iter=10, patience=2)
+    assert scores[-1][0] < 400 and len(seen) == len(scores) < 40
+    assert seen[0][0] is None
+    for (_, before, _), (start, _, _) in zip(seen, seen[1:]):
+        assert start == before                                   # each stage goes on where the last one ended
+    best = max(range(len(scores)), key=lambda i: (scores[i][1], -i))
+    assert scores[best][1] - scores[-1][1] >= 0 and all(0.0 <= s <= 1.0 for _, s in scores)
+    kept = [i for i, (_, w, _) in enumerate(seen) if w == model.stages[-1].weights]
+    assert kept and scores[best][1] - scores[kept[0]][1] <= 1e-4  # the best stage's weights are the model
     assert jobs.predict(model, idx, emb, features="vector").filter("predicted IS NULL").count() == 0
 
 
+def test_training_job_trains_its_mlp_in_stages(spark, monkeypatch, tmp_path):
+    rows = [(f"{kind} model {i}", kind) for i in range(20) for kind in ("phone", "laptop")]
+    frame = spark.createDataFrame(rows, "product_title string, category string")
+    seen = _staged(monkeypatch)
+    model = {"classifier_params": {"max_iter": 60, "hidden_layer_sizes": (4,)}, "num_features": 32}
+    res = jobs.train(spark, {"output": {"model_path": str(tmp_path / "m")}, "model": model}, frame)
+    assert all(n <= 25 for _, _, n in seen) and all(w is not None for w, _, _ in seen[1:])
+    again, idx, _ = jobs.load(spark, str(tmp_path / "m"))
+    assert again.stages[-1].weights == res["model"].stages[-1].weights
+    found = jobs.predict(again, idx, frame).select("product_title", "predicted")
+    assert found.exceptAll(jobs.predict(res["model"], idx, frame).select("product_title", "predicted")).count() == 0
+    assert found.join(frame, "product_title").filter("predicted = category").count() > 30  # 32 hashed places: some words collide
+    seen.clear()
+    model["classifier_params"]["early_stopping"] = False
+    jobs.train(spark, {"output": {"model_path": str(tmp_path / "n")}, "model": model}, frame)
+    assert [n for _, _, n in seen] == [60]
+
+
 def test_predict_cleans_like_training(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select(
         F.col("text").alias("product_title"), F.col("lang").alias("category"), "doc_id")

@@ -158,7 +158,7 @@ def train(spark: SparkSession, config: dict, frame: DataFrame | None = None) ->
         if "path" not in data:
             raise ValueError("config data.path is required")
         frame = load_dataset(spark, data["path"], data.get("filename", "product_titles.csv"),
-                             data.get("column_mapping"))
+                             data.get("column_mapping"), data.get("ranges", False))
     else:
         frame = map_columns(frame, data.get("column_mapping"), keep=tuple(data.get("keep", ())))
     quality.validate(frame)

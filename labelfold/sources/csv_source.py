@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import null_na_tokens
+from . import csv_ranges
 from .columns import map_columns
 
 CORRUPT = "_corrupt_record"
@@ -25,14 +26,15 @@ def _reader(spark: SparkSession, multi_line: bool):
 
 
 def read_labelled_csv(spark: SparkSession, path: str, strict: bool = True,
-                      na_tokens: bool = True, multi_line: bool = True) -> DataFrame:
+                      na_tokens: bool = True, multi_line: bool = True, ranges: bool = False) -> DataFrame:
     """All-STRING scan of a headed CSV file or folder.
 
     ``strict`` fails on rows with more fields than the header (pandas raises
     there; Spark would drop the extra fields silently): the text of every row that
     does not fit the header is kept and its fields are counted outside of quotes.
     Rows with fewer fields get NULLs, as in pandas.  ``multi_line=False`` lets Spark
-    split large files where no quoted field holds a line break.
+    split large files where no quoted field holds a line break; ``ranges=True`` splits any
+    file and finds the records by counting quotes (``csv_ranges``).
     """
     try:
         names = _reader(spark, multi_line).csv(path).columns  # header names only
@@ -41,7 +43,10 @@ def read_labelled_csv(spark: SparkSession, path: str, strict: bool = True,
             raise FileNotFoundError(f"data file not found: {path}") from e
         raise
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    df = _reader(spark, multi_line).schema(schema).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    if ranges:
+        df = csv_ranges.parsed(spark, path, schema, CORRUPT)
+    else:
+        df = _reader(spark, multi_line).schema(schema).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     if strict:
         bare = F.regexp_replace(CORRUPT, '"[^"]*+"', "")  # a doubled quote ends one stretch and begins the next
         fields = F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
@@ -55,7 +60,7 @@ def read_labelled_csv(spark: SparkSession, path: str, strict: bool = True,
 
 
 def load_dataset(spark: SparkSession, data_path: str, filename: str = "product_titles.csv",
-                 column_mapping: dict[str, str] | None = None) -> DataFrame:
-    """``load_kaggle_dataset``: scan, map to (product_title, category) (SRC-1..8)."""
+                 column_mapping: dict[str, str] | None = None, ranges: bool = False) -> DataFrame:
+    """``load_kaggle_dataset``: scan, map to (product_title, category) (SRC-1..8); ``ranges`` as in the scan."""
     path = f"{data_path.rstrip('/')}/{filename}"
-    return map_columns(read_labelled_csv(spark, path), column_mapping)
+    return map_columns(read_labelled_csv(spark, path, ranges=ranges), column_mapping)

@@ -10,7 +10,7 @@ ROWS = ([("Phone model %d" % i, "Electronics") for i in range(4)]
 def test_run_training_from_csv(spark, tmp_path):
     csv = tmp_path / "product_titles.csv"
     csv.write_text("product_title,category\n" + "\n".join(f"{t},{c}" for t, c in ROWS) + "\n", encoding="utf-8")
-    cfg = {"data": {"path": str(tmp_path)},
+    cfg = {"data": {"path": str(tmp_path), "ranges": True},
            "split": {"test_size": 0.2, "val_size": 0.1, "random_seed": 42},
            "model": {"classifier_type": "lr", "classifier_params": {"max_iter": 20}},
            "output": {"model_path": str(tmp_path / "models" / "checkpoint")}}

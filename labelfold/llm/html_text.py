@@ -13,7 +13,9 @@ of the articles with content nodes, of the content paths, and of the element tha
 holds nearly all of the marked text.
 
 Boilerplate elements (menus, page headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) are known by tag, role or class name.
+forms, scripts, styles, reader comments) are known by tag, role or a word of a class name or id;
+a name that tells what a wrapper has or lays out (``has-sidebar``) doesn't count.  Every pass over a
+page is linear, also in how deep its elements nest.
 
 Cases: null or empty html and pages without text give an empty text; markup cut
 off or wrongly nested is read as far as it goes; repeated pages are treated one
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +43,7 @@ SHARE = 0.9
 
 # HTML element and class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noscript noembed noframes template xmp svg math".split())
+RAW = frozenset("script style textarea title iframe noscript noembed noframes template xmp svg".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
                    "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option "
                    "p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -48,7 +51,7 @@ CLOSES_P = BLOCKS - frozenset("body head html title td th tr tbody thead tfoot c
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
             "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th")}
 SCOPES = frozenset("ul ol dl table article section div main body html blockquote td th form select".split())
-NOISE_TAGS = frozenset("nav aside footer form button select dialog menu head object canvas audio video".split())
+NOISE_TAGS = frozenset("nav aside footer form button select dialog menu head object canvas audio video annotation annotation-xml".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
@@ -56,6 +59,8 @@ NOISE_NAMES = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments "
     "disqus reply replies respond related recommended recommendations breadcrumb breadcrumbs pagination pager widget search "
     "toolbar copyright disclaimer skip hidden".split())
+#: Words by which a class name tells of a part elsewhere.
+STATE_NAMES = frozenset("has with without no layout".split())
 ROOTS = frozenset(("html", "body", "main", "article"))
 
 _TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*+>?|/(?![a-zA-Z])[^>]*+>?"
@@ -66,43 +71,53 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
 class _Element:
-    __slots__ = ("tag", "label", "noise", "parent", "chars", "children", "article")
+    __slots__ = ("tag", "path", "noise", "parent", "chars", "children", "article", "block", "linked")
 
-    def __init__(self, tag, label, noise, parent):
-        self.tag, self.label, self.noise, self.parent = tag, label, noise, parent
+    def __init__(self, tag, path, noise, parent):
+        self.tag, self.path, self.noise, self.parent = tag, path, noise, parent
         self.chars, self.children = 0, []
         self.article = tag in ("article", "main") or bool(parent and parent.article)
+        self.block = self if parent is None or tag in BLOCKS else parent.block
+        self.linked = tag == "a" or bool(parent and parent.linked)
         if parent is not None:
             parent.children.append(self)
 
 
-def _open(tag: str, attributes: str, parent: _Element | None) -> _Element:
+def _open(tag: str, attributes: str, parent: _Element, paths: dict) -> _Element:
     names: set[str] = set()
-    noise = parent is not None and parent.noise or tag in NOISE_TAGS
+    telling: set[str] = set()
+    noise = parent.noise or tag in NOISE_TAGS
     if attributes.strip():
         for m in _NAMES.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if key in ("class", "id"):
-                names |= set(_WORD.findall(value))
+                for name in value.split():
+                    words = set(_WORD.findall(name))
+                    names |= words
+                    if words.isdisjoint(STATE_NAMES):
+                        telling |= words
             elif key == "role":
                 noise = noise or value in NOISE_ROLES
             elif key == "style":
                 noise = noise or "display:none" in value.replace(" ", "")
             else:
                 noise = noise or key == "hidden" or value == "true"
-    inside = parent is not None and parent.article
+    inside = parent.article
     if tag == "header" and not inside:
         noise = True
-    found = names & NOISE_NAMES
+    found = telling & NOISE_NAMES
     if tag not in ROOTS and found and not (inside and found == {"header"}):
         noise = True
-    return _Element(tag, tag + "".join(f".{x}" for x in sorted(names)), noise, parent)
+    label = tag + "".join(f".{x}" for x in sorted(names))
+    return _Element(tag, paths.setdefault((parent.path, label), len(paths) + 1), noise, parent)
 
 
 def text_blocks(page: str) -> list[tuple[str, int, _Element]]:
     """``(text, link_chars, element)`` of every block that no boilerplate element encloses, in page order."""
-    root = _Element("#", "#", False, None)
+    root = _Element("#", 0, False, None)
     stack, out, buffer, links, held = [root], [], [], 0, root
+    paths: dict[tuple[int, str], int] = {}  # a number for each root-to-leaf path
+    unclosed: Counter[str] = Counter()
     pos, size = 0, len(page)
 
     def flush():
@@ -118,11 +133,16 @@ def text_blocks(page: str) -> list[tuple[str, int, _Element]]:
         nonlocal links, held
         if not stack[-1].noise:
             if not buffer:
-                held = next(e for e in reversed(stack) if e.tag in BLOCKS or e is root)
+                held = stack[-1].block
             buffer.append(text)
-            if any(e.tag == "a" for e in stack):
+            if stack[-1].linked:
                 links += len(text)
 
+    def close(k):
+        for e in stack[k:]:
+            unclosed[e.tag] -= 1
+        del stack[k:]
+
     while pos < size:
         m = _TAG.search(page, pos)
         if m is None:
@@ -137,9 +157,9 @@ def text_blocks(page: str) -> list[tuple[str, int, _Element]]:
         if tag in BLOCKS:
             flush()
         if m[1]:  # end tag
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if unclosed[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag not in BLOCKS and stack[k].tag in BLOCKS and tag != "a":
                     break  # an inline end tag doesn't close a block
@@ -147,7 +167,7 @@ def text_blocks(page: str) -> list[tuple[str, int, _Element]]:
         if tag == "br" and not stack[-1].noise and buffer:
             buffer.append(" ")
         if tag in RAW:
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
+            if not m[3].rstrip().endswith("/") or tag != "svg":
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
                 pos = end.end() if end else size
             continue
@@ -157,30 +177,28 @@ def text_blocks(page: str) -> list[tuple[str, int, _Element]]:
             closing = SIBLINGS.get(tag, ()) + (("p",) if tag in CLOSES_P else ())
             k = len(stack) - 1
             cut = None
-            while k > 0:
+            while k > 0 and any(unclosed[t] for t in closing):
                 if stack[k].tag in closing:
                     cut = k
                 elif stack[k].tag in SCOPES and not (tag in ("tr", "tbody", "td", "th") and stack[k].tag in ("td", "th")):
                     break
                 k -= 1
             if cut is not None:
-                del stack[cut:]
-        stack.append(_open(tag, m[3], stack[-1]))
+                close(cut)
+        if tag == "math" and m[3].rstrip().endswith("/"):
+            continue
+        stack.append(_open(tag, m[3], stack[-1], paths))
+        unclosed[tag] += 1
     flush()
     return out
 
 
-def path_scores(blocks: list[tuple[str, int, _Element]], near: bool = True) -> tuple[np.ndarray, list[str]]:
+def path_scores(blocks: list[tuple[str, int, _Element]], near: bool = True) -> tuple[np.ndarray, list[int]]:
     """Fused tag-path ratio of each block, smoothed if ``near`` blocks count, and each block's path."""
     paths, sums = [], {}
     for text, links, element in blocks:
-        names, e = [], element
-        while e is not None:
-            names.append(e.label)
-            e = e.parent
-        path = "/".join(reversed(names))
-        paths.append(path)
-        s = sums.setdefault(path, [0, 0, 0, 0])
+        paths.append(element.path)
+        s = sums.setdefault(element.path, [0, 0, 0, 0])
         s[0] += len(text)
         s[1] += len(_PUNCTUATION.findall(text))
         s[2] += links
@@ -206,6 +224,15 @@ def _innermost(root: _Element, chars: float) -> list[_Element]:
         chain.append(down[0])
 
 
+def _in_order(root: _Element) -> list[_Element]:
+    """All elements, parents before their children."""
+    out, left = [], [root]
+    while left:
+        out.append(left.pop())
+        left.extend(out[-1].children)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The article's text, its blocks joined by one newline."""
     blocks = text_blocks(page or "")
@@ -225,27 +252,31 @@ def main_text(page: str | None) -> str:
     for (text, _, element), m in zip(blocks, sure):
         if m:
             total += len(text)
-            while element is not None:
-                element.chars += len(text)
-                element = element.parent
+            element.chars += len(text)
     root = blocks[0][2]
     while root.parent is not None:
         root = root.parent
+    elements = _in_order(root)
+    for e in reversed(elements[1:]):  # children before their parents
+        e.parent.chars += e.chars
     chain = _innermost(root, total)
     top = next((e for tag in ("article", "main") for e in chain if e.tag == tag), chain[-1])
     whole = {top}
     if top.tag in ("#", "html", "body"):
         whole = {e for e in _innermost(root, SHARE * total)[-1:] if e.tag not in ("#", "html", "body")}
     chosen = {p for p, m in zip(paths, sure if whole else marked) if m}
-    kept = []
-    for (text, _, element), path in zip(blocks, paths):
-        above = [element]
-        while above[-1].parent is not None:
-            above.append(above[-1].parent)
-        named = next((e for e in reversed(above) if e.article), None)  # the outermost
-        if top in above and (path in chosen or not whole.isdisjoint(above) or named is not None and named.chars):
-            kept.append(text)
-    return "\n".join(kept)
+    below: set[_Element] = set()  # the elements in ``top``, and of these the ones that are kept whole
+    all_of: set[_Element] = set()
+    named: dict[_Element, _Element] = {}  # the outermost named article of an element
+    for e in elements:
+        if e is top or e.parent in below:
+            below.add(e)
+        if e in whole or e.parent in all_of:
+            all_of.add(e)
+        if e.article:
+            named[e] = named.get(e.parent, e)
+    return "\n".join(text for (text, _, e), path in zip(blocks, paths)
+                     if e in below and (path in chosen or e in all_of or e in named and named[e].chars))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,3 +64,28 @@ LINES = [f"Paragraph {i}, which is long enough to count, and has its commas and
 ])
 def test_text_beside_a_long_section_is_kept(page, text):
     assert h.main_text(page).split("\n") == text
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<div class='has-sidebar'><article><p>kept</p></article><div class='sidebar'>no</div></div>", "kept"),
+    ("<div class='layout-with-sidebar wide'><main><p>kept</p><div class='sidebar-left'>no</div></main></div>", "kept"),
+    ("<body class='no-footer'><div id='page-without-nav'><article><p>kept</p></article></div><div class='site-footer'>no</div></body>", "kept"),
+    ("<div id='comments'><article class='comment'><p>no</p></article></div><article><p>kept</p></article>", "kept"),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be.</p><math/><p>b</p></article>", "Let x=2 be.\nb"),
+])
+def test_names_of_wrappers_and_formulas(page, text):
+    assert h.main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ["<div>x. ", "<span>x ", "<b><p>x, y. ", "<div><a href=q>x</a></section>", "<ul><li>x.", "<article>x. "])
+def test_deep_nesting_takes_linear_time(piece):
+    import time
+    t0 = time.time()
+    got = h.main_text("<article><p>lead.</p>" + piece * 20_000)
+    assert got.startswith("lead.") and time.time() - t0 < 10
+
+
+def test_repeated_pages_and_equal_scores_come_out_alike(spark):
+    page = "<body><div class=a><p>One, two.</p></div><div class=b><p>One, two.</p></div></body>"
+    rows = h.extract(spark.createDataFrame([(i, "u", page) for i in (1, 1, 2)], "page_id int, url string, html string")).collect()
+    assert {r.text for r in rows} == {"One, two.\nOne, two."} and len(rows) == 3

@@ -59,3 +59,17 @@ def test_redact(spark):
 
 def test_empty_table(spark):
     assert s.scan(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
+def test_jwt_spans_equal_the_plain_pattern_and_long_runs_take_linear_time():
+    import random
+    import time
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice(["eyJ", "eyJ", "abcdefgh", "x", ".", ".", " ", "eyJabcdefgh."]) for _ in range(rng.randint(1, 25)))
+        assert list(s._jwt_spans(text)) == [m.span() for m in plain.finditer(text)], text
+    t0 = time.time()
+    for long in ("eyJ" * 700_000, "eyJ" * 300_000 + "." + "eyJ" * 300_000, "eyJabcdefgh." * 100_000 + "!"):
+        s.find_secrets(long)
+    assert time.time() - t0 < 10

@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import mix, shingle_hashes, table, word_chunks
 
@@ -175,7 +176,7 @@ FOUND = "array<struct<item_id:{0},similarity:double,start_word:long,n_words:long
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with ``found``: the items whose text is in it, each with its most similar window."""
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    arrow_kind = {"int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
+    arrow_kind = to_arrow_type(benchmark.schema["item_id"].dataType)
     arrow = pa.list_(pa.struct([("item_id", arrow_kind), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int64())]))
     kept = [f for f in docs.schema.fields if f.name.lower() != "found"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"found {FOUND.format(kind)}"])

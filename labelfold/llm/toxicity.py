@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import fold, table, word_chunks
 
@@ -268,7 +269,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` and ``evidence`` (the nearest examples: id, cosine, label)."""
     kept = [f for f in docs.schema.fields if f.name.lower() not in ("score", "evidence")]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow_id = pa.int32() if kind == "int" else pa.string() if kind == "string" else pa.int64()
+    arrow_id = to_arrow_type(docs.schema["doc_id"].dataType)
     evidence = pa.list_(pa.struct([("doc_id", arrow_id), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):

@@ -85,3 +85,13 @@ def test_parts_of_a_large_benchmark(spark, monkeypatch):
     whole = key(d.find(left, right))
     monkeypatch.setattr(d, "MAX_ITEMS", 8)
     assert d._parts(right)[1] > 1 and key(d.find(left, right)) == whole
+
+
+def test_ids_of_any_type_and_ties(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    for kind in ("smallint", "int", "bigint", "decimal(12,2)", "string", "date"):
+        value = "'2024-01-01'" if kind == "date" else "'7'"
+        items = spark.sql(f"select cast({value} as {kind}) as item_id, '{item}' as text union all select null, null")
+        docs = spark.sql(f"select cast({value} as {kind}) as doc_id, 'so {item} it is {item}' as text")
+        r = d.find(docs, items).first()
+        assert [(f.item_id, round(f.similarity, 6), f.start_word) for f in r.found] == [(r.doc_id, 1.0, 1)]

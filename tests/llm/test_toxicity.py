@@ -69,3 +69,12 @@ def test_odd_rows(spark, model):
     assert t.score(one, t.train(one, labels)).first().score == 0.0
     marks = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (1, None)], "doc_id long, toxic int")
     assert t.score(one, t.train(one, marks)).first().score == 1.0
+
+
+def test_ids_of_any_type(spark):
+    for kind in ("smallint", "int", "decimal(12,2)", "string"):
+        docs = spark.sql(f"select cast(id as {kind}) as doc_id, if(id % 2 = 0, 'vile scum', 'kind words') as text from range(80)")
+        labels = spark.sql(f"select cast(id as {kind}) as doc_id, cast(id % 2 = 0 as int) as toxic from range(80)")
+        rows = t.score(docs, t.train(docs, labels)).collect()
+        assert len(rows) == 80 and all((r.score > 0.5) == (int(r.doc_id) % 2 == 0) for r in rows)
+        assert {type(e.doc_id) for r in rows for e in r.evidence} <= {type(r.doc_id) for r in rows}

@@ -6,7 +6,7 @@ per-user models score through the same join: the model is joined on ``by``
 the arg-max / top-k / softmax are taken per scored row over at most ``k``
 label scores (bounded by the label count, never by the data size).
 
-* sparse prototype:  (by…, label, term, weight)            — text TF-IDF
+* sparse prototype:  (by…, label, term, idf, weight)       — text TF-IDF
 * dense prototype:   (by…, label, coef ARRAY<DOUBLE>, intercept)  — vectors
 * linear (LR):       same dense layout, exported from Spark ML
 """
@@ -24,39 +24,44 @@ from pyspark.sql import functions as F
 
 # Softmax temperature that turns cosine scores into probabilities.
 TEMPERATURE = 0.1
-GLOBAL = "_model"
-
-
-def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Global models join through a constant key so every model join is an equi-join."""
-    by = list(by)
-    if by:
-        return df, by
-    return df.withColumn(GLOBAL, F.lit(0)), [GLOBAL]
 
 
 # --- sparse (TF-IDF) prototypes ------------------------------------------------------------
 
-def sparse_prototypes(vectors: DataFrame, labels: DataFrame, key: str, label: str = "label",
+def sparse_prototypes(terms: DataFrame, idf: DataFrame, norms: DataFrame, key: str, label: str = "label",
                       by: Sequence[str] = ()) -> DataFrame:
-    """Mean document vector per label, L2-normalised: (by…, label, term, weight) (CLS-5)."""
+    """Mean TF-IDF vector per label as (by…, label, term, idf, weight) (CLS-5).
+
+    ``terms(by…, key, label, term, tf)`` are the train documents' counts, ``norms`` the documents'
+    lengths (``features.tfidf_norms``).  Weights are sums of unit vectors; ``score_sparse``
+    divides by the labels' lengths, so the model is summed once and never joined with itself.
+    """
     by = list(by)
-    x = vectors.join(labels.select(*by, key, label), by + [key])
-    s = x.groupBy(*by, label, "term").agg(F.sum("w").alias("s"))
-    norm = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy(*by, label)))
-    return s.select(*by, label, "term", (F.col("s") / norm).alias("weight"))
+    x = terms.join(idf.filter(F.col("idf") > 0).select(*by, "term", "idf"), by + ["term"]).join(norms, by + [key])
+    return x.groupBy(*by, label, "term").agg(F.first("idf").alias("idf"),
+                                             F.sum(F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
 
 
-def score_sparse(vectors: DataFrame, model: DataFrame, key: str, label: str = "label",
+def score_sparse(terms: DataFrame, model: DataFrame, norms: DataFrame, key: str, label: str = "label",
                  by: Sequence[str] = ()) -> DataFrame:
-    """Cosine of each document with each prototype sharing a term: (by…, key, label, score)."""
+    """Cosine of each document with each prototype sharing a term: (by…, key, label, score).
+
+    ``terms(by…, key, term, tf)`` are raw counts; both lengths divide the finished sums, so no
+    normalised vector is written or shuffled.
+    """
     by = list(by)
-    return (vectors.join(model, by + ["term"])
-            .groupBy(*by, key, label).agg(F.sum(F.col("w") * F.col("weight")).alias("score")))
+    lengths = model.groupBy(*by, label).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_length"))
+    dots = (terms.join(model, by + ["term"])
+            .groupBy(*by, key, label).agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("_dot")))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"l.{c}")) for c in by + [label]]  # a NULL label is a label
+    x = dots.join(norms, by + [key])
+    return (x.alias("s").join(lengths.alias("l"), same)
+            .select(*[F.col(f"s.{c}") for c in by + [key, label]], (F.col("s._dot") / (F.col("s.norm") * F.col("l._length"))).alias("score")))
 
 
-def label_counts(model: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
-    return model.select(*by, label).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("k"))
+def label_counts(labelled: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+    """Number of labels of each group: (by…, k)."""
+    return labelled.select(*by, label).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("k"))
 
 
 # --- dense prototypes / linear models ------------------------------------------------------
@@ -106,6 +111,52 @@ def score_dense(df: DataFrame, model: DataFrame, key: str, features: str, label:
     return j.select(*by, key, label, s.alias("score"))
 
 
+def score_rows(df: DataFrame, model: DataFrame, features: str, label: str = "label", by: Sequence[str] = (),
+               metric: str = "cosine", score_digits: int = 9) -> DataFrame:
+    """``df`` with ``_scores``: the (neg, label, score) of all labels, best first, ties by label (CLS-5, CLS-9, CLS-10).
+
+    Scores stay in the row: a global model is one scalar subquery, a per-group one a packed row
+    joined on ``by``; nothing of size rows × labels arises or is shuffled.  ``rank_rows`` and
+    ``probability_rows`` read the result.
+    """
+    by = list(by)
+    pack = F.collect_list(F.struct(F.col(label).alias("label"), "coef", "intercept", norm(F.col("coef")).alias("norm")))
+    x = df.withColumn("_x", F.col(features).cast("array<double>"))
+    x = x.join(model.groupBy(*by).agg(pack.alias("_m")), by) if by else x.withColumn("_m", model.agg(pack).scalar())
+    x = x.withColumn("_n", norm(F.col("_x")))
+
+    def one(m):
+        d = dot(F.col("_x"), m["coef"])
+        if metric == "linear":
+            return d + m["intercept"]
+        return F.when(F.col("_n") * m["norm"] == 0, F.lit(0.0)).otherwise(d / (F.col("_n") * m["norm"]))
+
+    z = F.transform("_m", lambda m: F.struct(m["label"].alias("label"), one(m).alias("score")))
+    ranked = F.array_sort(F.transform(z, lambda s: F.struct(
+        (-F.round(s["score"], score_digits)).alias("neg"), s["label"].alias("label"), s["score"].alias("score"))))
+    return x.withColumn("_scores", ranked).drop("_x", "_m", "_n")
+
+
+def _exponents(temperature: float) -> tuple:
+    top = F.element_at("_scores", 1)["score"]
+    return top, F.aggregate("_scores", F.lit(0.0), lambda acc, s: acc + F.exp((s["score"] - top) / temperature))
+
+
+def rank_rows(scored: DataFrame, temperature: float = TEMPERATURE, top: int = 3) -> DataFrame:
+    """Replace ``_scores`` by predicted, score, confidence and top_labels (SORT-3, SORT-4, MATH-3)."""
+    best, total = _exponents(temperature)
+    return (scored.withColumns({"predicted": F.element_at("_scores", 1)["label"], "score": best, "confidence": 1.0 / total,
+                                "top_labels": F.transform(F.slice("_scores", 1, top), lambda s: s["label"])}).drop("_scores"))
+
+
+def probability_rows(scored: DataFrame, key: str, label: str = "label", temperature: float = TEMPERATURE) -> DataFrame:
+    """(key, label, probability): softmax over each row's labels, unfolded in the row (CLS-9, MATH-3)."""
+    best, total = _exponents(temperature)
+    p = F.transform("_scores", lambda s: F.struct(s["label"].alias("label"), (F.exp((s["score"] - F.col("_best")) / temperature) / F.col("_total")).alias("p")))
+    return (scored.select(key, "_scores", best.alias("_best"), total.alias("_total"))
+            .select(key, F.explode(p).alias("_p")).select(key, F.col("_p.label").alias(label), F.col("_p.p").alias("probability")))
+
+
 def linear_probabilities(df: DataFrame, model: DataFrame, key: str, features: str, label: str,
                          by: Sequence[str]) -> DataFrame:
     """(by…, key, probabilities): softmax over the labels of the row's group, computed in the row (CLS-9).

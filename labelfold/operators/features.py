@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +23,12 @@ from ..functions.text import NOT_WORD_RUN, clean_text
 
 def term_counts(df: DataFrame, key: str, text: str, by: Sequence[str] = (),
                 clean: bool = True) -> DataFrame:
-    """(by…, key, term, tf): token counts per document (whole texts)."""
-    t = clean_text(text) if clean else F.col(text)
+    """(by…, key, term, tf): token counts per document (whole texts).
+
+    Of the cleaning only the lower-casing can change a token: white space separates tokens
+    whether it is collapsed or not, so its regex pass over the text is left out.
+    """
+    t = F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))) if clean else F.col(text)
     # explode the raw split and drop empty pieces with a plain predicate (codegen),
     # rather than a per-row higher-order filter
     return (df.select(*by, key, F.explode(F.split(t, NOT_WORD_RUN)).alias("term"))
@@ -47,13 +51,15 @@ def idf_table(tf: DataFrame, docs: DataFrame, key: str, by: Sequence[str] = ())
     return x.withColumn("idf", F.log((F.col("m") + 1).cast("double") / (F.col("df") + 1)))
 
 
-def tfidf_vectors(tf: DataFrame, idf: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by…, key, term, w): L2-normalised tf·idf; terms outside the IDF vocabulary drop out."""
+def tfidf_norms(tf: DataFrame, idf: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by…, key, norm): length of each document's tf·idf vector; terms outside the IDF vocabulary drop out.
+
+    A document's terms lie together, so the sums are nearly finished before the shuffle.
+    """
     by = list(by)
-    x = (tf.join(idf.select(*by, "term", "idf"), by + ["term"])
-         .withColumn("w", F.col("tf") * F.col("idf")).filter(F.col("w") > 0))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by, key)))
-    return x.select(*by, key, "term", (F.col("w") / norm).alias("w"))
+    w = F.col("tf") * F.col("idf")
+    return (tf.join(idf.filter(F.col("idf") > 0).select(*by, "term", "idf"), by + ["term"])
+            .groupBy(*by, key).agg(F.sqrt(F.sum(w * w)).alias("norm")))
 
 
 # --- random projection of character n-grams (EMB-1, EMB-2) ----------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import classify as C
@@ -10,6 +11,7 @@ from ..operators import neighbors as NB
 from ..operators import metrics, split
 from ..operators.labels import class_weights
 from ..operators.linear import fit_linear_by_group
+from ..operators.quality import validate
 from ..sources import tables
 from ..sources.columns import map_columns
 from ..functions.text import has_content, py_strip
@@ -30,12 +32,11 @@ def _vectors_split(spark, d):
     return materialize(split.split_random(v, "vec_id", label="label", test_size=0.2, val_size=0.0))
 
 
-def _dense_ranked(spark, d):
+def _dense_scored(spark, d):
+    """Test vectors with all their label scores in the row."""
     s = _vectors_split(spark, d)
     model = C.dense_prototypes(s.filter(F.col("split") == "train"), "embedding", "label")
-    test = s.filter(F.col("split") == "test")
-    scores = C.score_dense(test, model, "vec_id", "embedding", "label")
-    return test.select("vec_id", F.col("label").alias("y_true")), scores
+    return C.score_rows(s.filter(F.col("split") == "test"), model, "embedding", "label")
 
 
 def _dense_sql(body: str, extra=()) -> str:
@@ -66,26 +67,21 @@ def _dense_sql(body: str, extra=()) -> str:
     "FROM te JOIN pr ON pr.vec_id = te.vec_id AND pr.rn = 1"))
 def prototype_predict(spark, d):
     """Nearest-prototype classifier on stored vectors (CLS-5)."""
-    truth, scores = _dense_ranked(spark, d)
-    r = C.rank_scores(scores, "vec_id", "label")
-    return r6(truth.join(r, "vec_id").select("vec_id", F.col("y_true").alias("label"),
-                                             "predicted", "score"))
+    return r6(C.rank_rows(_dense_scored(spark, d)).select("vec_id", "label", "predicted", "score"))
 
 
 @register("predict", _dense_sql(
     "SELECT vec_id, label AS predicted, round(probability, 6) AS confidence FROM pr WHERE rn = 1"))
 def predict(spark, d):
     """Predicted label + confidence = max probability (CLS-8, CLS-10, SORT-3)."""
-    _, scores = _dense_ranked(spark, d)
-    return r6(C.rank_scores(scores, "vec_id", "label").select("vec_id", "predicted", "confidence"))
+    return r6(C.rank_rows(_dense_scored(spark, d)).select("vec_id", "predicted", "confidence"))
 
 
 @register("predict_proba", _dense_sql(
     "SELECT vec_id, label, round(probability, 6) AS probability FROM pr"))
 def predict_proba(spark, d):
     """Softmax of the cosine scores over all labels (CLS-9, MATH-3)."""
-    _, scores = _dense_ranked(spark, d)
-    return r6(C.probabilities(scores, "vec_id", "label"))
+    return r6(C.probability_rows(_dense_scored(spark, d), "vec_id"))
 
 
 @register("topk_accuracy", _dense_sql(
@@ -95,9 +91,7 @@ def predict_proba(spark, d):
     "bool_or(pr.label = te.label AND pr.rn = 1) AS hit1 FROM te JOIN pr USING (vec_id) GROUP BY te.vec_id)"))
 def topk_accuracy(spark, d):
     """Top-3 (and top-1) accuracy of the prototype scores (AGG-19, SORT-4)."""
-    truth, scores = _dense_ranked(spark, d)
-    r = C.rank_scores(scores, "vec_id", "label").join(truth, "vec_id")
-    return r6(metrics.topk_accuracy(r, k=3, y_true="y_true"))
+    return r6(metrics.topk_accuracy(C.rank_rows(_dense_scored(spark, d)), k=3, y_true="label"))
 
 
 FEW_SHOTS = (5, 10, 20)
@@ -135,17 +129,19 @@ def few_shot(spark, d):
     big = (v.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
            .filter(F.col("n") >= MIN_CATEGORY_EXAMPLES).select("label"))
     v = v.join(big, "label", "left_semi")
-    out = None
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    # at most max(FEW_SHOTS) rows a label: Spark trims each group before the shuffle
+    first = materialize(v.withColumn("rn", rank).filter(F.col("rn") <= max(FEW_SHOTS)), "first_examples")
+    # a row among a label's first n trains the model of n and is a test row of the smaller ones
+    tests = v.join(first.select("vec_id", "rn"), "vec_id", "left")
     for n in FEW_SHOTS:
-        train = split.first_n(v, n, ["label"], ["vec_id"])
-        test = v.join(train.select("vec_id"), "vec_id", "left_anti")
-        model = C.dense_prototypes(train, "embedding", "label")
-        r = C.rank_scores(C.score_dense(test, model, "vec_id", "embedding", "label"), "vec_id", "label")
-        acc = (test.select("vec_id", F.col("label").alias("y_true")).join(r, "vec_id")
-               .agg(F.lit(n).alias("n_shots"), F.count(F.lit(1)).alias("n_test"),
-                    F.avg((F.col("predicted") == F.col("y_true")).cast("double")).alias("accuracy")))
-        out = acc if out is None else out.unionByName(acc)
-    return r6(out)
+        model = C.dense_prototypes(first.filter(F.col("rn") <= n), "embedding", "label")
+        tests = C.rank_rows(C.score_rows(tests, model, "embedding", "label")).withColumn(
+            f"hit{n}", F.when(F.col("rn").isNull() | (F.col("rn") > n), (F.col("predicted") == F.col("label")).cast("double"))
+        ).drop("predicted", "score", "confidence", "top_labels")
+    facts = tests.agg(F.array(*[F.struct(F.lit(n).alias("n_shots"), F.count(f"hit{n}").alias("n_test"), F.avg(f"hit{n}").alias("accuracy"))
+                                for n in FEW_SHOTS]).alias("f"))
+    return r6(facts.select(F.inline("f")))
 
 
 # ============================ sparse text (documents) ======================================
@@ -169,30 +165,30 @@ def _labelled(spark, d, by_user: bool):
     return materialize(p if by_user else p.drop("user_id"), "labelled_docs")
 
 
-def _term_counts(spark, d, by_user: bool):
-    """Whole texts cleaned and tokenised once, straight into narrow (…, doc_id, term, tf)."""
-    p = spread(_raw_docs(spark, d).withColumnRenamed("source", "user_id"), "doc_id")
+def _split_terms(spark, d, split_tbl, by_user: bool):
+    """The job's term table (…, doc_id, label, split, term, tf), from whole texts tokenised once.
+
+    Label and split join the texts before they are cut, so nothing later looks a document up again.
+    """
     by = ["user_id"] if by_user else []
-    return materialize(FE.term_counts(p, "doc_id", "product_title", by, clean=True), "term_counts")
+    p = spread(_raw_docs(spark, d).select("doc_id", "product_title"), "doc_id")
+    x = p.join(split_tbl.select(*by, "doc_id", "label", "split"), "doc_id")
+    return materialize(FE.term_counts(x, "doc_id", "product_title", [*by, "label", "split"], clean=True), "split_terms")
 
 
-def sparse_model(split_tbl, tf, by, key="doc_id"):
-    """TF-IDF (IDF on train) → normalised vectors → prototypes; returns (vectors, model)."""
-    by = list(by)
-    train = split_tbl.filter(F.col("split") == "train").select(*by, key, "label")
-    idf = FE.idf_table(tf.join(train.select(*by, key), by + [key], "left_semi"), train, key, by)
-    # the vectors feed both the model and the scoring branch
-    vec = materialize(FE.tfidf_vectors(tf, idf, key, by), "tfidf_vectors")
-    model = C.sparse_prototypes(vec, train, key, "label", by)
-    return vec, model
+def sparse_predict(split_tbl, terms, by, key="doc_id"):
+    """Scores of the test documents by TF-IDF prototypes (IDF on train), and the number of labels of each model.
 
-
-def sparse_predict(split_tbl, tf, by, key="doc_id"):
+    IDF, norms and model are written: their measured sizes then decide how the joins run.
+    """
     by = list(by)
-    vec, model = sparse_model(split_tbl, tf, by, key)
-    test = split_tbl.filter(F.col("split") == "test").select(*by, key)
-    scores = C.score_sparse(vec.join(test, by + [key], "left_semi"), model, key, "label", by)
-    return scores, model
+    labelled = split_tbl.filter(F.col("split") == "train")
+    train, test = terms.filter(F.col("split") == "train"), terms.filter(F.col("split") == "test")
+    idf = materialize(FE.idf_table(train, labelled, key, by).select(*by, "term", "idf"), "idf")
+    norms = materialize(FE.tfidf_norms(terms, idf, key, by), "document_norms")
+    model = materialize(C.sparse_prototypes(train, idf, norms, key, "label", by), "term_model")
+    scores = C.score_sparse(test.select(*by, key, "term", "tf"), model, norms, key, "label", by)
+    return scores, C.label_counts(labelled, by=by)
 
 
 def _sparse_sql(p: str, by: list[str], sd: str) -> list[tuple[str, str]]:
@@ -258,9 +254,10 @@ def _flagship_split(spark, d):
 def flagship(spark, d):
     """The training job end to end (CLS-12/13): load → validate → clean → stratified split →
     TF-IDF prototypes → score the test part → classification report."""
+    validate(_raw_docs(spark, d))
     docs = _flagship_split(spark, d)
-    scores, model = sparse_predict(docs, _term_counts(spark, d, False), [])
-    pred = C.rank_scores(scores, "doc_id", "label", k_labels=C.label_counts(model))
+    scores, k = sparse_predict(docs, _split_terms(spark, d, docs, False), [])
+    pred = C.rank_scores(scores, "doc_id", "label", k_labels=k)
     test = docs.filter(F.col("split") == "test").select("doc_id", F.col("label").alias("y_true"))
     scored = test.join(pred.select("doc_id", F.col("predicted").alias("y_pred")), "doc_id", "left")
     return r6(metrics.classification_report(scored))
@@ -274,8 +271,9 @@ def flagship(spark, d):
     "FROM tf, m GROUP BY term, m"))
 def tfidf_terms(spark, d):
     """Document frequency, total term count and IDF per term over whole texts (EMB-3)."""
-    tf = _term_counts(spark, d, False)
-    idf = FE.idf_table(tf, _labelled(spark, d, False).select("doc_id"), "doc_id")
+    raw = _raw_docs(spark, d)
+    tf = FE.term_counts(spread(raw, "doc_id"), "doc_id", "product_title", clean=True)
+    idf = FE.idf_table(tf, raw.select("doc_id"), "doc_id")
     return r6(idf.select("term", "df", "tf_total", "idf"))
 
 
@@ -294,9 +292,8 @@ def score_model_table(spark, d):
     A document that shares no term with its user's model has a NULL prediction.
     """
     docs = _user_split(spark, d)
-    scores, model = sparse_predict(docs, _term_counts(spark, d, True), ["user_id"])
-    r = C.rank_scores(scores, "doc_id", "label", by=["user_id"],
-                      k_labels=C.label_counts(model, by=["user_id"]))
+    scores, k = sparse_predict(docs, _split_terms(spark, d, docs, True), ["user_id"])
+    r = C.rank_scores(scores, "doc_id", "label", by=["user_id"], k_labels=k)
     return r6(_all_test_rows(docs, r.select("doc_id", "user_id", "predicted", "score")))
 
 
@@ -319,15 +316,14 @@ _COLD_SQL = S.with_roles([], (
 def cold_start(spark, d):
     """User model when the user has enough training data, else the global model (JOIN-9)."""
     docs = _user_split(spark, d)
-    tf = _term_counts(spark, d, True)
+    terms = _split_terms(spark, d, docs, True)
     enough = (docs.filter(F.col("split") == "train").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
               .filter(F.col("n") >= MIN_USER_TRAIN_DOCS).select("user_id"))
-    u_scores, u_model = sparse_predict(docs.join(enough, "user_id", "left_semi"),
-                                       tf.join(enough, "user_id", "left_semi"), ["user_id"])
-    u = C.rank_scores(u_scores, "doc_id", "label", by=["user_id"],
-                      k_labels=C.label_counts(u_model, by=["user_id"]))
-    g_scores, g_model = sparse_predict(docs.drop("user_id"), tf.drop("user_id"), [])
-    g = C.rank_scores(g_scores, "doc_id", "label", k_labels=C.label_counts(g_model))
+    u_scores, u_k = sparse_predict(docs.join(enough, "user_id", "left_semi"),
+                                   terms.join(enough, "user_id", "left_semi"), ["user_id"])
+    u = C.rank_scores(u_scores, "doc_id", "label", by=["user_id"], k_labels=u_k)
+    g_scores, g_k = sparse_predict(docs, terms, [])
+    g = C.rank_scores(g_scores, "doc_id", "label", k_labels=g_k)
     test = docs.filter(F.col("split") == "test").select("doc_id")
     out = C.with_fallback(test, u, g, "doc_id")
     return out.select("doc_id", "predicted", "source")
@@ -343,7 +339,7 @@ def cold_start(spark, d):
 def active_categories(spark, d):
     """Arg-max restricted to each user's own active categories (JOIN-11)."""
     docs = _user_split(spark, d)
-    scores, _ = sparse_predict(docs, _term_counts(spark, d, True), ["user_id"])
+    scores, _ = sparse_predict(docs, _split_terms(spark, d, docs, True), ["user_id"])
     active = (docs.filter(F.col("split") == "train").groupBy("user_id", "label")
               .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_ACTIVE_DOCS))
     s = C.restrict_labels(scores, active, "label", ["user_id"])

@@ -46,18 +46,21 @@ def scored(spark, sf_dir) -> DataFrame:
 
     ``xx`` is never a true label, so metrics must run over the label union.
     """
+    return _scored(spark, sf_dir)
+
+
+def _scored(spark, sf_dir, *more) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     y_pred = (F.when(F.col("doc_id") % 11 == 0, F.lit("xx"))
               .when(F.col("doc_id") % 7 == 0, F.lit("en"))
               .otherwise(F.col("lang")))
     conf = ((F.col("doc_id") * 37) % 101).cast("double") / 100.0
     return d.select("doc_id", F.col("lang").alias("y_true"), y_pred.alias("y_pred"),
-                    conf.alias("confidence"))
+                    conf.alias("confidence"), *more)
 
 
 def scored_by_user(spark, sf_dir) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("user_id"))
-    return scored(spark, sf_dir).join(d, "doc_id")
+    return _scored(spark, sf_dir, F.col("source").alias("user_id"))
 
 
 # --- ledger roles ---------------------------------------------------------------
@@ -109,16 +112,15 @@ def receipts(spark, sf_dir) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
     items = (li.groupBy("l_orderkey")
-             .agg(F.to_json(F.collect_list(F.struct(
+             .agg(F.collect_list(F.struct(
                  F.col("l_partkey").alias("part"),
                  F.col("l_quantity").alias("quantity"),
-                 F.col("l_extendedprice").alias("amount")))).alias("items_json")))
+                 F.col("l_extendedprice").alias("amount"))).alias("items")))
     status = (F.when(F.col("o_orderstatus") == "F", RECEIPT_STATUS["F"])
               .when(F.col("o_orderstatus") == "O", RECEIPT_STATUS["O"])
               .when(F.col("o_orderstatus") == "P", RECEIPT_STATUS["P"])
               .otherwise("failed"))
-    payload = F.to_json(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
-                                 F.from_json("items_json", "array<struct<part:bigint,quantity:double,amount:double>>").alias("items")))
+    payload = F.to_json(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), "items"))
     return (o.join(items, o.o_orderkey == items.l_orderkey, "left")
             .select(F.col("o_orderkey").alias("receipt_id"),
                     status.alias("processing_status"),
@@ -142,10 +144,10 @@ def tree(spark, sf_dir) -> DataFrame:
 
 
 def tags(spark, sf_dir) -> DataFrame:
-    """transaction_tags bridge: distinct (transaction_id, tag)."""
+    """transaction_tags bridge: (transaction_id, tag), a pair may repeat; ``ledger.transaction_tags`` dedupes once."""
     li = read(spark, sf_dir, "lineitem")
     return li.select(F.col("l_orderkey").alias("transaction_id"),
-                     F.col("l_returnflag").alias("tag")).distinct()
+                     F.col("l_returnflag").alias("tag"))
 
 
 def stores_known(spark, sf_dir) -> DataFrame:

@@ -3,7 +3,8 @@
 The objective per group is Spark ML's (and, with ``regParam = 1/(C·Σw)``, the
 reference's): ``(1/Σw) Σ wᵢ·CE(xᵢ, yᵢ) + (λ/2)·‖W‖²`` with an unpenalised
 intercept and inverse-frequency class weights.  Groups are fitted by Newton's
-method (``newton``) to a gradient below ``tol``.  A group with more than
+method (``newton``) to a gradient below ``tol``: small ones each in one task, of bounded size,
+others by rounds of Spark jobs.  A group with more than
 ``newton.MAX_PARAMETERS`` parameters, whose Hessian would not fit a task, is
 fitted by accelerated gradient descent where every iteration is
 
@@ -14,8 +15,8 @@ fitted by accelerated gradient descent where every iteration is
 * an update of the small model table, written to the shared checkpoint
   folder to cut lineage.
 
-Either way the columns ``gradient`` (largest entry) and ``converged`` say how
-far a group came.  No group is ever collected into one task or to the driver.
+In each case the columns ``gradient`` (largest entry) and ``converged`` say how
+far a group came.  No group above ``newton.LOCAL_VALUES`` is ever collected into one task, none to the driver.
 The result uses the model-table layout ``(by…, label, coef, intercept)`` and
 scores with ``classify.score_dense(metric="linear")``.  Rows without a label or
 features are left out.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .labels import class_weights
-from .newton import MAX_PARAMETERS, newton
+from .newton import LOCAL_VALUES, MAX_PARAMETERS, newton, newton_local
 
 
 def _sum(arr: F.Column) -> F.Column:
@@ -61,23 +62,28 @@ def fit_linear_by_group(df: DataFrame, features: str, label: str, by: Sequence[s
     idx = class_weights(df, label, by)
     if not class_weighted:
         idx = idx.withColumn("weight", F.lit(1.0))
-    rows = (df.select(*by, F.col(features).cast("array<double>").alias("x"), label)
+    # kept as they came (often floats); doubles and the intercept's one are added where rows are read
+    rows = (df.select(*by, F.col(features).alias("x"), label)
             .join(idx.select(*by, label, "label_id", "weight"), by + [label])
-            .select(*by, F.concat("x", F.array(F.lit(1.0))).alias("xa"), "label_id", "weight"))
+            .select(*by, "x", "label_id", "weight"))
     rows = materialize(rows, "linear_rows")
+    xa = F.concat(F.col("x").cast("array<double>"), F.array(F.lit(1.0)))
     consts = (rows.groupBy(*by)
-              .agg(F.sum("weight").alias("sw"),
-                   F.max(_sum(F.transform("xa", lambda v: v * v))).alias("xmax"),
-                   F.max(F.size("xa")).alias("da"))
+              .agg(F.sum("weight").alias("sw"), F.count(F.lit(1)).alias("n"),
+                   F.max(_sum(F.transform(xa, lambda v: v * v))).alias("xmax"),
+                   F.max(F.size("x") + 1).alias("da"))
               .join(idx.groupBy(*by).agg(F.count(F.lit(1)).alias("k")), by)
               .withColumn("lam", F.lit(1.0) / (F.lit(C) * F.col("sw"))))
     consts = materialize(consts, "linear_groups")
-    wide = consts.filter(F.col("k") * F.col("da") > MAX_PARAMETERS)
-    some_wide = not wide.isEmpty()
-    small = consts.filter(F.col("k") * F.col("da") <= MAX_PARAMETERS)
-    out = newton(rows.join(small.select(*by), by, "left_semi") if some_wide else rows, small, by, tol, max_rounds)
-    if some_wide:
-        out = out.unionByName(_by_gradient(rows.join(wide.select(*by), by, "left_semi"), wide, by, tol, max_iter))
+    is_wide, is_long = F.col("k") * F.col("da") > MAX_PARAMETERS, F.col("n") * F.col("da") > LOCAL_VALUES
+    wide, long = consts.filter(is_wide), consts.filter(~is_wide & is_long)
+    out = newton_local(rows, consts.filter(~is_wide & ~is_long), by, tol, max_rounds)
+    packed = rows.select(*by, xa.alias("xa"), "label_id", "weight")
+    if not long.isEmpty():
+        out = out.unionByName(newton(packed.join(long.select(*by), by, "left_semi"), long, by, tol, max_rounds))
+    if not wide.isEmpty():
+        out = out.unionByName(_by_gradient(packed.join(wide.select(*by), by, "left_semi"), wide, by, tol, max_iter))
+    out = materialize(out, "linear_fits")  # the local fits run once, however often the result is read
     out = out.select(*by, "da", "w", "gradient", "converged", F.posexplode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)).alias("_p", "label_id"))
     out = out.select(*by, F.col("label_id").cast("int").alias("label_id"),
                      F.slice("w", F.col("label_id") * F.col("da") + 1, F.col("da") - 1).alias("coef"),

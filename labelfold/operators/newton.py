@@ -10,6 +10,9 @@ group that holds a third of all rows is spread.  A round is
 * their sum per group, in levels of ``FAN`` partial sums each, so no task holds more than that many,
 * one small solve per group.
 
+A Hessian is far larger than a small group's rows, so groups of at most ``LOCAL_VALUES`` values are
+packed whole and take the same steps in their task (``newton_local``): no sums are written or shuffled.
+
 A step that raises the objective is halved.  A group whose largest gradient entry is below ``tol``
 has converged and takes no further part; one that has not after ``max_rounds`` rounds is returned
 with ``converged = false``.
@@ -32,6 +35,8 @@ BLOCK_VALUES = 1 << 16
 #: Classes times width of a group up to which its Hessian (that number squared, in doubles) is built.
 MAX_PARAMETERS = 1536
 FAN = 32
+#: Rows times width of a group up to which one task takes all its rounds (8 MB in doubles).
+LOCAL_VALUES = 1 << 20
 
 
 def _columns(df: DataFrame, names: Sequence[str]) -> str:
@@ -202,3 +207,28 @@ def newton(rows: DataFrame, consts: DataFrame, by: Sequence[str], tol: float, ma
             break
     out = done.unionByName(model) if done is not None else model
     return out.select(*by, "k", "da", F.coalesce("best", "w").alias("w"), "gradient", "converged")
+
+
+def newton_local(rows: DataFrame, consts: DataFrame, by: Sequence[str], tol: float, max_rounds: int) -> DataFrame:
+    """The same as ``newton`` for groups of at most ``LOCAL_VALUES`` values; ``rows`` are ``(by…, x, label_id, weight)`` without the one of the intercept."""
+    by = list(by)
+
+    def fit(key, table):
+        first = table.slice(0, 1)
+        row = first.select(["k", "da", "sw", "lam"]).to_pylist()[0]
+        y, weight = table.column("label_id").to_numpy(), table.column("weight").to_numpy()
+        x = np.asarray(table.column("x").combine_chunks().flatten(), np.float64).reshape(len(y), row["da"] - 1)
+        x = np.c_[x, np.ones(len(y))]
+        row |= {"w": [0.0] * (row["k"] * row["da"]), "best": None, "value": None, "gradient": None, "converged": False}
+        for _ in range(max_rounds):
+            loss, gradient, hessian = _terms(np.array(row["w"]).reshape(row["k"], row["da"]), x, y, weight)
+            row = _step(row | {"sums": np.concatenate([[loss], gradient, hessian])}, tol)
+            if row["converged"]:
+                break
+        w = row["w"] if row["best"] is None else row["best"]
+        return pa.table([*(first.column(b) for b in by), pa.array([row["k"]], pa.int32()), pa.array([row["da"]], pa.int32()),
+                         pa.array([w], pa.list_(pa.float64())), pa.array([row["gradient"]], pa.float64()), pa.array([row["converged"]])],
+                        names=[*by, "k", "da", "w", "gradient", "converged"])
+
+    joined = rows.join(consts.select(*by, F.col("k").cast("int").alias("k"), F.col("da").cast("int").alias("da"), "sw", "lam"), by)
+    return joined.groupBy(*by).applyInArrow(fit, f"{_columns(rows, by)}, k int, da int, w array<double>, gradient double, converged boolean")

@@ -135,10 +135,11 @@ def retrain_history(spark, d):
     vectors = tables.vectors(spark, d).select("vec_id", "embedding")
     n = vectors.select(F.count("*")).scalar()
     events = FS.ingest_training_rows(FS.table_stream(spark, d, "events"), with_time=True).drop("day")
-    rows = (events.withColumn("vec_id", F.pmod(F.col("event_id"), n)).join(vectors, "vec_id")
-            .select((F.col("user_id") * 1000 + F.col("event_id") % 40).alias("transaction_id"), "user_id", "label", "source", "created_at", "embedding"))
+    # examples carry the vector's id; the vectors join where a model is fitted
+    rows = (events.withColumn("vec_id", F.pmod(F.col("event_id"), n)).join(vectors.select("vec_id"), "vec_id")
+            .select((F.col("user_id") * 1000 + F.col("event_id") % 40).alias("transaction_id"), "user_id", "label", "source", "created_at", "vec_id"))
     root = checkpoint_path(spark, f"streams/retrain_history-{uuid.uuid4().hex[:12]}")
-    RE.retrain_stream(rows, root, every=10).awaitTermination()
+    RE.retrain_stream(rows, root, every=10, vectors=vectors.dropDuplicates(["vec_id"]), vector_key="vec_id").awaitTermination()
     states, models = RE.run_states(spark, root), RE.current_models(spark, root)
     sizes = models.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_coefs"))
     return (states.join(sizes, "user_id", "left").filter("converged IS NULL OR converged")

@@ -23,8 +23,14 @@ from ..operators.linear import fit_linear_by_group
 from ..session import materialize
 from ..sources.commits import TableSet
 
-def retrain_batch(tables: TableSet, batch: DataFrame, number: list[int], every: int, features: str, key: str, max_rounds: int = 15) -> None:
-    """One micro-batch ``(key, user_id, label, source, created_at, features)``; ``number`` orders the batches."""
+def retrain_batch(tables: TableSet, batch: DataFrame, number: list[int], every: int, features: str, key: str, max_rounds: int = 15,
+                  vectors: DataFrame | None = None, vector_key: str | None = None) -> None:
+    """One micro-batch ``(key, user_id, label, source, created_at, features)``; ``number`` orders the batches.
+
+    With ``vectors(vector_key, features)``, of one row per key, the examples carry ``vector_key`` instead of
+    ``features``; vectors then only meet the chosen examples of the users to train, and no table keeps them.
+    """
+    carried = features if vectors is None else vector_key
     spark = batch.sparkSession
     kind = batch.schema["user_id"].dataType.simpleString()
     run = "-".join(map(str, number))
@@ -50,11 +56,14 @@ def retrain_batch(tables: TableSet, batch: DataFrame, number: list[int], every:
     due = tables.read("due", None, base)
     rows = tables.read("training", batch.schema, base).join(due.select("user_id"), "user_id", "left_semi")
     examples = training_set(rows.filter(F.col("source") == "auto_confirmed"), rows.filter(F.col("source") == "user_feedback"), key,
-                            carry=[features], newest="created_at")
+                            carry=[carried], newest="created_at")
     examples = materialize(examples, "retrain_examples")
     sizes = examples.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_samples"), F.countDistinct("label").alias("n_categories"))
     able = sizes.filter(F.col("n_categories") >= 2).select("user_id")
-    model = fit_linear_by_group(examples.join(able, "user_id", "left_semi"), features, "label", ["user_id"], max_rounds=max_rounds)
+    able_rows = examples.join(able, "user_id", "left_semi")
+    if vectors is not None:
+        able_rows = able_rows.join(vectors.select(vector_key, features), vector_key)
+    model = fit_linear_by_group(able_rows, features, "label", ["user_id"], max_rounds=max_rounds)
     model = materialize(model.join(due, "user_id").select("user_id", "label_id", "label", "coef", "intercept", "converged", "run_id",
                                                           F.lit(number[0]).cast("long").alias("run"), F.lit(number[1]).cast("long").alias("batch")), "retrain_models")
     fitted = model.groupBy("user_id").agg(F.bool_and("converged").alias("converged"))
@@ -65,13 +74,13 @@ def retrain_batch(tables: TableSet, batch: DataFrame, number: list[int], every:
 
 
 def retrain_stream(stream: DataFrame, root: str, every: int = 10, features: str = "embedding", key: str = "transaction_id",
-                   max_rounds: int = 15) -> StreamingQuery:
+                   max_rounds: int = 15, vectors: DataFrame | None = None, vector_key: str | None = None) -> StreamingQuery:
     """Start the loop over a stream of training examples; tables and checkpoint lie under ``root``.
 
     A restart with the same ``root`` goes on where the last one stopped.
     """
     tables = TableSet(stream.sparkSession, f"{root.rstrip('/')}/tables")
-    return (stream.writeStream.foreachBatch(lambda batch, epoch: retrain_batch(tables, batch, [0, epoch], every, features, key, max_rounds))
+    return (stream.writeStream.foreachBatch(lambda batch, epoch: retrain_batch(tables, batch, [0, epoch], every, features, key, max_rounds, vectors, vector_key))
             .option("checkpointLocation", f"{root.rstrip('/')}/_checkpoint").trigger(availableNow=True).start())
 
 

@@ -103,3 +103,21 @@ def test_partial_sums_add_up_over_levels(spark, monkeypatch):
     for g in "ab":
         assert sum(r.sums[0] for r in left if r.g == g) == sum(i for h, i, _ in rows if h == g)
         assert sum(r.sums[1] for r in left if r.g == g) == sum(h == g for h, *_ in rows)
+
+
+def test_small_groups_exchange_no_hessians(spark, monkeypatch):
+    """Small groups are fitted in their task, long ones by rounds of jobs, to the same model."""
+    from labelfold.operators import linear
+    rng = np.random.default_rng(4)
+    rows = [(g, int(i % 3), [float(v) for v in rng.normal(size=4) + (i % 3)]) for g in range(3) for i in range(30 + 10 * g)]
+    df = spark.createDataFrame(rows, "user_id long, label int, v array<float>")
+    rounds = []
+    real = linear.newton
+    monkeypatch.setattr(linear, "newton", lambda r, *a: rounds.append(r) or real(r, *a))
+    fit = lambda: {(r.user_id, r.label): [*r.coef, r.intercept] for r in fit_linear_by_group(df, "v", "label", ["user_id"]).collect()}
+    local = fit()
+    assert len(local) == 9 and not rounds
+    monkeypatch.setattr(linear, "LOCAL_VALUES", 200)  # of 150, 200 and 250 values
+    mixed = fit()
+    assert len(rounds) == 1 and rounds[0].select("user_id").distinct().count() == 1
+    assert mixed.keys() == local.keys() and all(np.allclose(mixed[k], local[k], atol=1e-7) for k in local)

@@ -104,3 +104,17 @@ def test_commits(spark, tmp_path):
     with pytest.raises(Conflict):
         t.commit([2], {"a": df(4)}, base=first)
     assert values("a") == [1, 2] and t.manifest(0) == first
+
+
+def test_examples_that_carry_the_vectors_key(spark, whole, tmp_path):
+    """Vectors in a table of their own give the same models, and no table keeps the vectors."""
+    folder, root = whole
+    rows = spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(folder)
+    name = "concat_ws('/', transaction_id, source, cast(created_at as string))"
+    vectors = rows.selectExpr(f"{name} as vec_id", "embedding").dropDuplicates(["vec_id"])
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+    R.retrain_stream(stream.selectExpr("* except (embedding)", f"{name} as vec_id"), str(tmp_path), every=5,
+                     vectors=vectors, vector_key="vec_id").awaitTermination()
+    assert "embedding" not in TableSet(spark, f"{tmp_path}/tables").read("training").columns
+    assert content(spark, str(tmp_path))["models"] == content(spark, root)["models"]
+    assert content(spark, str(tmp_path))["history"] == content(spark, root)["history"]

@@ -171,7 +171,7 @@ def _split_terms(spark, d, split_tbl, by_user: bool):
     Label and split join the texts before they are cut, so nothing later looks a document up again.
     """
     by = ["user_id"] if by_user else []
-    p = spread(_raw_docs(spark, d).select("doc_id", "product_title"), "doc_id")
+    p = spread(_raw_docs(spark, d).select("doc_id", "product_title"), "doc_id", text="product_title")
     x = p.join(split_tbl.select(*by, "doc_id", "label", "split"), "doc_id")
     return materialize(FE.term_counts(x, "doc_id", "product_title", [*by, "label", "split"], clean=True), "split_terms")
 
@@ -272,7 +272,7 @@ def flagship(spark, d):
 def tfidf_terms(spark, d):
     """Document frequency, total term count and IDF per term over whole texts (EMB-3)."""
     raw = _raw_docs(spark, d)
-    tf = FE.term_counts(spread(raw, "doc_id"), "doc_id", "product_title", clean=True)
+    tf = FE.term_counts(spread(raw.select("doc_id", "product_title"), "doc_id", text="product_title"), "doc_id", "product_title", clean=True)
     idf = FE.idf_table(tf, raw.select("doc_id"), "doc_id")
     return r6(idf.select("term", "df", "tf_total", "idf"))
 
@@ -420,8 +420,9 @@ def _projected_sql(grams: str) -> str:
     f"round(1.0 / sum(exp((s - top) / {T})), 6) AS confidence FROM b GROUP BY k"))
 def zero_shot(spark, d):
     """Titles against the names of the categories, both projected by the same encoder (CLS-6, EMB-1, EMB-2)."""
-    titles = tables.products_short(spark, d)
-    names = titles.filter("category IS NOT NULL").select("category").distinct()
+    scan = tables.products_short(spark, d)
+    names = scan.filter("category IS NOT NULL").select("category").distinct()
+    titles = spread(scan.select("p_partkey", "product_title"), "p_partkey", text="product_title", chars=1_000_000)  # a gram at each character
     idf = FE.idf_table(FE.char_grams(titles, "p_partkey", "product_title"), titles.select("p_partkey"), "p_partkey")
     idf = materialize(idf, "gram_idf")
     x = FE.project_text(titles, "p_partkey", "product_title", idf)

@@ -76,14 +76,25 @@ def materialize(df, name: str = "table"):
     return spark.read.parquet(path)
 
 
-def spread(df, *keys: str):
+#: Characters of text a task gets from ``spread``: pieces of them held in a task's hash tables stay bounded as the input grows.
+SPREAD_CHARS = 4_000_000
+
+
+def spread(df, *keys: str, text: str | None = None, chars: int = SPREAD_CHARS):
     """Deal the rows of a scan of few, large row groups over the cores before CPU-heavy work on whole texts.
 
     Only the number of tasks depends on the cluster, never a result: row keys come from the
     data (``jobs.content_keys``).  With at least as many input files as cores nothing is
     moved; files are listed from the plan, without a job.
+
+    Work that counts pieces of the column ``text`` names it: rows are then always dealt by ``keys``, to
+    tasks of about ``chars`` characters each, and groups that hold ``keys`` need no further shuffle.
     """
+    from pyspark.sql import functions as F
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if text is not None:
+        size = df.agg(F.coalesce(F.sum(F.char_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
+        return df.repartition(max(cores, -(-size // chars)), *keys)
     if len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)

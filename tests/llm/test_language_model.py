@@ -151,3 +151,53 @@ def test_runs_do_not_depend_on_arrow_batches(monkeypatch):
         cut = [rows.slice(i, step) for i in range(0, len(texts), step)]
         runs.add(str([(i, t.column("text").to_pylist()) for i, t in lm.batches_of(iter(cut), 3)]))
     assert len(runs) == 1
+
+
+def test_every_context_word_has_a_restaurant_of_its_own():
+    """More context words than any fixed number of hashed restaurants: none are merged, and the end starts a text."""
+    n = 70_000
+    words, counts = m.tokens(pa.array([" ".join(f"w{i}" for i in range(n)), "w0"]))
+    distinct, _, word, context, pair = m.distinct_pairs(words, counts, 8)
+    assert len(distinct) == n + 1 and len(np.unique(context)) == n + 1
+    before = np.r_[m.END, words[:n], m.END, words[0]]
+    assert (distinct[context[pair]] == before).all() and (distinct[word[pair]] == words).all()
+
+
+def test_gamma_variables_follow_their_key_and_shape():
+    shape, key = np.repeat([1.2, 3.0, 40.0], 20_000), np.arange(60_000, dtype=np.uint64)
+    x = m.keyed_gamma(shape, key)
+    assert (m.keyed_gamma(shape[::-1], key[::-1])[::-1] == x).all()
+    for k, a in enumerate((1.2, 3.0, 40.0)):
+        some = x[20_000 * k:20_000 * (k + 1)]
+        assert abs(some.mean() / a - 1) < 0.03 and abs(some.var() / a - 1) < 0.06
+
+
+def test_score_agrees_with_one_sampler_of_the_whole_corpus(spark):
+    """Restaurants whose pairs lie in many parts are seated as by one process that holds them all."""
+    rng = np.random.default_rng(8)
+    follow = rng.integers(0, 400, (400, 6))
+    docs = []
+    for _ in range(500):
+        w = [int(rng.zipf(1.4)) % 400]
+        for _ in range(40):
+            w.append(int(follow[w[-1], int(rng.zipf(1.7)) % 6]) if rng.random() < 0.7 else int(rng.zipf(1.4)) % 400)
+        docs.append(w)
+    rows = [(i, " ".join(f"w{x}" for x in w), i % 5 == 1) for i, w in enumerate(docs)]
+    got = {r.doc_id: r.score for r in m.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    pairs = Counter((w, u) for i, d in enumerate(docs) if i % 5 != 1 for u, w in zip([400] + d, d + [400]))
+    at = {p: k for k, p in enumerate(pairs)}
+    word, context = np.array(list(pairs)).T
+    count = np.array(list(pairs.values()))
+    known = len(set(word.tolist()))
+    tables, customers, root, d, d0 = m.sample_part(word, context, count, 401, known, 1, 3)
+    parent = (customers - d0 * root + (m.ROOT_STRENGTH + d0 * root.sum()) * np.where(np.bincount(word, count, 401) > 0, (1 - m.UNSEEN) / known, m.UNSEEN))
+    parent /= customers.sum() + m.ROOT_STRENGTH
+    total, opened = np.bincount(context, count, 401), np.bincount(context, d * tables, 401)
+    off = []
+    for i, text in enumerate(docs):
+        want = 0.0
+        for u, w in zip([400] + text, text + [400]):
+            k = at.get((w, u))
+            want += math.log10(((count[k] - d * tables[k] if k is not None else 0) + (m.STRENGTH + opened[u]) * parent[w]) / (m.STRENGTH + total[u]))
+        off.append((got[i] - want) / (len(text) + 1))
+    assert max(map(abs, off)) < 0.05 and abs(np.mean(off)) < 0.003

@@ -13,6 +13,11 @@ scored exactly, which gives the query's k-th best distance; a query is *certifie
 bound is below that.  The others go on with every bucket that can still hold a neighbour.  With ``go_on=False`` the search
 stops after the first round and the column ``certified`` says which answers are exact for certain.
 
+Where boxes rule little out, they cost more than the scores they save: for each query a row a bucket.  So a search that goes on
+first probes ``PROBES`` queries; if these need more than ``WIDE`` of all buckets, all queries meet all rows in
+blocks of at most about ``BLOCK_VALUES`` numbers a side, scored by matrix products, with the same exact answers.  Then only blocks are
+sent, not buckets to each query; the work is queries times rows, the memory that of a block.
+
 Buckets meet queries in co-groups of one bucket and at most ``QUERIES`` queries, and hand on k rows a query: pairs are not rows.
 Of corpus rows with equal vectors only the k smallest ids can be in an answer, and only they are indexed.
 
@@ -35,6 +40,9 @@ from .ranking import sorted_rank
 BUCKET = 64
 QUERIES = 1024
 DIRECTIONS = 16
+PROBES = 32
+WIDE = 1 / 8
+BLOCK_VALUES = 1 << 20
 #: Rounding of bounds and distances is far below this.
 SLACK = 1e-9
 
@@ -135,6 +143,8 @@ class Index:
         held = self.rows.join(crowds, ["code", "sub"]).select(
             "code", "sub", "id", "u", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(F.col("n") / QUERIES)).cast("long") - 1)).alias("part"))
 
+        schema, empty = self._result()
+
         def meet(key, left, right):
             if not left.num_rows or not right.num_rows:
                 return empty
@@ -145,12 +155,74 @@ class Index:
             return pa.table([left.column("id").take(pa.array(rows)), items.column("id").take(pa.array(best.ravel())),
                              pa.array(scores[rows, best.ravel()])], names=["query_id", "item_id", "cosine"])
 
-        schema = f"query_id {self.key_type}, item_id {self.key_type}, cosine double"
+        by = ["code", "sub", "part"]
+        return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(meet, schema)
+
+    def _blocks(self, queries: DataFrame) -> DataFrame:
+        """``query_id, item_id, cosine``: the k best of every block of corpus rows, for all queries."""
+        k, n = self.k, queries.count()
+        # at least a few cells a core, and no larger than a task holds
+        cores = queries.sparkSession.sparkContext.defaultParallelism
+        size = int(min(max(1, BLOCK_VALUES // len(self.directions)), max(1024, np.sqrt(n * self.n / (4 * cores)))))
+        cells, blocks = max(1, -(-n // size)), max(1, -(-self.n // size))
+        self.pairs_scored = n * self.n
+        deal = lambda count: F.pmod(F.xxhash64("id", "u"), F.lit(count)).cast("int")
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        asked = queries.filter("id IS NOT NULL").select("id", "u", deal(cells).alias("cell"), every(blocks).alias("block"))
+        held = self.rows.select("id", "u", deal(blocks).alias("block"), every(cells).alias("cell"))
+        schema, empty = self._result()
+
+        def meet(key, left, right):
+            if not left.num_rows or not right.num_rows:
+                return empty
+            items = right.sort_by("id")
+            x, y = _matrix(left.column("u").combine_chunks()), _matrix(items.column("u").combine_chunks()).T
+            rows, columns, values = [], [], []
+            step = max(1, (1 << 21) // y.shape[1])
+            for at in range(0, len(x), step):
+                scores = x[at:at + step] @ y
+                least = np.partition(scores, -k, axis=1)[:, -k, None] if y.shape[1] > k else -2.0
+                row, column = np.nonzero(scores >= least - 2e-9)  # scores are compared rounded
+                value = scores[row, column]
+                order = np.lexsort((column, -np.round(value, 9), row))  # equal scores by id
+                order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+                rows.append(row[order] + at)
+                columns.append(column[order])
+                values.append(value[order])
+            return pa.table([left.column("id").take(pa.array(np.concatenate(rows))), items.column("id").take(pa.array(np.concatenate(columns))),
+                             pa.array(np.concatenate(values))], names=["query_id", "item_id", "cosine"])
+
+        by = ["cell", "block"]
+        return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(meet, schema)
+
+    def _result(self) -> tuple[str, pa.Table]:
         from pyspark.sql.pandas.types import to_arrow_type
         kind = to_arrow_type(self.rows.schema["id"].dataType)
         empty = pa.table({"query_id": pa.array([], kind), "item_id": pa.array([], kind), "cosine": pa.array([], pa.float64())})
-        by = ["code", "sub", "part"]
-        return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(meet, schema)
+        return f"query_id {self.key_type}, item_id {self.key_type}, cosine double", empty
+
+    def _first(self, q: DataFrame, still: DataFrame, first: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Each query's nearest boxes, the best rows of the ``first`` of them, and the queries with their reach and ``certified``."""
+        # the nearest boxes: no distance is known yet, so all first bits are within reach
+        near = self._buckets(q.withColumn("reach", F.lit(4.0)))
+        order = Window.partitionBy("id").orderBy("bound", "code", "sub")
+        ranked = materialize(near.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= first + 1), "index_nearest")
+        found = materialize(self._top(self._scored(ranked.filter(F.col("turn") <= first), q).unionByName(still)), "index_first")
+        kth = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("cosine").alias("_c"))
+        # squared distance of the k-th best on unit vectors; 1e-9 as scores are compared rounded
+        reach = F.when(F.col("_n") >= self.k, F.least(F.lit(4.0), 2 - 2 * F.col("_c") + 4e-9)).otherwise(4.0)
+        kth = kth.select(F.col("query_id").alias("id"), reach.alias("reach"))
+        next_bound = ranked.filter(F.col("turn") == first + 1).select("id", "bound")
+        known = q.join(kth, "id", "left").withColumn("reach", F.coalesce("reach", F.lit(4.0))).join(next_bound, "id", "left")
+        known = known.withColumn("certified", F.col("bound").isNull() | (F.col("bound") > F.col("reach") + SLACK)).drop("bound")
+        return ranked, found, materialize(known, "index_known")
+
+    def _wide(self, q: DataFrame, still: DataFrame, first: int) -> bool:
+        """Whether a few queries need so many buckets that boxes are not worth asking."""
+        few = materialize(q.orderBy(F.xxhash64("id", "u")).limit(PROBES), "index_probes")
+        n = few.count()
+        _, _, known = self._first(few, still.join(few.select(F.col("id").alias("query_id")), "query_id", "left_semi"), first)
+        return self._buckets(known.filter("NOT certified")).count() > WIDE * n * self.boxes.count()
 
     def _top(self, scored: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "item_id")
@@ -171,28 +243,19 @@ class Index:
             out = still.withColumn("certified", F.lit(True))
         else:
             q = materialize(_projected(q, self.directions), "index_query_projections")
-            # the nearest boxes: no distance is known yet, so all first bits are within reach
-            near = self._buckets(q.withColumn("reach", F.lit(4.0)))
-            order = Window.partitionBy("id").orderBy("bound", "code", "sub")
-            ranked = materialize(near.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= first + 1), "index_nearest")
-            found = materialize(self._top(self._scored(ranked.filter(F.col("turn") <= first), q).unionByName(still)), "index_first")
-            kth = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("cosine").alias("_c"))
-            # squared distance of the k-th best on unit vectors; 1e-9 as scores are compared rounded
-            reach = F.when(F.col("_n") >= self.k, F.least(F.lit(4.0), 2 - 2 * F.col("_c") + 4e-9)).otherwise(4.0)
-            kth = kth.select(F.col("query_id").alias("id"), reach.alias("reach"))
-            next_bound = ranked.filter(F.col("turn") == first + 1).select("id", "bound")
-            known = q.join(kth, "id", "left").withColumn("reach", F.coalesce("reach", F.lit(4.0))).join(next_bound, "id", "left")
-            known = known.withColumn("certified", F.col("bound").isNull() | (F.col("bound") > F.col("reach") + SLACK)).drop("bound")
-            known = materialize(known, "index_known")
-            out = found.drop("rank")
-            if go_on:
-                done = ranked.filter(F.col("turn") <= first).select("id", "code", "sub")
-                more = self._buckets(known.filter("NOT certified")).join(done, ["id", "code", "sub"], "left_anti")
-                more = materialize(more, "index_more")
-                self.pairs_scored = BUCKET * (more.count() + done.count())
-                out = out.unionByName(self._scored(more, q)).withColumn("certified", F.lit(True))
+            if go_on and self._wide(q, still, first):
+                out = self._blocks(q).unionByName(still).withColumn("certified", F.lit(True))
             else:
-                out = out.join(known.select(F.col("id").alias("query_id"), "certified"), "query_id")
+                ranked, found, known = self._first(q, still, first)
+                out = found.drop("rank")
+                if go_on:
+                    done = ranked.filter(F.col("turn") <= first).select("id", "code", "sub")
+                    more = self._buckets(known.filter("NOT certified")).join(done, ["id", "code", "sub"], "left_anti")
+                    more = materialize(more, "index_more")
+                    self.pairs_scored = BUCKET * (more.count() + done.count())
+                    out = out.unionByName(self._scored(more, q)).withColumn("certified", F.lit(True))
+                else:
+                    out = out.join(known.select(F.col("id").alias("query_id"), "certified"), "query_id")
         out = out.unionByName(everywhere)
         if not same:
             out = out.filter(F.col("query_id") != F.col("item_id"))

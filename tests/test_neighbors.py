@@ -110,3 +110,22 @@ def test_copies_zero_vectors_and_hot_buckets(spark, monkeypatch):
     assert _got(index.search(q, "id", "v", first=2)) == brute(queries)
     assert V.Index(df.limit(0), "id", "v", 4).search(q, "id", "v").count() == 0
     assert index.search(q.limit(0), "id", "v").count() == 0
+
+
+def test_vectors_without_structure_meet_in_blocks(spark, monkeypatch):
+    """Boxes rule nothing out: no row for each query and bucket, the same answers, ties by id over blocks."""
+    from labelfold.operators import vector_index as V
+    monkeypatch.setattr(V, "BLOCK_VALUES", 24 * 150)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-1, 2, 24)]) for i in range(1500)]
+    rows += [(2000 + i, rows[i][1]) for i in range(0, 90, 3)] + [(5000, [0.0] * 24)]
+    c = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    queries = [(-1 - i, [float(x) for x in rng.integers(-1, 2, 24)]) for i in range(200)] + [(-1000 - i, rows[i][1]) for i in range(30)]
+    q = spark.createDataFrame(queries, "id long, v array<double>")
+    index = V.Index(c, "id", "v", 4)
+    wanted = []
+    monkeypatch.setattr(V.Index, "_scored", lambda self, w, v, real=V.Index._scored: wanted.append(w.count()) or real(self, w, v))
+    unit = np.array([np.asarray(v) / (np.linalg.norm(v) or 1) for _, v in rows])
+    want = {i: [rows[j][0] for j in np.lexsort(([r for r, _ in rows], -np.round(unit @ (np.asarray(v) / np.linalg.norm(v)), 9)))[:4]] for i, v in queries}
+    assert _got(index.search(q, "id", "v")) == want
+    assert sum(wanted) <= 4 * V.PROBES and index.pairs_scored == len(queries) * 1530

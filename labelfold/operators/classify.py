@@ -6,7 +6,7 @@ per-user models score through the same join: the model is joined on ``by``
 the arg-max / top-k / softmax are taken per scored row over at most ``k``
 label scores (bounded by the label count, never by the data size).
 
-* sparse prototype:  (by…, label, term, idf, weight)       — text TF-IDF
+* sparse prototype:  (by…, label, term, idf, weight)       — text TF-IDF; arrays by part for counts in blocks (``term_blocks``)
 * dense prototype:   (by…, label, coef ARRAY<DOUBLE>, intercept)  — vectors
 * linear (LR):       same dense layout, exported from Spark ML
 """
@@ -22,6 +22,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import term_blocks as B
+
 # Softmax temperature that turns cosine scores into probabilities.
 TEMPERATURE = 0.1
 
@@ -37,6 +39,8 @@ def sparse_prototypes(terms: DataFrame, idf: DataFrame, norms: DataFrame, key: s
     divides by the labels' lengths, so the model is summed once and never joined with itself.
     """
     by = list(by)
+    if B.is_packed(terms):
+        return B.prototypes(terms, idf, norms, key, label, by)
     x = terms.join(idf.filter(F.col("idf") > 0).select(*by, "term", "idf"), by + ["term"]).join(norms, by + [key])
     return x.groupBy(*by, label, "term").agg(F.first("idf").alias("idf"),
                                              F.sum(F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
@@ -50,9 +54,13 @@ def score_sparse(terms: DataFrame, model: DataFrame, norms: DataFrame, key: str,
     normalised vector is written or shuffled.
     """
     by = list(by)
-    lengths = model.groupBy(*by, label).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_length"))
-    dots = (terms.join(model, by + ["term"])
-            .groupBy(*by, key, label).agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("_dot")))
+    if B.is_packed(terms):
+        lengths = B.lengths(model, label, by)
+        dots = B.dots(terms, model, key, label, by).groupBy(*by, key, label).agg(F.sum("_dot").alias("_dot"))
+    else:
+        lengths = model.groupBy(*by, label).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_length"))
+        dots = (terms.select(*by, key, "term", "tf").join(model, by + ["term"])
+                .groupBy(*by, key, label).agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("_dot")))
     same = [F.col(f"s.{c}").eqNullSafe(F.col(f"l.{c}")) for c in by + [label]]  # a NULL label is a label
     x = dots.join(norms, by + [key])
     return (x.alias("s").join(lengths.alias("l"), same)

@@ -4,7 +4,8 @@ TF-IDF is kept as long ``(by…, key, term, value)`` triplets: the term
 explode and the ``(key, term)`` count are map-side partial aggregations, the
 IDF table is bounded by the vocabulary, and its join is left to AQE (broadcast
 when measured small, otherwise a sort-merge join with skew splitting for
-very common terms).
+very common terms).  Jobs that read the counts several times keep them in blocks
+(``term_blocks``); the operators take either layout.
 """
 
 from __future__ import annotations
@@ -19,16 +20,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import NOT_WORD_RUN, clean_text
+from ..session import materialize
+from . import term_blocks as B
 
 
 def term_counts(df: DataFrame, key: str, text: str, by: Sequence[str] = (),
-                clean: bool = True) -> DataFrame:
+                clean: bool = True, label: str | None = None, parts: int = 1) -> DataFrame:
     """(by…, key, term, tf): token counts per document (whole texts).
 
     Of the cleaning only the lower-casing can change a token: white space separates tokens
     whether it is collapsed or not, so its regex pass over the text is left out.
+
+    With ``label``, one of ``by``, the same counts come in blocks whose terms are cut into ``parts`` (``term_blocks``);
+    the rows of a key must lie in one partition.
     """
     t = F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))) if clean else F.col(text)
+    if label is not None:
+        words = F.coalesce(F.regexp_replace(t, NOT_WORD_RUN, " "), F.lit(""))
+        return B.pack(df.select(*by, key, words.alias("_words")), key, "_words", [c for c in by if c != label], label, parts)
     # explode the raw split and drop empty pieces with a plain predicate (codegen),
     # rather than a per-row higher-order filter
     return (df.select(*by, key, F.explode(F.split(t, NOT_WORD_RUN)).alias("term"))
@@ -42,6 +51,12 @@ def idf_table(tf: DataFrame, docs: DataFrame, key: str, by: Sequence[str] = ())
     ``docs`` holds the fitting documents (one row per key); ``m`` is their count per group.
     """
     by = list(by)
+    if B.is_packed(tf):
+        m = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("m"))
+        x = B.document_counts(tf, by)
+        # written, so its measured size decides how the arrays meet it
+        x = x.join(materialize(m, "documents"), by) if by else x.withColumn("m", m.scalar())
+        return x.withColumn("idf", F.transform("df", lambda n: F.log((F.col("m") + 1).cast("double") / (n + 1))))
     dfreq = tf.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf_total"))
     if by:
         m = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("m"))
@@ -57,6 +72,8 @@ def tfidf_norms(tf: DataFrame, idf: DataFrame, key: str, by: Sequence[str] = ())
     A document's terms lie together, so the sums are nearly finished before the shuffle.
     """
     by = list(by)
+    if B.is_packed(tf):
+        return B.squared_norms(tf, idf, key, by).groupBy(*by, key).agg(F.sqrt(F.sum("_square")).alias("norm"))
     w = F.col("tf") * F.col("idf")
     return (tf.join(idf.filter(F.col("idf") > 0).select(*by, "term", "idf"), by + ["term"])
             .groupBy(*by, key).agg(F.sqrt(F.sum(w * w)).alias("norm")))

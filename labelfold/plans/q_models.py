@@ -16,7 +16,7 @@ from ..sources import tables
 from ..sources.columns import map_columns
 from ..functions.text import has_content, py_strip
 from . import sqlgen as S
-from ..session import materialize, spread
+from ..session import materialize, spread, spread_groups
 from ..streaming.feedback_stream import pack_model, score_packed
 from .registry import r6, register
 
@@ -166,28 +166,31 @@ def _labelled(spark, d, by_user: bool):
 
 
 def _split_terms(spark, d, split_tbl, by_user: bool):
-    """The job's term table (…, doc_id, label, split, term, tf), from whole texts tokenised once.
+    """The job's term table (…, doc_id, label, split, term, tf) in blocks, from whole texts tokenised once.
 
     Label and split join the texts before they are cut, so nothing later looks a document up again.
     """
     by = ["user_id"] if by_user else []
-    p = spread(_raw_docs(spark, d).select("doc_id", "product_title"), "doc_id", text="product_title")
-    x = p.join(split_tbl.select(*by, "doc_id", "label", "split"), "doc_id")
-    return materialize(FE.term_counts(x, "doc_id", "product_title", [*by, "label", "split"], clean=True), "split_terms")
+    p = _raw_docs(spark, d).select("doc_id", F.col("source").alias("user_id"), "product_title")
+    sizes = p.groupBy(*by).agg(F.sum(F.char_length(F.col("product_title").cast("string"))).alias("chars"))
+    x = p.select("doc_id", "product_title").join(split_tbl.select(*by, "doc_id", "label", "split"), "doc_id")
+    x, tasks = spread_groups(x, sizes, by, "doc_id")
+    return materialize(FE.term_counts(x, "doc_id", "product_title", [*by, "label", "split"], clean=True, label="label", parts=tasks), "split_terms")
 
 
 def sparse_predict(split_tbl, terms, by, key="doc_id"):
     """Scores of the test documents by TF-IDF prototypes (IDF on train), and the number of labels of each model.
 
-    IDF, norms and model are written: their measured sizes then decide how the joins run.
+    ``terms`` are ``FE.term_counts`` with columns label and split, as rows or in blocks.  IDF, norms and model are written:
+    their measured sizes then decide how the joins run.
     """
     by = list(by)
     labelled = split_tbl.filter(F.col("split") == "train")
     train, test = terms.filter(F.col("split") == "train"), terms.filter(F.col("split") == "test")
-    idf = materialize(FE.idf_table(train, labelled, key, by).select(*by, "term", "idf"), "idf")
+    idf = materialize(FE.idf_table(train, labelled, key, by).drop("df", "tf_total", "m"), "idf")
     norms = materialize(FE.tfidf_norms(terms, idf, key, by), "document_norms")
     model = materialize(C.sparse_prototypes(train, idf, norms, key, "label", by), "term_model")
-    scores = C.score_sparse(test.select(*by, key, "term", "tf"), model, norms, key, "label", by)
+    scores = C.score_sparse(test, model, norms, key, "label", by)
     return scores, C.label_counts(labelled, by=by)
 
 
@@ -319,6 +322,7 @@ def cold_start(spark, d):
     terms = _split_terms(spark, d, docs, True)
     enough = (docs.filter(F.col("split") == "train").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
               .filter(F.col("n") >= MIN_USER_TRAIN_DOCS).select("user_id"))
+    enough = materialize(enough, "large_users")  # its measured size decides how the blocks meet it
     u_scores, u_k = sparse_predict(docs.join(enough, "user_id", "left_semi"),
                                    terms.join(enough, "user_id", "left_semi"), ["user_id"])
     u = C.rank_scores(u_scores, "doc_id", "label", by=["user_id"], k_labels=u_k)

@@ -98,3 +98,33 @@ def spread(df, *keys: str, text: str | None = None, chars: int = SPREAD_CHARS):
     if len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
+
+
+def spread_groups(df, sizes, by, key: str, chars: int = 4 * SPREAD_CHARS):
+    """Deal whole texts to tasks of about ``chars`` characters that hold as few groups ``by`` as can be, and give the number of such tasks.
+
+    ``sizes(by…, chars)`` has the characters of each group.  A large group gets tasks of its own, over which its rows are dealt by
+    ``key``; small ones share tasks.  All rows of a group and key come to one task.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    by = list(by)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    sizes = materialize(sizes, "sizes")  # texts are read for them once
+    total = sizes.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
+    chars = max(1, min(chars, -(-total // cores)))
+    # at most 4 x total / chars groups are large; the others are dealt by their hash
+    large = sizes.filter(F.col("chars") > chars / 4).orderBy(F.desc("chars"), *by).collect()
+    tasks = [-(-r["chars"] // chars) for r in large]
+    rest = max(1, -(-(total - sum(r["chars"] for r in large)) // chars))
+    task = F.pmod(F.hash(*by, F.lit(0)), F.lit(rest))
+    if large and by:
+        names = [f"_of_{c}" for c in by]
+        schema = T.StructType([T.StructField(n, sizes.schema[c].dataType) for c, n in zip(by, names)] + [T.StructField(c, T.LongType()) for c in ("_n", "_first")])
+        plan = df.sparkSession.createDataFrame([(*[r[c] for c in by], n, rest + sum(tasks[:i])) for i, (r, n) in enumerate(zip(large, tasks))], schema)
+        df = df.join(F.broadcast(plan), [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)], "left")
+        task = F.coalesce(F.col("_first") + F.pmod(F.hash(key), F.col("_n")), task)
+    elif large:
+        task = rest + F.pmod(F.hash(key), F.lit(tasks[0]))
+    tasks = rest + sum(tasks)
+    return df.repartitionById(tasks, task.cast("int")).drop("_n", "_first", *[f"_of_{c}" for c in by]), max(cores, tasks)

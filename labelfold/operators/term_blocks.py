@@ -119,6 +119,30 @@ def _numbers(column, n: int) -> np.ndarray:
     return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // n] if n else np.uint8)
 
 
+def _ascending(doc: np.ndarray, code: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts, each document's by ascending code; the documents lie in ascending order."""
+    n, m = int(code.max(initial=0)) + 1, int(tf.max(initial=0)) + 1
+    pair = doc.astype(np.int64) * n + code
+    if (int(doc.max(initial=0)) + 1) * n * m < 1 << 63:  # one number sorts faster than an order is found
+        pair = np.sort(pair * m + tf)
+        return pair // m % n, pair % m
+    order = np.argsort(pair)
+    return code[order], tf[order]
+
+
+def _steps(codes: np.ndarray) -> bytes:
+    """Differences of the codes, their low bytes first: small ones leave runs of zeros, which writers and shuffles compress."""
+    steps = np.diff(codes.astype(np.uint32), prepend=np.uint32(0))
+    return steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _codes(column, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint32)
+    planes = np.frombuffer(column[0].as_buffer(), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
 # --- building blocks -------------------------------------------------------------------------
 
 def _counts(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -174,7 +198,8 @@ def _blocks(rows: pa.Table, scalars: Sequence[str], label: str, key: str, row: n
         dfs.append(np.bincount(local, minlength=len(found)))
         totals.append(np.bincount(local, tf[lo:hi], len(found)).astype(np.int64))
         local_ends.append(ends[a:b] - lo)
-        blobs.append((_small(local), _small(tf[lo:hi])))
+        local, counts = _ascending(doc[lo:hi] - a, local, tf[lo:hi])
+        blobs.append((_steps(local), _small(counts)))
     numbers, starts, sizes = (np.concatenate(x) for x in zip(*cells))
     inner = np.cumsum(sizes)
     made = pa.StructArray.from_arrays([
@@ -290,7 +315,7 @@ def squared_norms(blocks: DataFrame, idf: DataFrame, key: str, by: Sequence[str]
             return to_arrow_schema(schema).empty_table()
         value = np.asarray(_flat(told.sort_by("start")["value"]))
         ends = np.asarray(_flat(block["ends"])).astype(np.int64)
-        w = _numbers(block["tfs"], ends[-1]) * value[_numbers(block["codes"], ends[-1])]
+        w = _numbers(block["tfs"], ends[-1]) * value[_codes(block["codes"], ends[-1])]
         square = np.bincount(np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), w * w, len(ends))
         some = np.flatnonzero(square)
         return _table(schema, [*[_one(block[c]).take(pa.array(np.zeros(len(some), np.int64))) for c in by],
@@ -319,7 +344,7 @@ def prototypes(blocks: DataFrame, idf: DataFrame, norms: DataFrame, key: str, la
         of_length[np.asarray(_one(lengths["pos"]))] = np.asarray(_one(lengths["norm"]))
         d = _flat(block[label]).dictionary_encode(null_encoding="encode")
         names, doc = d.dictionary, np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-        pair = _numbers(block["codes"], ends[-1]).astype(np.int64) * len(names) + np.asarray(d.indices)[doc]
+        pair = _codes(block["codes"], ends[-1]).astype(np.int64) * len(names) + np.asarray(d.indices)[doc]
         share = _numbers(block["tfs"], ends[-1]) / of_length[doc]
         pair, inverse = np.unique(pair, return_inverse=True)
         share = np.bincount(inverse, share, len(pair))
@@ -425,7 +450,7 @@ def dots(blocks: DataFrame, model: DataFrame, key: str, label: str, by: Sequence
         order = np.argsort(code, kind="stable")
         code, name, value = code[order], name[order], np.asarray(_flat(told["value"]))[order]
         ends = np.asarray(_flat(block["ends"])).astype(np.int64)
-        codes, tfs = _numbers(block["codes"], ends[-1]), _numbers(block["tfs"], ends[-1])
+        codes, tfs = _codes(block["codes"], ends[-1]), _numbers(block["tfs"], ends[-1])
         per_code = np.bincount(code, minlength=int(codes.max(initial=0)) + 1)
         ahead = np.cumsum(per_code) - per_code
         products = np.append(0, np.cumsum(per_code[codes]))[ends]  # of the documents up to each

@@ -1,6 +1,7 @@
 """Term counts in blocks: the same scores as from rows, without a row for each document and term."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,10 +68,18 @@ def test_no_train_rows(spark):
     assert q_models.sparse_predict(docs, blocks, [])[0].isEmpty()
 
 
-def test_numbers_of_any_size():
-    for most in (0, 200, 60_000, 70_000):
+def test_numbers_and_codes_of_any_size():
+    for most in (0, 200, 60_000, 70_000, 5_000_000):
         a = np.array([0, most, most // 2])
-        assert (B._numbers([type("S", (), {"as_buffer": lambda self: B._small(a)})()], 3) == a).all()
+        for there, back in ((B._small, B._numbers), (B._steps, B._codes)):
+            assert (back(pa.chunked_array([pa.array([there(a)], pa.binary())]), 3) == a).all()
+
+
+def test_codes_of_a_document_ascend_with_their_counts():
+    doc, code = np.array([0, 0, 0, 1, 1]), np.array([5, 2, 9, 7, 0])
+    for tf in (np.array([1, 2, 3, 4, 5]), np.array([1, 2, 3, 4, 1 << 60])):
+        codes, counts = B._ascending(doc, code, tf)
+        assert list(codes) == [2, 5, 9, 0, 7] and list(counts) == [2, 1, 3, tf[4], 4]
 
 
 def test_groups_are_dealt_whole_and_large_ones_over_several_tasks(spark):
